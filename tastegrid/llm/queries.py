@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import mpegts, tokencount
+from tastegrid.llm import bpe, mpegts, secrets, tokencount
 from tastegrid.llm.common import documents
 
 
@@ -18,6 +18,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(documents(spark, sf_dir))
+
+
 def op6_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.media_columns(documents(spark, sf_dir))
 
@@ -27,6 +37,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_secrets": op5_secrets,
     "op6_mpeg_ts": op6_mpeg_ts,
     "op8_token_counts": op8_token_counts,
 }
