@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, chat, decontam, mpegts, secrets, tokencount
+from tastegrid.llm import bpe, chat, decontam, mpegts, secrets, simhash, tokencount, toxicity
 from tastegrid.llm.common import documents, table
 
 
@@ -55,6 +55,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(documents(spark, sf_dir)))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_decontamination": op4_decontamination,
@@ -62,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mpeg_ts": op6_mpeg_ts,
     "op7_chat_windows": op7_chat_windows,
     "op8_token_counts": op8_token_counts,
+    "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 OP4_SQL = r"""
