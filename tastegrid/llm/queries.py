@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, chat, decontam, mpegts, secrets, simhash, tokencount, toxicity
+from tastegrid.llm import bpe, chat, decontam, mpegts, pii, secrets, simhash, substring, tokencount, toxicity
 from tastegrid.llm.common import documents, table
 
 
@@ -18,12 +18,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +73,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_mpeg_ts": op6_mpeg_ts,

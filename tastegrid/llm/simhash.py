@@ -20,8 +20,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.llm.common import bounded_bytes, stash, text_of
@@ -228,6 +229,10 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
+def _marked(texts: pd.Series) -> pd.Series:
+    return texts.map(fingerprint)
+
+
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each component, that of the smallest doc_id; all columns stay.
 
@@ -246,9 +251,7 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         return kept
     odd = docs.join(odd_ids, F.col("doc_id") == F.col("__odd"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
     roots = found.select("fp", "root", "component_id").distinct()
-    mark = F.pandas_udf(lambda t: t.map(fingerprint), "bigint")
-    from pyspark.sql import Window
-
+    mark = F.pandas_udf(_marked, "bigint")
     first = Window.partitionBy("__root").orderBy(F.col("__text"))
     tagged = odd.withColumn("__text", text_of()).withColumn("__fp", mark(F.col("__text")))
     tagged = tagged.join(roots.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__c")), "__fp")

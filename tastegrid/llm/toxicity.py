@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -248,8 +249,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _rejecter(model: Model):
-    import pandas as pd
-
     def run(texts: pd.Series) -> pd.Series:
         scorer = model.scorer()
         return texts.map(lambda t: scorer.score(t) >= REJECT)
