@@ -1,0 +1 @@
+"""tastegrid: collaborative filtering on one-class feedback, as Spark DataFrames."""
