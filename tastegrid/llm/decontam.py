@@ -54,7 +54,9 @@ def item_shingles(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
         F.least(F.size("w"), F.lit(words)).alias("width"),
         F.array_distinct(hashes).alias("h"),
     )
-    return own.select("item_id", "item_key", "width", F.size("h").alias("n_shingles"), F.explode("h").alias("hash"))
+    # explode_outer: for explode, the optimiser would infer a filter on the array's size and put the cutting of words into its inner function.
+    out = own.select("item_id", "item_key", "width", F.size("h").alias("n_shingles"), F.explode_outer("h").alias("hash"))
+    return out.where(F.col("hash").isNotNull())
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -76,7 +78,7 @@ def _document_hashes(docs: DataFrame, widths: list[int]) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("doc_key"), words_of(F.col("text")).alias("w"))
     every = F.concat(*[_shingle_hashes(F.col("w"), n) for n in widths])
-    return own.select("doc_id", "doc_key", F.explode(every).alias("hash"))
+    return own.select("doc_id", "doc_key", F.explode_outer(every).alias("hash")).where(F.col("hash").isNotNull())
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
