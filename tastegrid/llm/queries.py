@@ -110,4 +110,60 @@ GROUP BY doc_id, k, item_id, item
 HAVING count(*) >= ceil(any_value(n_shingles) * 0.8::DOUBLE - 1e-9)
 """
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
+def _op5_sql() -> str:
+    """Gaps and matches of each rule's pattern, as the operator takes them, with DuckDB's own regular expressions."""
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        least = f"length(regexp_extract(x.h, '{pattern}', {r.group})) >= {r.least}" if r.least else "true"
+        parts.append(f"""
+  SELECT rid, {k} AS k, '{r.kind}' AS kind, x.s AS s, x.s + length(x.h) AS e FROM (
+    SELECT rid, unnest(list_transform(range(1, len(hits) + 1), lambda i: struct_pack(
+      h := hits[i], s := coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0)
+        + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0)))) AS x
+    FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS hits, regexp_split_to_array(t, '{pattern}') AS gaps
+      FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE {least}""")
+    joined = "coalesce(string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, k, e) {0}, '')"
+    base = "FILTER (k < 3)"
+    counts = ", ".join(f"(count(*) FILTER (k = {k}))::BIGINT AS n_{r.kind}" for k, r in enumerate(secrets.BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT rid, {counts}, sha256({joined.format(base)}) AS base_sha256, {joined.format("")} AS spans FROM f GROUP BY rid)
+SELECT doc_id::BIGINT AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
+OP7_SQL = rf"""
+WITH t AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TURN}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TURN}'),
+a AS (
+  SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS tokens,
+    24 + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + len(regexp_extract_all(role, '<\\*\|'))
+      + length(text) + len(regexp_extract_all(text, '<\\*\|')) AS chars,
+    row_number() OVER w AS i FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+b AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) - tokens AS before, i = 1 AND role = 'system' AS is_system,
+    max(CASE WHEN i = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id) AS system_tokens,
+    max(CASE WHEN i = 1 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id) AS system_chars FROM a),
+c AS (SELECT *, greatest(2, {chat.BUDGET - chat.HISTORY_TOKENS} - coalesce(system_tokens, 0)) // 2 AS stretch FROM b),
+e AS (SELECT *, before // stretch AS cell, tokens > stretch AS long FROM c),
+g AS (SELECT *, coalesce(cell <> lag(cell) OVER w OR long OR lag(long) OVER w, true)::INT AS opens FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+h AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY i) - 1 AS n FROM g),
+j AS (
+  SELECT *, row_number() OVER w AS turns_after, sum(tokens) OVER w AS tokens_after, max(n) OVER (PARTITION BY conv_id) AS last_n
+  FROM h WINDOW w AS (PARTITION BY conv_id, n ORDER BY i DESC))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY i)) AS loss_sha256,
+  sum(chars
+    + CASE WHEN turns_after <= {chat.HISTORY_TURNS} AND tokens_after <= {chat.HISTORY_TOKENS} AND n < last_n AND NOT is_system THEN chars ELSE 0 END
+    + CASE WHEN opens = 1 AND n > 0 THEN coalesce(system_chars, 0) ELSE 0 END)::BIGINT AS formatted_chars
+FROM j GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op5_secrets": _op5_sql(), "op7_chat_windows": OP7_SQL}
