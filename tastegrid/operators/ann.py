@@ -37,7 +37,10 @@ class IVFIndex:
         self.nlist, self.nprobe, self.seed = nlist, nprobe, seed
 
     def build(self, vectors: DataFrame, centroids: DataFrame | None = None) -> "IVFIndex":
-        if centroids is None:
+        if centroids is None and self.nlist == 1:
+            # One cell holds all; k-means needs two.
+            centroids = vectors.limit(1).select(F.lit(0).alias("cell"), F.col("features").cast("array<double>").alias("centroid"))
+        elif centroids is None:
             from pyspark.ml.clustering import KMeans
             from pyspark.ml.functions import array_to_vector
 

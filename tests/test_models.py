@@ -13,14 +13,14 @@ from tastegrid.operators.lmf import LogisticMatrixFactorization
 from tests.helpers import checkerboard, ids, lists, of_rows
 
 MODELS = {
-    "als": lambda: AlternatingLeastSquares(factors=32, regularization=0, random_state=23, iterations=8),
+    "als": lambda: AlternatingLeastSquares(factors=3, regularization=0.01, random_state=23, iterations=8),
     "als_cholesky": lambda: AlternatingLeastSquares(factors=3, regularization=0.01, random_state=23, iterations=5, solver="cholesky"),
     "bpr": lambda: BayesianPersonalizedRanking(factors=3, regularization=0, random_state=42, learning_rate=0.05, iterations=40),
     "lmf": lambda: LogisticMatrixFactorization(factors=3, regularization=0, random_state=43, iterations=15),
-    "item": lambda: ItemItemRecommender(K=50),
-    "cosine": lambda: CosineRecommender(K=50),
-    "tfidf": lambda: TFIDFRecommender(K=50),
-    "bm25": lambda: BM25Recommender(K=50),
+    "item": lambda: ItemItemRecommender(K=50, digits=9),
+    "cosine": lambda: CosineRecommender(K=50, digits=9),
+    "tfidf": lambda: TFIDFRecommender(K=50, digits=9),
+    "bm25": lambda: BM25Recommender(K=50, digits=9),
     "ivf": lambda: ApproximateModel(AlternatingLeastSquares(factors=3, regularization=0.01, random_state=23, iterations=5), "ivf", nlist=1, nprobe=1),
 }
 FACTOR_MODELS = ["als", "als_cholesky", "bpr", "lmf"]
