@@ -195,10 +195,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
     hit = F.lit(False)
     for r in rules:
         hit = hit | text.rlike(r.hint or r.pattern)
-    blobs = blobs_of(versions_of(docs.where(hit)))
-    book = scan(blobs, rules).where(F.size("found") > 0).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("__found"))
-    keyed = docs.withColumn("__blob", F.when(hit, F.unhex(F.sha2(text.cast("binary"), 256))))
-    joined = keyed.join(book.withColumnRenamed("blob", "__blob"), "__blob", "left")
+    # Texts without a match go by the ledger and the join, and so cross no shuffle.
+    hits = docs.where(hit)
+    book = scan(blobs_of(versions_of(hits)), rules).where(F.size("found") > 0)
+    book = book.groupBy(F.col("blob").alias("__blob")).agg(F.flatten(F.collect_list("found")).alias("__found"))
+    joined = hits.withColumn("__blob", F.unhex(F.sha2(text.cast("binary"), 256))).join(book, "__blob", "left")
     places = F.array_sort(F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
 
     def step(state: Column, x: Column) -> Column:
@@ -219,4 +220,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
     out = joined.withColumn("text", F.when(F.col("__found").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    return docs.where(~hit).unionByName(out.select(*names))
