@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -25,14 +26,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tastegrid.llm.common import shuffle_partitions, text_of
+from tastegrid.llm.common import shuffle_partitions, small_batches, text_of
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
-#: Distinct pre-tokens that one encoding task remembers; beyond it the oldest are encoded again.
-MEMO = 1_000_000
+BLOCK_BYTES = 8 << 20
+#: Distinct pre-tokens of a bucket that its task remembers; beyond them some are encoded again.
+MEMO = 500_000
 MOST_BUCKETS = 1024
+#: Documents of a block that leave its task together.
+OUT_ROWS = 256
 
 
 @lru_cache(maxsize=2)
@@ -94,6 +98,14 @@ def _unpack(data: bytes, planes: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Ids and texts, a few as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list, list[str]]]:
     """(name, doc_ids, texts) of blocks of at most BLOCK_BYTES, or of one text."""
 
@@ -105,20 +117,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list, li
         return h.digest()
 
     ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n = len(t) if t.isascii() else len(t.encode("utf-8"))
-            if texts and size + n > BLOCK_BYTES:
-                yield name(ids, texts), ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            size += n
+    for i, t in _rows(batches):
+        n = len(t) if t.isascii() else len(t.encode("utf-8"))
+        if texts and size + n > BLOCK_BYTES:
+            yield name(ids, texts), ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(i)
+        texts.append(t)
+        size += n
     if texts:
         yield name(ids, texts), ids, texts
 
 
-def _order(words: Counter, buckets: int) -> list[list[str]]:
+def _order(words: dict[str, int], buckets: int) -> list[list[str]]:
     """A block's distinct words by bucket, the frequent first."""
     out: list[list[str]] = [[] for _ in range(buckets)]
     for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
@@ -158,21 +169,27 @@ def _positions_of(pattern: str, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = _compiled(pattern).findall
         for name, ids, texts in _blocks(batches):
-            words: Counter = Counter()
-            lists = []
+            # Words are numbered as they come, so that no list of all words is held; then as they will come back.
+            seen: dict[str, int] = {}
+            parts = []
             for t in texts:
-                w = cut(t)
-                words.update(w)
-                lists.append(w)
-            # Bucket by bucket as they will come back, but numbered across the buckets so that frequent words get small numbers.
-            number = {w: k * buckets + b for b, own in enumerate(_order(words, buckets)) for k, w in enumerate(own)}
-            flat = np.fromiter((number[w] for x in lists for w in x), np.uint32, sum(map(len, lists)))
+                parts.append(np.array([seen.setdefault(w, len(seen)) for w in cut(t)], np.uint32))
+            raw = np.concatenate(parts)
+            lengths = [len(x) for x in parts]
+            del parts
+            counts = np.bincount(raw, minlength=len(seen))
+            renumbered = np.empty(len(seen), np.uint32)
+            # Numbers run across the buckets, so that frequent words get small ones.
+            for b, own in enumerate(_order(dict(zip(seen, counts.tolist())), buckets)):
+                for k, w in enumerate(own):
+                    renumbered[seen[w]] = k * buckets + b
+            flat = renumbered[raw] if len(raw) else raw
             planes = 4 if len(flat) and int(flat.max()) >= 1 << 24 else 3
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name], pa.binary()),
                     pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([[len(x) for x in lists]], pa.list_(pa.int32())),
+                    pa.array([lengths], pa.list_(pa.int32())),
                     pa.array([planes], pa.int32()),
                     pa.array([_pack(flat, planes)], pa.binary()),
                 ],
@@ -187,25 +204,26 @@ def _encode_of(ranks_path: str, pattern: str) -> Callable:
         import zstandard
 
         piece = encoder(ranks_path, pattern)._core_bpe.encode_single_piece
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
+        bucket = None
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for n, data in zip(batch.column("n").to_pylist(), batch.column("words").to_pylist()):
+            for own, n, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "words"))):
+                if own != bucket or len(known) >= MEMO:
+                    known.clear()
+                    bucket = own
                 raw = open_(data)
-                lengths = np.frombuffer(raw, "<u4", n)
-                at, ids, counts = 4 * n, [], []
-                for k in lengths.tolist():
+                at, ids = 4 * n, []
+                for k in np.frombuffer(raw, "<u4", n).tolist():
                     w = raw[at : at + k]
                     at += k
                     got = known.get(w)
                     if got is None:
-                        if len(known) >= MEMO:
-                            known.clear()
-                        got = known[w] = piece(w)
-                    counts.append(len(got))
-                    ids += got
-                both = np.array(counts + ids, np.uint32)
+                        x = piece(w)
+                        got = known[w] = struct.pack(f"<{len(x)}I", *x)
+                    ids.append(got)
+                both = np.concatenate([np.array([len(x) >> 2 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4")])
                 planes = 2 if both.max() < 1 << 16 else 4
                 out.append(bytes([planes]) + _pack(both, planes))
             yield pa.RecordBatch.from_arrays(
@@ -217,43 +235,56 @@ def _encode_of(ranks_path: str, pattern: str) -> Callable:
 
 
 def _assemble_of(ranks_path: str, buckets: int, keep_ids: bool) -> Callable:
-    def run(words: pa.Table, docs: pa.Table) -> pa.Table:
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * keep_ids
-        rows: list[tuple] = []
-        if docs.num_rows:
-            table = token_bytes(ranks_path)
-            # For word number k * buckets + bucket: where its ids start and how many there are.
-            most = max(words.column("n").to_pylist(), default=0)
-            starts = np.full(most * buckets, -1, np.int64)
-            counts = np.zeros(most * buckets, np.int64)
-            flat, size = [], 0
-            for bucket, n, data in zip(words.column("bucket").to_pylist(), words.column("n").to_pylist(), words.column("ids").to_pylist()):
-                both = _unpack(data[1:], data[0])
-                own = both[:n].astype(np.int64)
-                at = np.arange(n) * buckets + bucket
-                counts[at] = own
-                starts[at] = size + np.cumsum(own) - own
-                flat.append(both[n:])
-                size += int(own.sum())
-            ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-            for r in docs.to_pylist():
-                numbers = _unpack(r["positions"], r["planes"]).astype(np.int64)
-                at = 0
-                for doc_id, n in zip(r["doc_ids"], r["lengths"]):
-                    w = numbers[at : at + n]
-                    at += n
-                    if n and (int(w.max()) >= len(starts) or (starts[w] < 0).any()):
-                        raise ValueError("a block came back without some of its words: docs gave other rows when they were read again")
-                    own = ids[_spread(starts[w], counts[w])]
-                    row = (
-                        doc_id,
-                        len(own),
-                        hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(),
-                        hashlib.sha256(join_bytes(own, table)).hexdigest(),
-                    )
-                    rows.append(row + ((own.astype(np.int32),) if keep_ids else ()))
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
+
+    def documents(starts: np.ndarray, counts: np.ndarray, ids: np.ndarray, row: dict) -> Iterator[pa.RecordBatch]:
+        """A block's documents from where each word's ids start, how many there are, and the positions."""
+        table = token_bytes(ranks_path)
+        numbers = _unpack(row["data"], row["n"])
+        at = 0
+        for first in range(0, len(row["doc_ids"]), OUT_ROWS):
+            keys = row["doc_ids"][first : first + OUT_ROWS]
+            out, n_tokens, shas, decoded = [], [], [], []
+            for n in row["lengths"][first : first + OUT_ROWS]:
+                w = numbers[at : at + n]
+                at += n
+                if n and (int(w.max()) >= len(starts) or (starts[w] < 0).any()):
+                    raise ValueError("a block came back without some of its words: docs gave other rows when they were read again")
+                own = ids[_spread(starts[w], counts[w])]
+                n_tokens.append(len(own))
+                shas.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(join_bytes(own, table)).hexdigest())
+                if keep_ids:
+                    out.append(own.astype(np.int32))
+            columns = [pa.array(keys, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(shas), pa.array(decoded)]
+            if keep_ids:
+                ends = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, words, known = None, [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["block"] != block:
+                    block, words, known = row["block"], [], None
+                if row["bucket"] >= 0:
+                    words.append((row["bucket"], row["n"], _unpack(row["data"][1:], row["data"][0])))
+                    continue
+                if known is None:
+                    # For word number k * buckets + bucket: where its ids start and how many there are.
+                    most = max((n for _, n, _ in words), default=0)
+                    starts, counts = np.full(most * buckets, -1, np.int64), np.zeros(most * buckets, np.int64)
+                    size = 0
+                    for bucket, n, both in words:
+                        own = both[:n].astype(np.int64)
+                        at = np.arange(n) * buckets + bucket
+                        counts[at], starts[at] = own, size + np.cumsum(own) - own
+                        size += int(own.sum())
+                    ids = np.concatenate([both[n:] for _, n, both in words]) if words else np.zeros(0, np.uint32)
+                    known, words = (starts, counts, ids), []
+                yield from documents(*known, row)
 
     return run
 
@@ -271,15 +302,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = True
     are not read.
     """
     buckets = max(8, min(MOST_BUCKETS, shuffle_partitions(docs.sparkSession)))
-    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
+    own = small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
     words = own.mapInArrow(_words_of(pattern, buckets), "bucket int, block binary, n int, words binary")
-    encoded = words.repartition("bucket").mapInArrow(_encode_of(ranks_path, pattern), "block binary, bucket int, n int, ids binary")
+    encoded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_of(ranks_path, pattern), "block binary, bucket int, n int, ids binary")
     positions = own.mapInArrow(
         _positions_of(pattern, buckets),
         "block binary, doc_ids array<bigint>, lengths array<int>, planes int, positions binary",
     )
+    # A block's words come before its positions, which have bucket -1.
+    both = encoded.select(
+        "block", "bucket", "n", F.col("ids").alias("data"), F.lit(None).cast("array<bigint>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("lengths")
+    ).unionByName(positions.select("block", F.lit(-1).alias("bucket"), F.col("planes").alias("n"), F.col("positions").alias("data"), "doc_ids", "lengths"))
     kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return encoded.groupBy("block").cogroup(positions.groupBy("block")).applyInArrow(_assemble_of(ranks_path, buckets, keep_ids), kind)
+    together = both.repartition("block").sortWithinPartitions("block", F.col("bucket").desc())
+    return together.mapInArrow(_assemble_of(ranks_path, buckets, keep_ids), kind)
 
 
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:

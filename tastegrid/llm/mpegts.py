@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tastegrid.llm.common import text_of
+from tastegrid.llm.common import small_batches, text_of
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID, STREAM_TYPE, STREAM_ID = 188, 0x47, 0, 0x06, 0xBD
@@ -253,7 +253,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 cols = [pa.array([r[i] for r in rows], types[i]) for i in range(len(names) - 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names)
 
-    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
+    own = small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
     return own.mapInArrow(run, kind)
 
 

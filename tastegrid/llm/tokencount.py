@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tastegrid.llm.common import text_of
+from tastegrid.llm.common import small_batches, text_of
 
 SPACE = "▁"
 #: Entries of the memo of chunk counts, and of that of piece pairs, in one Python worker.
@@ -184,5 +184,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = DEFAULT_LIMIT, p
                 names.append("prefix_tokens")
             yield pa.RecordBatch.from_arrays(out, names)
 
-    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
+    own = small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
     return own.mapInArrow(run, kind)

@@ -23,12 +23,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import text_of
+from tastegrid.llm.common import small_batches, text_of
 
 #: Labelled rows that training takes at most, the first by a hash of their id, and characters of each.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2000, 6000, 20_000
@@ -41,6 +40,8 @@ ERRORS, TIMES, SHARE = 3.5, 8, 0.015
 BALLAST = bytes(range(128, 208))
 GRAM, COMMON_WORDS = 5, 300
 REJECT = 0.7
+#: Words whose nearness to a mark a worker remembers, and rows that it takes as Python objects at a time.
+NEAR_MEMO, SLICE = 200_000, 512
 _WORD = re.compile(r"\w+")
 
 
@@ -100,7 +101,7 @@ class Scorer:
     def differences(self, words: list[str]) -> list[int]:
         """How much shorter each window gets by the toxic dictionary than by the other; windows without any piece of a mark cannot and are left out."""
         near, out = self.near, []
-        if len(near) > 500_000:
+        if len(near) > NEAR_MEMO:
             near.clear()
         last = -1
         for i, w in enumerate(words):
@@ -231,26 +232,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
-            s = [scorer.score(t) for t in batch.column(2).to_pylist()]
-            predicted = pa.array([int(x >= REJECT) for x in s], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(s, pa.float64()), predicted], ["doc_id", "held_out", "score", "predicted"]
-            )
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                s = [scorer.score(t) for t in part.column(2).to_pylist()]
+                columns = [part.column(0), part.column(1), pa.array(s, pa.float64()), pa.array([int(x >= REJECT) for x in s], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     key = F.col("doc_id").cast("bigint")
-    own = docs.select(key.alias("doc_id"), F.coalesce(fold_of(key) == 1, F.lit(False)).alias("held_out"), text_of().alias("text"))
+    own = small_batches(docs).select(key.alias("doc_id"), F.coalesce(fold_of(key) == 1, F.lit(False)).alias("held_out"), text_of().alias("text"))
     return own.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose score is below the rejection threshold, with all columns."""
-    reject = F.pandas_udf(_rejecter(model), "boolean")
-    return docs.where(~reject(text_of()))
+    at = docs.columns.index("text")
 
-
-def _rejecter(model: Model):
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        return texts.map(lambda t: scorer.score(t) >= REJECT)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield part.filter(pa.array([scorer.score(t or "") < REJECT for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return run
+    return small_batches(docs).mapInArrow(run, docs.schema)
