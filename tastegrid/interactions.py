@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegrid.sources.checkpoints import stash
+
 USER, ITEM, WEIGHT = "user_id", "item_id", "weight"
 
 
@@ -66,7 +68,8 @@ def encode_labels(df: DataFrame, label: str, code: str) -> DataFrame:
     spark = df.sparkSession
     labels = df.select(F.col(label).alias("label")).dropna().distinct()
     ranged = labels.repartitionByRange("label").sortWithinPartitions("label")
-    numbered = ranged.select("label", F.spark_partition_id().alias("p"), (F.monotonically_increasing_id() % (1 << 33)).alias("i"))
+    # Written down: ranges are drawn by sampling, so a second run might number otherwise.
+    numbered = stash(ranged.select("label", F.spark_partition_id().alias("p"), (F.monotonically_increasing_id() % (1 << 33)).alias("i")), "labels")
     # One row for each partition.
     sizes = sorted((r["p"], r["n"]) for r in numbered.groupBy("p").agg(F.count("*").alias("n")).collect())
     offsets, total = [], 0

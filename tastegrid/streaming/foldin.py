@@ -12,7 +12,7 @@ from tastegrid.operators.als import AlternatingLeastSquares
 class FoldIn:
     """Applies micro-batches of (user_id, item_id, weight) to a model.
 
-    history: a Delta-free Parquet folder of all interactions so far.  A batch is
+    history: a Parquet folder of all interactions so far.  A batch is
     appended under its batch id, so that a batch that is tried again replaces itself,
     and the batch's users are refitted on all their interactions.
     """
