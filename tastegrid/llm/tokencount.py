@@ -31,6 +31,8 @@ from tastegrid.llm.common import small_batches, text_of
 SPACE = "▁"
 #: Entries of the memo of chunk counts, and of that of piece pairs, in one Python worker.
 MEMO, PAIR_MEMO = 900_000, 500_000
+#: Rows that are taken as Python objects at a time.
+SLICE = 1000
 DEFAULT_LIMIT = 4096
 
 
@@ -81,11 +83,10 @@ class PrefixCounter:
     def cost(self, char: str) -> int:
         return 1 if char in self.score else len(char.encode("utf-8", "surrogatepass"))
 
-    def table(self, chunk: str) -> list[int]:
-        """Token counts of the chunk's prefixes of 0, 1, ... characters."""
-        n, valid, longest, pairs = len(chunk), self.valid, self.longest, self.pairs
-        count, last = [0] * (n + 1), [""] * (n + 1)
-        for i in range(1, n + 1):
+    def extend(self, chunk: str, count: list[int], last: list[str]) -> None:
+        """Carry the programme on from the prefix that count and last hold to the whole chunk."""
+        valid, longest, pairs = self.valid, self.longest, self.pairs
+        for i in range(len(count), len(chunk) + 1):
             for start in range(i - longest if i > longest else 0, i):
                 piece = chunk[start:i]
                 if piece in valid or start == i - 1:
@@ -96,29 +97,53 @@ class PrefixCounter:
                             fit = self.fits(before, piece)
                         if not fit:
                             continue
-                    count[i] = count[start] + (1 if piece in valid else self.cost(piece))
-                    last[i] = piece
+                    count.append(count[start] + (1 if piece in valid else self.cost(piece)))
+                    last.append(piece)
                     break
             else:
                 raise AssertionError(f"no compatible piece at {i} of {chunk!r}")
+
+    def table(self, chunk: str) -> list[int]:
+        """Token counts of the chunk's prefixes of 0, 1, ... characters."""
+        count, last = [0], [""]
+        self.extend(chunk, count, last)
         return count
 
+    def learn(self, chunks: set[str]) -> None:
+        """Remember the totals of chunks.  In order, one chunk goes on from the prefix that it shares with the one before."""
+        if len(self.totals) + len(chunks) > MEMO:
+            self.totals.clear()
+        count, last, before = [0], [""], ""
+        for chunk in sorted(chunks):
+            n = 0
+            for x, y in zip(before, chunk):
+                if x != y:
+                    break
+                n += 1
+            del count[n + 1 :], last[n + 1 :]
+            self.extend(chunk, count, last)
+            self.totals[chunk] = count[-1]
+            before = chunk
+
     def total(self, chunk: str) -> int:
-        known = self.totals.get(chunk)
-        if known is None:
-            if len(self.totals) >= MEMO:
-                self.totals.clear()
-            known = self.table(chunk)[-1]
-            if len(chunk) <= 64:
-                self.totals[chunk] = known
-        return known
+        if chunk not in self.totals:
+            self.learn({chunk})
+        return self.totals[chunk]
 
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Token counts of whole texts."""
+        cut = [self.chunks(t) for t in texts]
+        missing = set().union(*cut).difference(self.totals)
+        if missing:
+            self.learn(missing)
+        known = self.totals
+        return [sum([known[c] if c in known else self.total(c) for c in x]) for x in cut]
+
     def count(self, text: str) -> int:
-        known, total = self.totals.get, self.total
-        return sum([known(c) or total(c) for c in self.chunks(text)])
+        return self.counts([text])[0]
 
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of the text's prefixes of 0, 1, ..., len(text) characters."""
@@ -169,20 +194,22 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = DEFAULT_LIMIT, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_path)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            n = [c.count(t) for t in texts]
-            out = [
-                ids,
-                pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()),
-                pa.array(n, pa.int64()),
-                pa.array([x > limit for x in n], pa.bool_()),
-                pa.array([len(t) if x <= limit else c.longest_prefix(t, limit) for t, x in zip(texts, n)], pa.int64()),
-            ]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"]
-            if prefixes:
-                out.append(pa.array([c.prefixes(t) for t in texts], pa.list_(pa.int32())))
-                names.append("prefix_tokens")
-            yield pa.RecordBatch.from_arrays(out, names)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = part.column(1).to_pylist()
+                n = c.counts(texts)
+                out = [
+                    part.column(0),
+                    pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()),
+                    pa.array(n, pa.int64()),
+                    pa.array([x > limit for x in n], pa.bool_()),
+                    pa.array([len(t) if x <= limit else c.longest_prefix(t, limit) for t, x in zip(texts, n)], pa.int64()),
+                ]
+                names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"]
+                if prefixes:
+                    out.append(pa.array([c.prefixes(t) for t in texts], pa.list_(pa.int32())))
+                    names.append("prefix_tokens")
+                yield pa.RecordBatch.from_arrays(out, names)
 
     own = small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
     return own.mapInArrow(run, kind)
