@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is absent (tests on one machine) a temporary folder is
-    made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tastegrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
 
+from tastegrid.sources.checkpoints import shared_dir, stash
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and return it read back.
-
-    Cuts the lineage: a lost executor costs a read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = [
+    "bounded_bytes", "documents", "shared_dir", "shuffle_partitions", "small_batches", "stash", "table", "text_of",
+]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -63,13 +41,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def schema(**fields: T.DataType | str) -> T.StructType:
-    out = T.StructType()
-    for name, kind in fields.items():
-        out = out.add(name, kind)
-    return out
-
-
 def bounded_bytes(df: DataFrame, size: Column, limit: int) -> bool:
     """Whether df holds at most `limit` bytes; the check that a broadcast needs."""
     total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
