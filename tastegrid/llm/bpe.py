@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -129,11 +129,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list, li
         yield name(ids, texts), ids, texts
 
 
-def _order(words: dict[str, int], buckets: int) -> list[list[str]]:
-    """A block's distinct words by bucket, the frequent first."""
+def _order(words: dict, buckets: int) -> list[list[str]]:
+    """A block's distinct words by bucket, in the order in which they first come: frequent words come early."""
     out: list[list[str]] = [[] for _ in range(buckets)]
-    for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        out[xxhash.xxh32_intdigest(w.encode("utf-8")) % buckets].append(w)
+    for w in words:
+        out[zlib.crc32(w.encode("utf-8")) % buckets].append(w)
     return out
 
 
@@ -143,9 +143,9 @@ def _words_of(pattern: str, buckets: int) -> Callable:
 
         cut = _compiled(pattern).findall
         for name, _, texts in _blocks(batches):
-            words: Counter = Counter()
+            words: dict[str, None] = {}
             for t in texts:
-                words.update(cut(t))
+                words.update(dict.fromkeys(cut(t)))
             squeeze = zstandard.ZstdCompressor(level=3)
             rows = [(b, w) for b, w in enumerate(_order(words, buckets)) if w]
             encoded = [[x.encode("utf-8") for x in w] for _, w in rows]
@@ -177,10 +177,9 @@ def _positions_of(pattern: str, buckets: int) -> Callable:
             raw = np.concatenate(parts)
             lengths = [len(x) for x in parts]
             del parts
-            counts = np.bincount(raw, minlength=len(seen))
             renumbered = np.empty(len(seen), np.uint32)
             # Numbers run across the buckets, so that frequent words get small ones.
-            for b, own in enumerate(_order(dict(zip(seen, counts.tolist())), buckets)):
+            for b, own in enumerate(_order(seen, buckets)):
                 for k, w in enumerate(own):
                     renumbered[seen[w]] = k * buckets + b
             flat = renumbered[raw] if len(raw) else raw
