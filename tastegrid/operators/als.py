@@ -26,6 +26,8 @@ from tastegrid.sources.checkpoints import stash
 
 #: Entries of a user from which on its normal equations are summed in parts.
 HOT_USER = 50_000
+#: Entries that the broadcast kernel works on at once.
+CACHED_ENTRIES = 4096
 
 
 def _normal(y: np.ndarray, c: np.ndarray, starts: np.ndarray, yty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,20 +91,25 @@ def half_step_broadcast(entries: DataFrame, y: np.ndarray, x: np.ndarray | None,
     kind = np.float64 if dtype == "float64" else np.float32
     yty = y.astype(np.float64).T @ y.astype(np.float64) + reg * np.eye(y.shape[1])
     sc = entries.sparkSession.sparkContext
-    shared_y, shared_x = sc.broadcast(y), sc.broadcast(x) if cg_steps else None
+    shared_y, shared_x, width = sc.broadcast(y), sc.broadcast(x) if cg_steps else None, y.shape[1]
 
     def kernel(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         user, item, c = columns
         starts, ids = fx.segments(user)
-        rows = shared_y.value[item].astype(kind)
-        if cg_steps:
-            x0 = shared_x.value
-            before = np.zeros((len(ids), rows.shape[1]), kind)
-            known = ids < len(x0)
-            before[known] = x0[ids[known]]
-            out = solve_cg(rows, c.astype(kind), starts, yty.astype(kind), before, cg_steps)
-        else:
-            out = solve_cholesky(rows.astype(np.float64), c, starts, yty)
+        c, out = c.astype(kind if cg_steps else np.float64), np.empty((len(ids), width), kind)
+        # A few thousand entries at a time stay in the processor's cache, which is several times faster.
+        cuts = np.unique(np.r_[0, np.searchsorted(starts, np.arange(CACHED_ENTRIES, len(c), CACHED_ENTRIES)), len(ids)])
+        for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
+            lo, hi = starts[a], starts[z] if z < len(ids) else len(c)
+            rows = shared_y.value[item[lo:hi]]
+            if cg_steps:
+                x0 = shared_x.value
+                before = np.zeros((z - a, width), kind)
+                known = ids[a:z] < len(x0)
+                before[known] = x0[ids[a:z][known]]
+                out[a:z] = solve_cg(rows.astype(kind, copy=False), c[lo:hi], starts[a:z] - lo, yty.astype(kind), before, cg_steps)
+            else:
+                out[a:z] = solve_cholesky(rows.astype(np.float64), c[lo:hi], starts[a:z] - lo, yty)
         yield fx.factor_batch(ids, out, kind)
 
     schema = FACTORS.replace("float", "double") if dtype == "float64" else FACTORS
