@@ -229,6 +229,30 @@ def test_passages_without_broadcasts(passages, monkeypatch):
     assert want == order(map(tuple, substring.repeated_passages(docs).collect()))
 
 
+def shared_words(spark, texts):
+    """(doc_id, ref_doc_id, the passage's words) of each passage of a few texts."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = substring.repeated_passages(docs).where("kind = 'passage'").collect()
+    return [(r["doc_id"], r["ref_doc_id"], *texts[r["doc_id"]].split()[r["start_word"] : r["end_word"]]) for r in found]
+
+
+def holds(found, passage):
+    return any(" ".join(words).find(passage) >= 0 for _, _, *words in found)
+
+
+def test_passages_near_each_other_are_found(spark):
+    """Two passages, and a passage and a shared line, with other words between them, are not one passage."""
+    rng, texts, cases = random.Random(21), [], []
+    for first, gap, second in ((60, 50, 60), (100, 60, 100), (60, 40, 20), (60, 80, 20)):
+        x, y = prose(rng, first), prose(rng, second)
+        texts += [f"{prose(rng, 40)} {x} {prose(rng, gap)} {y} {prose(rng, 40)}" for _ in range(2)]
+        cases.append((len(texts) - 1, x, y if second >= 50 else None))
+    found = shared_words(spark, texts)
+    for d, x, y in cases:
+        own = [r for r in found if d in r[:2]]
+        assert holds(own, x) and (y is None or holds(own, y)) and len(own) == (1 if y is None else 2), d
+
+
 def best_chain(p, r):
     """The best chain's score by trying all predecessors."""
     best = {}
