@@ -279,6 +279,14 @@ def test_chains_are_in_order(points):
     assert score == pytest.approx(best_chain(p.tolist(), r.tolist()))
 
 
+@pytest.mark.parametrize("first,gap,shift", [(60, 150, 0), (300, 500, 7), (1000, 1500, -40)])
+def test_a_strong_chain_hides_no_later_one(first, gap, shift):
+    """A later passage's matches follow each other, however strong a chain too far before them is."""
+    p = np.array([*range(0, first, 6), *range(first + gap, first + gap + 60, 6)])
+    r = p + np.where(p < first, 0, shift)
+    assert sorted(len(c) for c in substring.chain(p, r)) == sorted([len(range(0, first, 6)), 10])
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_common_words(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
