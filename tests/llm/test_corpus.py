@@ -253,6 +253,23 @@ def test_passages_near_each_other_are_found(spark):
         assert holds(own, x) and (y is None or holds(own, y)) and len(own) == (1 if y is None else 2), d
 
 
+@pytest.mark.parametrize("lines,words", [(3, 20), (3, 30), (4, 25)])
+def test_lines_that_others_hold_part_no_two_texts(lines, words):
+    """Two texts that share a passage are linked by it, though texts of lesser keys hold its lines singly."""
+    rng = random.Random(lines * words)
+    for _ in range(30):
+        own = [prose(rng, words) for _ in range(lines)]
+        texts = [f"{prose(rng, 30)} {x} {prose(rng, 30)}" for x in own] + [f"{prose(rng, 30)} {' '.join(own)} {prose(rng, 30)}" for _ in range(2)]
+        rows = []
+        for key, text in enumerate(texts):
+            seed, at = substring.seeds_of(text)
+            run, first = substring.runs_of(seed, at)
+            rows += [(s | 1, key, p) for s, p in zip(run.tolist(), first.tolist())]
+        seed, key, _ = (np.array(x) for x in zip(*sorted(rows)))
+        i, j = substring.links(seed, key, np.zeros(len(seed), bool))
+        assert (lines + 1, lines) in set(zip(key[i].tolist(), key[j].tolist()))
+
+
 def best_chain(p, r):
     """The best chain's score by trying all predecessors."""
     best = {}
