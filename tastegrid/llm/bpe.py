@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import shuffle_partitions, small_batches, text_of
+from tastegrid.llm.common import shuffle_partitions, slices, text_of
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -101,8 +101,7 @@ def _unpack(data: bytes, planes: int) -> np.ndarray:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Ids and texts, a few as Python objects at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in slices(batch, 256):
             yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
 
 
@@ -301,7 +300,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = True
     are not read.
     """
     buckets = max(8, min(MOST_BUCKETS, shuffle_partitions(docs.sparkSession)))
-    own = small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
+    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
     words = own.mapInArrow(_words_of(pattern, buckets), "bucket int, block binary, n int, words binary")
     encoded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_of(ranks_path, pattern), "block binary, bucket int, n int, ids binary")
     positions = own.mapInArrow(

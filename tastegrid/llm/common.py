@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.sources.checkpoints import shared_dir, stash
 
 __all__ = [
-    "bounded_bytes", "documents", "shared_dir", "shuffle_partitions", "small_batches", "stash", "table", "text_of",
+    "bounded_bytes", "documents", "shared_dir", "shuffle_partitions", "slices", "stash", "table", "text_of",
 ]
 
 
@@ -24,18 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch of texts, which may be long; Spark's default of 10,000 holds tens of megabytes on either side of the pipe.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-
-
-def small_batches(docs: DataFrame) -> DataFrame:
-    """docs, with the session's Arrow batches set to at most BATCH_ROWS rows and, where Spark knows that limit, about BATCH_BYTES bytes."""
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-    return docs
-
-
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -45,3 +36,14 @@ def bounded_bytes(df: DataFrame, size: Column, limit: int) -> bool:
     """Whether df holds at most `limit` bytes; the check that a broadcast needs."""
     total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
     return total <= limit
+
+
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most `rows` rows and, but for single rows, about `size` bytes, so that few texts are Python objects at a time."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > size:
+            n = (n + 1) // 2
+        yield batch.slice(at, n)
+        at += n

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tastegrid.llm.common import small_batches, text_of
+from tastegrid.llm.common import slices, text_of
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID, STREAM_TYPE, STREAM_ID = 188, 0x47, 0, 0x06, 0xBD
@@ -247,13 +247,12 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch):
                 rows = [one(t) for t in part.column(1).to_pylist()]
                 cols = [pa.array([r[i] for r in rows], types[i]) for i in range(len(names) - 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names)
 
-    own = small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
+    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
     return own.mapInArrow(run, kind)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import small_batches, stash, text_of
+from tastegrid.llm.common import slices, stash, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information from which on a term is generalised, and removed.
@@ -112,7 +112,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("places", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for text in batch.column(2).to_pylist():
                 spans = base_spans(text)
@@ -126,7 +126,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names
             )
 
-    own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
     return own.mapInArrow(
         run,
@@ -145,14 +145,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
             n.clear()
             return out
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for text in batch.column(0).to_pylist():
                 n.update(set(_WORD.findall(text.lower())))
                 if len(n) > 600_000:
                     yield flush()
         yield flush()
 
-    return small_batches(docs).select(text_of().alias("text")).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return docs.select(text_of().alias("text")).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosing(scanned: DataFrame, docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -221,7 +221,7 @@ def digest(found: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id and text with base spans replaced by their kind, disclosing terms by [TERM] or by nothing."""
     found = find(docs, generalise, remove).select(F.col("doc_id").alias("f_id"), "text_key", "base", "terms").distinct()
-    own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("own_key"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("own_key"))
     joined = own.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("own_key") == F.col("text_key")))
 
     def place(x: Column) -> Column:

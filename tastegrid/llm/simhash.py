@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import bounded_bytes, small_batches, stash, text_of
+from tastegrid.llm.common import bounded_bytes, slices, stash, text_of
 
 RADIUS, WORDS, BITS, SEED = 3, 3, 64, 42
 #: Relative costs of a candidate pair and of a probe.
@@ -54,12 +54,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch):
                 fp = [fingerprint(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     return own.mapInArrow(run, "doc_id bigint, fp bigint")
 
 

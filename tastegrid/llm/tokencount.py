@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tastegrid.llm.common import small_batches, text_of
+from tastegrid.llm.common import slices, text_of
 
 SPACE = "▁"
 #: Entries of the memo of chunk counts, and of that of piece pairs, in one Python worker.
@@ -194,8 +194,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = DEFAULT_LIMIT, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, SLICE):
                 texts = part.column(1).to_pylist()
                 n = c.counts(texts)
                 out = [
@@ -211,5 +210,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = DEFAULT_LIMIT, p
                     names.append("prefix_tokens")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    own = small_batches(docs).select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
+    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of().alias("text"))
     return own.mapInArrow(run, kind)

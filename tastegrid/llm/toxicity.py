@@ -1,25 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
-They hold the same stock of common ordinary words; then the toxic one holds what
-marks toxic text against ordinary text, the other rarer ordinary words of the
-same size.  A window of words is compressed with either, and the difference of
-the two lengths says how much closer the window is to toxic text.  A document's
-score is a logistic function, calibrated on labelled documents that took no part
-in the dictionaries, of its windows' differences.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
+Every window of a text is compressed with either, and the difference of the two
+lengths, as a share of the window's length, says how much closer the window is
+to toxic text.  Thresholds are quantiles of that share over windows of ordinary
+labelled texts; a document's score is a logistic function of how many of its
+windows reach each threshold, against how many would by chance.
+
+A toxic text is mostly ordinary, so the dictionaries are trained in rounds: first
+on whole texts of either label, then on those of their windows that dictionaries
+trained on other texts found closer to toxic text than nearly all ordinary
+windows are.  Windows of that kind in ordinary texts teach the ordinary
+dictionary what is there by chance.  A part of the labelled texts trains no
+dictionary and calibrates.
 
 Training takes a bounded sample of the labelled rows (TOXIC_ROWS, ORDINARY_ROWS,
-SAMPLE_CHARS); scoring takes every window of every whole text.
+SAMPLE_CHARS), whole texts each, in one task; scoring takes every window of every
+whole text.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,106 +34,136 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import small_batches, text_of
+from tastegrid.llm.common import slices, text_of
 
-#: Labelled rows that training takes at most, the first by a hash of their id, and characters of each.
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2000, 6000, 20_000
+#: Labelled rows that training takes at most, the first by a hash of their id, and characters of either kind in all.
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2000, 6000, 16_000_000
 #: Words in a window.
-WINDOW = 2
-#: A term marks toxic text if its log odds exceed zero by so many standard errors, its share among toxic texts is so many
-#: times that among ordinary ones, and so large a part of the toxic texts holds it.
-ERRORS, TIMES, SHARE = 3.5, 8, 0.015
-#: Bytes that either dictionary knows, put before every window: too small blocks would be stored as they are.
+WINDOW = 1
+#: Bytes of a dictionary, of a piece that its training takes, and of the runs by which pieces are rated.
+SIZE, PIECE, RUN = 16_384, 16, 6
+#: Rounds of choosing windows, the share of ordinary windows that the first round's choice lets through (halved each round),
+#: parts of the cross-fitting, and windows of a text in a training sample.
+ROUNDS, CHANCE, FOLDS, SAMPLE_WINDOWS = 3, 0.03, 6, 50
+#: Shares of ordinary windows below the thresholds.
+QUANTILES = (0.9, 0.97, 0.99, 0.997, 0.999, 0.9999)
+#: Bytes that either dictionary knows, put after every window: a block too small would be stored as it is, and no match begins
+#: in its last bytes.
 BALLAST = bytes(range(128, 208))
-GRAM, COMMON_WORDS = 5, 300
+MATCH, LEVEL, RIDGE = 5, 9, 0.3
+#: Windows that a shorter text counts as, and the most standard deviations that count.
+LEAST, MOST = 50, 6.0
 REJECT = 0.7
-#: Words whose nearness to a mark a worker remembers, and rows that it takes as Python objects at a time.
-NEAR_MEMO, SLICE = 200_000, 512
+#: Windows whose share a worker remembers.
+MEMO = 200_000
 _WORD = re.compile(r"\w+")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def windows_of(text: str) -> list[str]:
+    """Every run of WINDOW words, in lower case, between spaces; of a shorter text the only one."""
+    words = _WORD.findall(text.lower())
+    if WINDOW == 1:
+        return [f" {w} " for w in words]
+    return [f" {' '.join(words[i : i + WINDOW])} " for i in range(max(1, len(words) - WINDOW + 1))] if words else []
 
 
-def _terms(words: set[str]) -> set[str]:
-    return {f" {w} " for w in words} | {f" {w[:GRAM]}" for w in words if len(w) > GRAM}
+class Distance:
+    """How much shorter a window gets by the toxic dictionary than by the ordinary one, in percent of its bytes."""
 
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        import zstandard as z
 
-def _without_copies(lists: list[list[str]]) -> list[list[str]]:
-    """Leave out texts that share most of their smallest word hashes with an earlier one: copies would count a term again and again."""
-    seen: set[int] = set()
-    out = []
-    for words in lists:
-        least = sorted(zlib.crc32(w.encode("utf-8")) for w in set(words) if len(w) > GRAM)[:6]
-        if least and sum(x in seen for x in least) >= 2:
-            continue
-        seen.update(least)
-        out.append(words)
-    return out
+        params = z.ZstdCompressionParameters.from_level(
+            LEVEL, min_match=MATCH, strategy=z.STRATEGY_LAZY2, window_log=17, hash_log=14, chain_log=14,
+            write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS,
+        )
+
+        def compressor(content: bytes) -> z.ZstdCompressor:
+            # As raw content: a trained dictionary's own tables would code the letters of both kinds differently.
+            d = z.ZstdCompressionDict(content + BALLAST, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            return z.ZstdCompressor(compression_params=params, dict_data=d)
+
+        self.toxic, self.ordinary = compressor(toxic).compress, compressor(ordinary).compress
+        self.memo: dict[str, int] = {}
+
+    def shares(self, windows: list[str]) -> np.ndarray:
+        memo, out = self.memo, []
+        for w in windows:
+            x = memo.get(w)
+            if x is None:
+                # A window's letters can't differ by more than its length, so 16 bits hold the percentage.
+                own = w.encode("utf-8", "surrogatepass")
+                data = own + BALLAST
+                x = round(100 * (len(self.ordinary(data)) - len(self.toxic(data))) / len(own))
+                if len(memo) >= MEMO:
+                    memo.clear()
+                memo[w] = x
+            out.append(x)
+        return np.array(out, np.int16)
+
+
+def dictionary(texts: list[list[str]], size: int = SIZE) -> bytes:
+    """Train a zstandard dictionary on the windows of texts; windows too few for that are the dictionary themselves."""
+    import zstandard as z
+
+    def samples(most: int) -> list[bytes]:
+        # The trainer skips runs that begin in a sample's last bytes, so spaces follow.
+        return [("".join(t[i : i + most]) + " " * 8).encode("utf-8", "surrogatepass") for t in texts for i in range(0, len(t), most)]
+
+    found = samples(SAMPLE_WINDOWS)
+    if len(found) < 5 * RUN:
+        found = samples(1)
+    size = max(256, min(size, sum(map(len, found)) // 2))
+    try:
+        return z.train_dictionary(size, found, k=PIECE, d=RUN, level=LEVEL).as_bytes()
+    except z.ZstdError:
+        return b"".join(found)[:size]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, the marks' pieces that a window must hold to differ, and the calibration."""
+    """Dictionaries, thresholds with the shares of ordinary windows that reach them, and the calibration; without thresholds a constant score."""
 
     toxic: bytes
     ordinary: bytes
-    marks: tuple[str, ...]
+    thresholds: tuple[int, ...]
+    chances: tuple[float, ...]
     weights: tuple[float, ...]
 
+    def dumps(self) -> str:
+        return json.dumps(asdict(self) | {"toxic": self.toxic.hex(), "ordinary": self.ordinary.hex()})
+
+    @staticmethod
+    def loads(text: str) -> "Model":
+        x = json.loads(text)
+        return Model(bytes.fromhex(x["toxic"]), bytes.fromhex(x["ordinary"]), *(tuple(x[k]) for k in ("thresholds", "chances", "weights")))
+
     def scorer(self) -> "Scorer":
         return _scorer(self)
 
 
-class Scorer:
-    def __init__(self, model: Model):
-        import zstandard as z
-
-        self.weights = np.array(model.weights)
-        params = z.ZstdCompressionParameters.from_level(
-            9, min_match=GRAM, strategy=z.STRATEGY_LAZY2, window_log=17, hash_log=13, chain_log=13
-        )
+def features(shares: np.ndarray, thresholds: tuple[int, ...], chances: tuple[float, ...]) -> list[float]:
+    """For each threshold, by how many a text's windows that reach it exceed what chance gives for its length: in standard deviations, in a hundred windows, and the root of that."""
+    n = len(shares)
+    out = [1.0]
+    for t, p in zip(thresholds, chances):
+        beyond = int((shares >= t).sum()) - n * p
+        dense = 100 * max(0.0, beyond) / max(LEAST, n)
+        out += [max(-MOST, min(MOST, beyond / math.sqrt(n * p + 0.5))), min(20.0, dense), math.sqrt(dense)]
+    return out
 
-        def compressor(content: bytes) -> z.ZstdCompressor:
-            d = z.ZstdCompressionDict(content + BALLAST, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            return z.ZstdCompressor(compression_params=params, dict_data=d)
 
-        self.toxic, self.ordinary = compressor(model.toxic).compress, compressor(model.ordinary).compress
-        pieces = {m[i : i + GRAM] for m in model.marks for i in range(max(1, len(m) - GRAM + 1))}
-        self.marked = re.compile("|".join(map(re.escape, sorted(pieces)))).search if pieces else lambda _: None
-        self.near: dict[str, bool] = {}
-
-    def differences(self, words: list[str]) -> list[int]:
-        """How much shorter each window gets by the toxic dictionary than by the other; windows without any piece of a mark cannot and are left out."""
-        near, out = self.near, []
-        if len(near) > NEAR_MEMO:
-            near.clear()
-        last = -1
-        for i, w in enumerate(words):
-            is_near = near.get(w)
-            if is_near is None:
-                is_near = near[w] = self.marked(f" {w} ") is not None
-            if is_near:
-                for at in range(max(last + 1, i - WINDOW + 1, 0), max(min(i, len(words) - WINDOW), 0) + 1):
-                    data = BALLAST + f" {' '.join(words[at : at + WINDOW])} ".encode()
-                    out.append(len(self.ordinary(data)) - len(self.toxic(data)))
-                    last = at
-        return out
-
-    def features(self, text: str) -> list[float]:
-        words = words_of(text)
-        d = sorted(self.differences(words), reverse=True)[:8] + [0] * 8
-        n = max(1, len(words))
-        high = sum(x >= 4 for x in d[:8])
-        return [1.0, max(d[0], 0), max(d[1], 0), sum(max(x, 0) for x in d[:6]), high, math.log(n), high * 100 / n]
+class Scorer:
+    def __init__(self, model: Model):
+        self.model, self.weights = model, np.array(model.weights)
+        self.distance = Distance(model.toxic, model.ordinary) if model.thresholds else None
 
     def score(self, text: str) -> float:
-        if len(self.weights) == 1:
+        if self.distance is None:
             return float(self.weights[0])
-        x = float(np.dot(self.weights, self.features(text)))
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
+        x = features(self.distance.shares(windows_of(text)), self.model.thresholds, self.model.chances)
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(self.weights, x))))))
 
 
 @lru_cache(maxsize=2)
@@ -134,64 +171,72 @@ def _scorer(model: Model) -> Scorer:
     return Scorer(model)
 
 
-def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes, tuple[str, ...]]:
-    a, b, common = Counter(), Counter(), Counter()
-    for words in toxic:
-        a.update(_terms(set(words)))
-    for words in ordinary:
-        b.update(_terms(set(words)))
-        common.update(set(words))
-    n, m = len(toxic), len(ordinary)
-    found = []
-    for term, x in a.items():
-        y = b[term]
-        odds = math.log((x + 0.5) / (n - x + 0.5)) - math.log((y + 0.5) / (m - y + 0.5))
-        z = odds / math.sqrt(1 / (x + 0.5) + 1 / (y + 0.5))
-        if x >= max(3, SHARE * n) and z > ERRORS and x / n > TIMES * (y + 0.5) / m:
-            found.append((z, term))
-    marks = tuple(t for _, t in sorted(found)[-2000:])
-    stock = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:8000]]
-    shared = " ".join(stock[:COMMON_WORDS][::-1]) + " "
-    marked = "".join(marks).encode()
-    rare = " ".join(stock[COMMON_WORDS:]).encode() + b" " * len(marked)
-    return shared.encode() + marked, shared.encode() + rare[: len(marked)], marks
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3] + [1e-2] * (x.shape[1] - 1))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
+    """Ridge logistic regression by Newton's method, on columns scaled to unit variance."""
+    mean, sd = x.mean(0), x.std(0) + 1e-9
+    mean[0], sd[0] = 0.0, 1.0
+    u, w = (x - mean) / sd, np.zeros(x.shape[1])
+    ridge = np.diag([1e-3] + [RIDGE] * (x.shape[1] - 1))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
+        step = np.linalg.solve(u.T @ (u * (p * (1 - p))[:, None]) + ridge, u.T @ (y - p) - ridge @ w)
         w += step
-        if abs(step).max() < 1e-6:
+        if abs(step).max() < 1e-7:
             break
+    w /= sd
+    w[0] -= float(w[1:] @ mean[1:])
     return w
 
 
 def train(sample: list[tuple[int, str]]) -> Model:
     """Train on (label, text).
 
-    Texts are split by a hash of the text: two thirds for the dictionaries, one
-    for the calibration.  Without texts of both labels, or without any mark, all
-    scores are the share of toxic labels (0.5 without any).
+    Copies of a text count once.  Without at least FOLDS texts of both labels, all scores are the share of toxic
+    labels (0.5 without any).
     """
-    parts: dict[tuple[int, bool], list[str]] = {}
-    for label, text in sample:
-        parts.setdefault((label, zlib.crc32(text.encode("utf-8")) % 3 > 0), []).append(text)
+    texts = sorted(set(sample))
     share = sum(label for label, _ in sample) / len(sample) if sample else 0.5
-    kinds = [(1, True), (0, True), (1, False), (0, False)]
-    if any(not parts.get(k) for k in kinds):
-        return Model(b"", b"", (), (share,))
-    lists = {k: _without_copies([words_of(t) for t in parts[k]]) for k in kinds[:2]}
-    toxic, ordinary, marks = _dictionaries(lists[1, True], lists[0, True])
-    if not marks:
-        return Model(b"", b"", (), (share,))
-    scorer = Scorer(Model(toxic, ordinary, marks, (share,)))
-    x = np.array([scorer.features(t) for k in kinds[2:] for t in parts[k]])
-    y = np.array([float(k[0]) for k in kinds[2:] for _ in parts[k]])
-    return Model(toxic, ordinary, marks, tuple(float(v) for v in _logistic(x, y)))
+    parts: dict[tuple[int, int], list[list[str]]] = {(k, i): [] for k in (0, 1) for i in range(FOLDS)}
+    same: dict[str, str] = {}  # one object for each distinct window
+    for label, text in texts:
+        parts[label, zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS].append([same.setdefault(w, w) for w in windows_of(text)])
+    if not all(parts.values()):
+        return Model(b"", b"", (), (), (share,))
+    # Texts of part 0 calibrate; each other part's windows are chosen by dictionaries that the rest trained.
+    fitting = range(1, FOLDS)
+    # Ordinary texts are the more; as many of them as toxic ones train the dictionary that the toxic one is held against.
+    own = {(k, i): parts[k, i] if k else parts[k, i][: max(len(parts[1, i]), 8)] for k in (0, 1) for i in fitting}
+
+    def trained(label: int, without: int) -> bytes:
+        return dictionary([t for i in fitting if i != without for t in own[label, i]])
+
+    for turn in range(ROUNDS):
+        got = {}
+        for i in fitting:
+            distance = Distance(trained(1, i), trained(0, i))
+            got |= {(k, i): [distance.shares(t) for t in parts[k, i]] for k in (0, 1)}
+        chance = _all(s for i in fitting for s in got[0, i])
+        if not len(chance):
+            break
+        least = max(1.0, float(np.quantile(chance, 1 - CHANCE / 2**turn)))
+        for k in own:
+            chosen = [[t[j] for j in np.flatnonzero(s >= least).tolist()] for t, s in zip(parts[k], got[k])]
+            own[k] = [t for t in chosen if t]
+    toxic, ordinary = trained(1, 0), trained(0, 0)
+    distance = Distance(toxic, ordinary)
+    got = {k: [distance.shares(t) for t in parts[k, 0]] for k in (0, 1)}
+    chance = _all(iter(got[0]))
+    if not len(chance) or not toxic:
+        return Model(b"", b"", (), (), (share,))
+    thresholds = tuple(sorted({max(2, int(np.quantile(chance, q)) + 1) for q in QUANTILES}))
+    chances = tuple(float((chance >= t).mean()) + 1 / len(chance) for t in thresholds)
+    x = np.array([features(s, thresholds, chances) for k in got for s in got[k]])
+    y = np.array([float(k) for k in got for _ in got[k]])
+    return Model(toxic, ordinary, thresholds, chances, tuple(float(v) for v in _logistic(x, y)))
+
+
+def _all(shares: Iterator[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int16), *shares])
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -200,25 +245,35 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on labelled documents that are not held out; a document with conflicting labels counts as toxic."""
+    """Train on labelled documents that are not held out; a document with conflicting labels counts as toxic.
+
+    Null ids and labels are left out, a null text counts as empty; of the texts of a repeated id the least is taken.
+    The sample goes to one task, which keeps at most SAMPLE_CHARS characters of either kind; only the model
+    comes to the driver.
+    """
     known = labels.select(F.col("doc_id").cast("bigint").alias("__id"), (F.col("toxic") == 1).cast("int").alias("__toxic"))
     known = known.dropna().where(fold_of(F.col("__id")) != 1).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
-    first = F.xxhash64("__id")
+    known = known.withColumn("__at", F.xxhash64("__id"))
     chosen = [
-        known.where(F.col("__toxic") == label).orderBy(first, "__id").limit(most)
+        known.where(F.col("__toxic") == label).orderBy("__at", "__id").limit(most)
         for label, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))
     ]
-    # At most TOXIC_ROWS + ORDINARY_ROWS rows of twelve bytes.
+    # At most TOXIC_ROWS + ORDINARY_ROWS rows of 24 bytes.
     few = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-        .join(few, F.col("doc_id") == F.col("__id"))
-        .groupBy("__id")
-        .agg(F.min(F.struct("__toxic", F.substring("text", 1, SAMPLE_CHARS).alias("text"))).alias("x"))
-        .select("__id", "x.*")
-        .collect()
-    )
-    return train([(r["__toxic"], r["text"]) for r in sorted(rows, key=lambda r: r["__id"])])
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).join(few, F.col("doc_id") == F.col("__id"))
+    one = rows.groupBy("__id", "__toxic", "__at").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions("__at", "__id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample, left = [], {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(text) <= left[label]:
+                    left[label] -= len(text)
+                    sample.append((label, text))
+        yield pa.RecordBatch.from_arrays([pa.array([train(sample).dumps()])], ["model"])
+
+    found = one.select("__toxic", "text").mapInArrow(run, "model string").first()
+    return Model.loads(found["model"]) if found else train([])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -232,26 +287,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
+            for part in slices(batch):
                 s = [scorer.score(t) for t in part.column(2).to_pylist()]
                 columns = [part.column(0), part.column(1), pa.array(s, pa.float64()), pa.array([int(x >= REJECT) for x in s], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     key = F.col("doc_id").cast("bigint")
-    own = small_batches(docs).select(key.alias("doc_id"), F.coalesce(fold_of(key) == 1, F.lit(False)).alias("held_out"), text_of().alias("text"))
+    own = docs.select(key.alias("doc_id"), F.coalesce(fold_of(key) == 1, F.lit(False)).alias("held_out"), text_of().alias("text"))
     return own.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents whose score is below the rejection threshold, with all columns."""
+    """The documents whose score is below the rejection threshold, with all columns.
+
+    A null text is scored as empty and stays null; repeated rows are kept or go together; an empty table gives none.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
+            for part in slices(batch):
                 yield part.filter(pa.array([scorer.score(t or "") < REJECT for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -372,6 +372,60 @@ def test_without_labels(labelled, empty):
     assert toxicity.fit(empty, labels).weights == (0.5,)
 
 
+def plain_score(model, text):
+    """The score from the formulas alone: every window compressed with both dictionaries, none left out or remembered."""
+    import zstandard as z
+
+    params = z.ZstdCompressionParameters.from_level(
+        toxicity.LEVEL, min_match=toxicity.MATCH, strategy=z.STRATEGY_LAZY2, window_log=17, hash_log=14, chain_log=14,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS,
+    )
+
+    def size(content, window):
+        d = z.ZstdCompressionDict(content + toxicity.BALLAST, dict_type=z.DICT_TYPE_RAWCONTENT)
+        return len(z.ZstdCompressor(compression_params=params, dict_data=d).compress(window + toxicity.BALLAST))
+
+    windows = [f" {w} ".encode() for w in re.findall(r"\w+", text.lower())]
+    shares = sorted((round(100 * (size(model.ordinary, w) - size(model.toxic, w)) / len(w)) for w in windows), reverse=True)
+    x = [1.0]
+    for t, p in zip(model.thresholds, model.chances):
+        n = len(shares)
+        beyond = sum(v >= t for v in shares) - n * p
+        dense = 100 * max(0, beyond) / max(50, n)
+        x += [np.clip(beyond / np.sqrt(n * p + 0.5), -6, 6), min(20, dense), np.sqrt(dense)]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))
+
+
+def test_scores_equal_those_of_all_windows(labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    assert model.toxic and model.ordinary and toxicity.Model.loads(model.dumps()) == model
+    texts = [r["text"] for r in docs.limit(6).collect()] + ["", "a", "É x9 _ vilewort"]
+    for t in texts:
+        assert model.scorer().score(t) == pytest.approx(plain_score(model, t), abs=1e-9)
+
+
+def test_very_long_texts_are_scored_by_all_their_windows(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    rng = random.Random(8)
+    clean = prose(rng, 40_000)
+    bad = " ".join(w + " vilewort" if i % 12 == 0 else w for i, w in enumerate(clean.split()))
+    late = clean + " " + " ".join(f"{w} scumbag" for w in prose(rng, 3_000).split())
+    rows = spark.createDataFrame([(1, clean, "en", "s", 0), (2, bad, "en", "s", 0), (3, late, "en", "s", 0)], COLUMNS)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(rows, model).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
+
+
+def test_few_labels_and_the_sample_bound(labelled, monkeypatch):
+    """Without a text of either label in each part scores are constant; a text beyond the characters left is not in the sample."""
+    docs, labels = labelled
+    few = toxicity.fit(docs, labels.where("doc_id in (4, 8, 1, 2)"))
+    assert not few.thresholds and 0 <= few.weights[0] <= 1
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 0)
+    assert toxicity.fit(docs, labels).weights == (0.5,)
+
+
 # Queries and the pipeline.
 
 pytestmark = []
