@@ -37,7 +37,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(documents(spark, sf_dir))
+    return secrets.scan_documents(documents(spark, sf_dir), store=secrets.new_store(spark))
 
 
 def op6_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:

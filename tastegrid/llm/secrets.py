@@ -2,7 +2,7 @@
 
 Every historical version of a file is a row (path, version, content).  Contents
 are addressed by their SHA-256, so copies and unchanged versions are one blob.
-A ledger keeps which (blob, rule, rule version) pairs have been scanned and what
+A stored ledger keeps which (blob, rule, rule version) pairs have been scanned and what
 was found; a scan takes only pairs that it has not seen, appends to the ledger,
 and joins the findings back to all paths.
 
@@ -13,12 +13,15 @@ to the places.  The main path holds no Python.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import text_of
+from tastegrid.llm.common import bounded_bytes, shared_dir, stash, text_of
 
 
 @dataclass(frozen=True)
@@ -54,37 +57,70 @@ MORE = (
 RULES = BASE + MORE
 
 FINDING = "array<struct<kind:string,start:int,end:int>>"
-SPAN = "struct<kind:string,start:int,end:int>"
+LEDGER = f"blob binary, kind string, rule_version int, found {FINDING}"
+#: Bytes up to which the hashes of contents seen before, and findings, are broadcast.
+SEEN_BROADCAST, FOUND_BROADCAST = 8 << 20, 8 << 20
+
+
+#: Items that a running sum takes at a time; its cost for n of them is n * CHUNK + (n / CHUNK)².
+CHUNK = 256
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column]) -> Column:
+    """out(state before the item, item) of every item of an array, where step(state, item) is the state after it.
+
+    An array that grows by an item is copied each time, so results are gathered by chunks, from the state at each chunk's beginning.
+    """
+    last = F.floor((F.size(items) - 1) / CHUNK).cast("int")
+    chunks = F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * CHUNK + 1, CHUNK)))
+
+    def states(chunk: Column, start: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            return F.struct(step(s["now"], x).alias("now"), F.concat(s["all"], F.array(out(s["now"], x))).alias("all"))
+
+        return F.aggregate(chunk, F.struct(start.alias("now"), F.slice(F.array(out(start, F.get(chunk, 0))), 1, 0).alias("all")), add, lambda s: s["all"])
+
+    def next_(s: Column, chunk: Column) -> Column:
+        return F.struct(F.aggregate(chunk, s["now"], step).alias("now"), F.concat(s["all"], F.array(s["now"])).alias("all"))
+
+    def whole(c: Column) -> Column:
+        begin = F.struct(zero.alias("now"), F.slice(F.array(zero), 1, 0).alias("all"))
+        return F.flatten(F.zip_with(c, F.aggregate(c, begin, next_, lambda s: s["all"]), states))
+
+    # The chunks are bound to a name, so that they are made once and not for each use.
+    return F.get(F.transform(F.array(chunks), whole), 0)
 
 
 def find(text: Column, rule: Rule) -> Column:
     """Places of the rule's matches in the text, as an array of (kind, start, end) in code points."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     between = F.split(text, rule.pattern, -1)
-    # Runs through the gaps and matches: (place so far, findings).
-    pairs = F.arrays_zip(F.transform(F.slice(between, 1, F.size(whole)), F.char_length).alias("gap"), whole.alias("hit"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.char_length(x["hit"])
-        if rule.least:
-            # what follows the group's beginning is the group: its pattern is the last part
-            long_enough = F.char_length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least
-        else:
-            long_enough = F.lit(True)
-        found = F.array(F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), end.alias("end")))
-        grown = F.when(long_enough, F.concat(state["found"], found)).otherwise(state["found"])
-        return F.struct(end.cast("int").alias("at"), grown.cast(FINDING).alias("found"))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(FINDING).alias("found"))
-    run = F.aggregate(pairs, first, step, lambda s: s["found"])
-    return F.when(text.rlike(rule.hint or rule.pattern), run).otherwise(F.array().cast(FINDING))
+
+    def measured(gap: Column, hit: Column) -> Column:
+        # what follows the group's beginning is the group: its pattern is the last part
+        long_enough = F.char_length(F.regexp_extract(hit, rule.pattern, rule.group)) >= rule.least if rule.least else F.lit(True)
+        return F.struct(F.char_length(gap).alias("gap"), F.char_length(hit).alias("hit"), long_enough.alias("ok"))
+
+    def places(hits: Column) -> Column:
+        each = F.zip_with(F.slice(between, 1, F.size(hits)), hits, measured)
+        return F.get(F.transform(F.array(each), lambda x: running(x, F.lit(0), after, place)), 0)
+
+    def after(at: Column, x: Column) -> Column:
+        return at + x["gap"] + x["hit"]
+
+    def place(at: Column, x: Column) -> Column:
+        return F.struct((at + x["gap"]).alias("start"), after(at, x).alias("end"), x["ok"].alias("ok"))
+
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    found = F.filter(F.get(F.transform(F.array(whole), places), 0), lambda x: x["ok"])
+    spans = F.transform(found, lambda x: F.struct(F.lit(rule.kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    none = F.array().cast(FINDING)
+    return F.when(text.rlike(rule.hint or rule.pattern), F.coalesce(spans.cast(FINDING), none)).otherwise(none)
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan blobs (blob, content): the ledger's rows (blob, kind, rule_version, found)."""
     each = [
-        F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"), find(F.col("content"), r).alias("found"))
+        F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"), _found(r).alias("found"))
         for r in rules
     ]
     return blobs.select("blob", F.explode(F.array(*each)).alias("x")).select("blob", "x.kind", "x.rule_version", "x.found")
@@ -98,13 +134,28 @@ def unseen(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> Data
     return blobs.join(seen, "blob", "left").withColumn("todo", todo).where(F.size("todo") > 0).drop("seen")
 
 
-def blobs_of(versions: DataFrame) -> DataFrame:
-    """Each distinct content once: blob (SHA-256), content.
+def suspect(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether any rule can match the text."""
+    hit = F.lit(False)
+    for r in rules:
+        hit = hit | text.rlike(r.hint or r.pattern)
+    return hit
+
 
-    Copies within a partition meet before the shuffle, so a content with very
-    many copies crosses once for each partition.
+def blobs_of(versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Each distinct content once: blob (SHA-256), and its content where a rule can match, else null.
+
+    So only hashes and the few contents with a match cross the shuffle.  Copies
+    within a partition meet before it, and a content with very many copies
+    crosses once for each partition.
     """
-    return versions.groupBy("blob").agg(F.first("content").alias("content"))
+    content = F.when(suspect(F.col("content"), rules), F.col("content"))
+    return versions.select("blob", content.alias("content")).groupBy("blob").agg(F.first("content", ignorenulls=True).alias("content"))
+
+
+def _found(rule: Rule) -> Column:
+    """What the rule finds in a blob's content; a content that no rule can match is null."""
+    return F.coalesce(find(F.col("content"), rule), F.array().cast(FINDING))
 
 
 def versions_of(files: DataFrame, path: str = "doc_id", content: str = "text") -> DataFrame:
@@ -113,15 +164,28 @@ def versions_of(files: DataFrame, path: str = "doc_id", content: str = "text") -
     return own.withColumn("blob", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
 
 
+def read_ledger(spark: SparkSession, store: str) -> DataFrame:
+    """The stored ledger: blob, kind, rule_version, found; empty where nothing is stored yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
 def update_ledger(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger's new rows: findings of each unseen pair of a blob and a rule version.
 
     ledger: blob, kind, rule_version, found; None when there is none yet.
     """
-    blobs = blobs_of(versions)
     if ledger is None:
-        return scan(blobs, rules)
-    waiting = unseen(blobs, ledger, rules)
+        return scan(blobs_of(versions, rules), rules)
+    pairs = F.struct("kind", "rule_version").isin([F.struct(F.lit(r.kind), F.lit(r.version)) for r in rules])
+    done = ledger.where(pairs).groupBy("blob").agg(F.count_distinct("kind").alias("n")).where(F.col("n") == len(rules)).select("blob")
+    # Contents that every rule has seen are neither read through nor shuffled.
+    fresh = versions.join(F.broadcast(done) if bounded_bytes(done, F.lit(48), SEEN_BROADCAST) else done, "blob", "left_anti")
+    waiting = unseen(blobs_of(fresh, rules), ledger, rules)
     each = []
     for r in rules:
         wanted = F.array_contains(F.transform("todo", lambda x: x["kind"]), r.kind)
@@ -129,29 +193,31 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Ru
             F.struct(
                 F.lit(r.kind).alias("kind"),
                 F.lit(r.version).alias("rule_version"),
-                F.when(wanted, find(F.col("content"), r)).alias("found"),
+                F.when(wanted, _found(r)).alias("found"),
             )
         )
     new = waiting.select("blob", F.explode(F.array(*each)).alias("x")).select("blob", "x.kind", "x.rule_version", "x.found")
     return new.where(F.col("found").isNotNull())
 
 
+def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and found of the blobs in which the current rule versions found anything, as a written table, so that a join can deal out its rows anew."""
+    current = F.lit(False)
+    for r in rules:
+        current = current | ((F.col("kind") == r.kind) & (F.col("rule_version") == r.version))
+    own = ledger.where(current & (F.size("found") > 0)).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+    own = stash(own, "secrets-findings")
+    return F.broadcast(own) if bounded_bytes(own, 48 + 32 * F.size("found"), FOUND_BROADCAST) else own
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Join the findings of the current rule versions back to all paths: path, blob, found.
 
-    Paths without findings stay, with an empty list.  A blob's findings cross
-    once; where a blob with findings has very many paths, adaptive execution can
-    split its paths.
+    Paths without findings stay, with an empty list.  Findings are broadcast up
+    to FOUND_BROADCAST bytes; beyond that a blob's findings cross once, and
+    adaptive execution can split the paths of a blob that has very many.
     """
-    current = F.lit(False)
-    for r in rules:
-        current = current | ((F.col("kind") == r.kind) & (F.col("rule_version") == r.version))
-    own = (
-        ledger.where(current & (F.size("found") > 0))
-        .groupBy("blob")
-        .agg(F.flatten(F.collect_list("found")).alias("found"))
-    )
-    return versions.select("path", "blob").join(own, "blob", "left").select(
+    return versions.select("path", "blob").join(findings(ledger, rules), "blob", "left").select(
         "path", "blob", F.coalesce("found", F.array().cast(FINDING)).alias("found")
     )
 
@@ -176,47 +242,58 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, store: str | None = None) -> DataFrame:
     """Secrets in every whole text of documents, through the ledger.
 
+    store: folder of the stored ledger, to which what is new is added; without it, `ledger` is what has been seen before.
+
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans.  A null text
     counts as empty; a null doc_id stays null; repeated rows give repeated
     results; an empty table gives none; other columns are not read.
     """
     versions = versions_of(docs)
+    if store is not None:
+        return digest(findings_by_path(versions, stored(versions, store, rules), rules), rules)
     new = update_ledger(versions, ledger, rules)
     book = new if ledger is None else ledger.select("blob", "kind", "rule_version", "found").unionByName(new)
     return digest(findings_by_path(versions, book, rules), rules)
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """documents with every found span replaced by `mask`; all rows and columns stay, n_chars follows the text."""
+def stored(versions: DataFrame, store: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Add what is new in versions to the stored ledger, and read it again."""
+    spark = versions.sparkSession
+    update_ledger(versions, read_ledger(spark, store), rules).write.mode("append").option("compression", "zstd").parquet(store)
+    return read_ledger(spark, store)
+
+
+def new_store(spark: SparkSession) -> str:
+    """A folder for a ledger that begins empty."""
+    return f"{shared_dir(spark)}/secrets-ledger-{uuid.uuid4().hex}"
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]", store: str | None = None) -> DataFrame:
+    """documents with every found span replaced by `mask`; all rows and columns stay, n_chars follows the text.
+
+    store: folder of the ledger that the scan goes through; one that begins empty if not given.  A null text stays null;
+    repeated rows are masked alike and stay; an empty table gives none.
+    """
     text, names = text_of(), docs.columns
-    hit = F.lit(False)
-    for r in rules:
-        hit = hit | text.rlike(r.hint or r.pattern)
-    # Texts without a match go by the ledger and the join, and so cross no shuffle.
-    hits = docs.where(hit)
-    book = scan(blobs_of(versions_of(hits)), rules).where(F.size("found") > 0)
-    book = book.groupBy(F.col("blob").alias("__blob")).agg(F.flatten(F.collect_list("found")).alias("__found"))
-    joined = hits.withColumn("__blob", F.unhex(F.sha2(text.cast("binary"), 256))).join(book, "__blob", "left")
+    book = findings(stored(versions_of(docs, "text"), store or new_store(docs.sparkSession), rules), rules)
+    book = book.withColumnsRenamed({"blob": "__blob", "found": "__found"})
+    # Texts without a match cross no shuffle.
+    hit = suspect(text, rules)
+    joined = docs.where(hit).withColumn("__blob", F.unhex(F.sha2(text.cast("binary"), 256))).join(book, "__blob", "left")
     places = F.array_sort(F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
 
-    def step(state: Column, x: Column) -> Column:
+    def piece(at: Column, x: Column) -> Column:
         # Of overlapping spans the covered part is masked once.
-        new = x["start"] >= state["at"]
-        piece = F.concat(text.substr(state["at"] + 1, x["start"] - state["at"]), F.lit(mask))
-        return F.struct(
-            F.greatest(state["at"], x["end"]).alias("at"),
-            F.concat(state["out"], F.when(new, piece).otherwise(F.lit(""))).alias("out"),
-        )
+        return F.when(x["start"] >= at, F.concat(text.substr(at + 1, x["start"] - at), F.lit(mask))).otherwise(F.lit(""))
 
-    clean = F.aggregate(
-        places,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.char_length(text))),
-    )
+    def reach(at: Column, x: Column) -> Column:
+        return F.greatest(at, x["end"])
+
+    rest = text.substr(F.array_max(F.transform("__found", lambda x: x["end"])) + 1, F.char_length(text))
+    clean = F.concat(F.array_join(running(places, F.lit(0), reach, piece), ""), rest)
     out = joined.withColumn("text", F.when(F.col("__found").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
