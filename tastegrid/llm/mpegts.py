@@ -4,8 +4,9 @@
 association and map tables with their CRC, one elementary stream cut into
 access units, each a packetised-elementary-stream packet with a presentation
 timestamp, program clock references and random-access indicators.  `demux`
-reads any such stream back: tables, continuity counters, packets, timestamps
-and random-access points.
+reads streams of aligned 188-byte packets back: tables, also over several
+packets, continuity counters, with repeated packets and announced
+discontinuities, packets, timestamps and random-access points.
 """
 
 from __future__ import annotations
@@ -133,17 +134,64 @@ class Stream:
     sync_errors: int = 0
 
 
-def _read_section(payload: bytes) -> tuple[int, bytes] | None:
-    start = 1 + payload[0]
-    if len(payload) < start + 3:
-        return None
-    length = struct.unpack_from(">H", payload, start + 1)[0] & 0xFFF
-    whole = payload[start : start + 3 + length]
+def _read_section(whole: bytes) -> tuple[int, bytes] | None:
+    """Table id and body of a section, if it is whole."""
     if len(whole) < 12 or crc32_mpeg(whole):
         return None
     return whole[0], whole[8:-4]
 
 
+def _sections(packets: list[tuple[bool, bool, bytes]]) -> Iterator[bytes | None]:
+    """The sections in a PID's payloads (whether one begins here, whether packets before are missing, bytes); None for one that is cut off.
+
+    A section may span packets, and a packet may hold several, up to stuffing.
+    """
+    held: bytes | None = None
+
+    def whole(data: bytes) -> tuple[list[bytes], bytes | None]:
+        out = []
+        while data and data[0] != 0xFF:
+            size = 3 + (struct.unpack_from(">H", data, 1)[0] & 0xFFF) if len(data) >= 3 else 3
+            if len(data) < size or size == 3:
+                return out, data
+            out.append(data[:size])
+            data = data[size:]
+        return out, None
+
+    for begins, gap, data in packets:
+        if gap and held is not None:
+            yield None
+            held = None
+        if not begins:
+            found, held = whole(held + data) if held is not None else ([], None)
+            yield from found
+            continue
+        first = 1 + data[0] if data else 0
+        if held is not None:
+            found, rest = whole(held + data[1:first])
+            yield from found
+            if rest is not None:
+                yield None
+        if not data[first:] or data[first] == 0xFF:
+            yield None  # none begins where one should
+        found, held = whole(data[first:])
+        yield from found
+    if held is not None:
+        yield None
+
+
+def _repeats(q: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of a PID's packets with payload repeat the one before; the format allows one repeat of each."""
+    if len(q) < 2:
+        return np.zeros(len(q), bool)
+    # The clock reference in the adaptation field may differ.
+    alike = (q[1:] == q[:-1]) | ((np.arange(PACKET)[None, :] >= 5) & (np.arange(PACKET)[None, :] < start[1:, None]))
+    same = np.concatenate([[False], alike.all(axis=1)])
+    for i in np.flatnonzero(same):
+        same[i] = not same[i - 1]
+    return same
+
+
 def demux(data: bytes) -> Stream:
     """Read a transport stream; damaged packets are counted, the rest is kept."""
     out = Stream()
@@ -160,9 +208,21 @@ def demux(data: bytes) -> Stream:
     start = np.where(adapted, 5 + p[:, 4].astype(np.int32), 4)
     begins = p[:, 1] & 0x40 != 0
 
+    jumps = adapted & (p[:, 4] > 0) & (p[:, 5] & 0x80 != 0)
+
+    def packets_of(of: int) -> tuple[np.ndarray, np.ndarray]:
+        """A PID's packets with payload but for repeats, and before which of them some are missing."""
+        own = np.flatnonzero((pid == of) & filled)
+        own = own[~_repeats(p[own], start[own])]
+        cc = p[own, 3] & 15
+        gap = np.zeros(len(own), bool)
+        gap[1:] = ((cc[1:] - cc[:-1]) & 15 != 1) & ~jumps[own[1:]]
+        return own, gap
+
     def sections(of: int, table: int) -> Iterator[bytes]:
-        for i in np.flatnonzero((pid == of) & begins & filled):
-            found = _read_section(p[i, start[i] :].tobytes())
+        own, gap = packets_of(of)
+        for section in _sections([(bool(begins[i]), bool(g), p[i, start[i] :].tobytes()) for i, g in zip(own, gap)]):
+            found = _read_section(section) if section is not None else None
             if found is None or found[0] != table:
                 out.table_errors += 1
             else:
@@ -180,12 +240,11 @@ def demux(data: bytes) -> Stream:
     parts: list[bytes] = []
     size = 0
     for media in out.streams:
-        mine = (pid == media) & filled
-        q, s, b = p[mine], start[mine], begins[mine]
-        if not len(q):
+        own, gap = packets_of(media)
+        if not len(own):
             continue
-        cc = q[:, 3] & 15
-        out.continuity_errors += int(((cc[1:] - cc[:-1]) & 15 != 1).sum())
+        q, s, b = p[own], start[own], begins[own]
+        out.continuity_errors += int(gap.sum())
         bytes_ = q[np.arange(PACKET)[None, :] >= s[:, None]].tobytes()
         ends = np.cumsum(PACKET - np.minimum(s, PACKET))
         first = np.flatnonzero(b)

@@ -143,6 +143,49 @@ def test_damaged_streams():
     assert mpegts.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def packets_of_section(pid, section, counter=0):
+    """A section over as many packets as it takes, written plainly."""
+    data, out = b"\0" + section, b""
+    for k, at in enumerate(range(0, len(data), 184)):
+        head = bytes([0x47, (0x40 if not k else 0) | pid >> 8, pid & 255, 0x10 | (counter + k) & 15])
+        out += head + data[at : at + 184].ljust(184, b"\xff")
+    return out
+
+
+def test_repeated_packets_are_taken_once():
+    m, p = mpegts.mux(bytes(range(192)) * 300), mpegts.PACKET
+    whole = mpegts.demux(m)
+    for k in (0, 1, 2, 7, len(m) // p - 1):
+        packet = m[k * p : (k + 1) * p]
+        twice = mpegts.demux(m[: k * p] + packet + m[k * p :])
+        assert twice.payload == whole.payload and twice.pts == whole.pts and not twice.continuity_errors and not twice.table_errors
+    packet = m[7 * p : 8 * p]
+    assert mpegts.demux(m[: 7 * p] + 2 * packet + m[7 * p :]).continuity_errors == 1
+
+
+def test_announced_discontinuities_are_no_errors():
+    m, p = bytearray(mpegts.mux(bytes(range(192)) * 300)), mpegts.PACKET
+    at = next(i for i in range(3, len(m) // p) if m[i * p + 1] & 0x40)  # the second unit's first packet has an adaptation field
+    cut = bytearray(m[: (at - 1) * p] + m[at * p :])
+    assert mpegts.demux(bytes(cut)).continuity_errors == 1
+    cut[(at - 1) * p + 5] |= 0x80
+    assert mpegts.demux(bytes(cut)).continuity_errors == 0
+
+
+def test_tables_over_several_packets():
+    m, p = mpegts.mux(b"x" * 192), mpegts.PACKET
+    descriptors = bytes([5, 250]) + bytes(250)
+    body = (0xE000 | mpegts.MEDIA_PID).to_bytes(2) + (0xF000 | len(descriptors)).to_bytes(2) + descriptors
+    body += bytes([6]) + (0xE000 | mpegts.MEDIA_PID).to_bytes(2) + b"\xf0\0"
+    long = packets_of_section(mpegts.PMT_PID, mpegts._section(2, 1, body))
+    assert len(long) == 2 * p
+    got = mpegts.demux(m[:p] + long + m[2 * p :])
+    assert got.streams == {mpegts.MEDIA_PID: 6} and got.payload == b"x" * 192 and not got.table_errors
+    assert mpegts.demux(m[:p] + long[:p] + m[2 * p :]).table_errors == 1
+    two = mpegts._section(0, 1, b"\0\1" + (0xE000 | mpegts.PMT_PID).to_bytes(2)) + mpegts._section(0, 1, b"\0\2\xe2\0")
+    assert mpegts.demux(packets_of_section(0, two) + m[p:]).programs == {1: mpegts.PMT_PID, 2: 0x200}
+
+
 def test_media_columns(docs, empty):
     got = order(map(tuple, mpegts.media_columns(docs, keep_media=True).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256").collect()))
     want = []
