@@ -171,7 +171,7 @@ def read_ledger(spark: SparkSession, store: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LEDGER)
+        return spark.range(0).selectExpr(*[f"cast(null as {kind}) as {name}" for name, kind in (x.split(" ", 1) for x in LEDGER.split(", "))])
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -305,12 +305,35 @@ def test_a_strong_chain_hides_no_later_one(first, gap, shift):
 
 
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
-def test_common_words(a, b):
+def test_matched_words(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-    assert substring.common_words(a, b) == t[-1][-1]
+    found = substring.matched_words(a, b)
+    assert len(found) == t[-1][-1] and all(a[i] == b[j] for i, j in found)
+    assert all(x < z and y < w for (x, y), (z, w) in zip(found, found[1:]))
+
+
+@settings(deadline=None)
+@given(st.integers(0, 2**32), st.integers(0, 30))
+def test_alignment_is_in_order(seed, percent):
+    rng = random.Random(seed)
+    a = [rng.choice("abcdefghijkl") + str(rng.randrange(30)) for _ in range(rng.randrange(1, 300))]
+    b = [w + "x" if rng.randrange(100) < percent else w for w in a if rng.randrange(100) >= percent]
+    anchors, last = [], (-1, -1)
+    for i in range(0, len(a) - 4, 7):
+        for j in range(last[1] + 1, len(b) - 4):
+            if a[i : i + 5] == b[j : j + 5]:
+                anchors.append((i, j))
+                last = (i, j)
+                break
+    runs = substring.alignment(a, b, anchors)
+    for i, j, n in runs:
+        assert n > 0 and a[i : i + n] == b[j : j + n]
+    assert all(i + n <= x and j + n <= y for (i, j, n), (x, y, _) in zip(runs, runs[1:]))
+    if not percent:
+        assert sum(n for _, _, n in runs) == len(a)
 
 
 def test_words_are_cut_alike(spark):
