@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegrid.functions.vectors import dot
 from tastegrid.functions.weighting import scale
 from tastegrid.interactions import ITEM, USER, WEIGHT, Interactions
 from tastegrid.operators import factors as fx
@@ -116,32 +117,86 @@ def half_step_broadcast(entries: DataFrame, y: np.ndarray, x: np.ndarray | None,
     return entries.mapInArrow(fx.whole_groups(kernel, max(1000, (32 << 20) // (y.shape[1] * 4))), schema)
 
 
-def half_step_shuffle(entries: DataFrame, y: DataFrame, k: int, reg: float) -> DataFrame:
-    """New factors of the users in entries by joins; users with over HOT_USER entries are summed in salted parts."""
+#: Bytes of users' matrices that a kernel of the shuffled half-step holds at a time.
+MATRIX_BYTES = 32 << 20
+
+
+def cg_dense(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int) -> np.ndarray:
+    """Conjugate-gradient steps from x on users' whole normal equations; the same iterates as solve_cg's."""
+    x = x.astype(np.float64)
+    r = b - np.einsum("uij,uj->ui", a, x)
+    p, rr = r.copy(), np.einsum("ui,ui->u", r, r)
+    for _ in range(steps):
+        live = rr >= 1e-20
+        if not live.any():
+            break
+        ap = np.einsum("uij,uj->ui", a, p)
+        step = np.where(live, rr / np.where(live, np.einsum("ui,ui->u", p, ap), 1.0), 0.0)[:, None]
+        x, r = x + step * p, r - step * ap
+        now = np.einsum("ui,ui->u", r, r)
+        p = np.where(live[:, None], r + (now / np.where(live, rr, 1.0))[:, None] * p, p)
+        rr = np.where(live, now, rr)
+    return x
+
+
+def half_step_shuffle(entries: DataFrame, y: DataFrame, k: int, reg: float, x: DataFrame | None = None, cg_steps: int | None = None, dtype: str = "float32") -> DataFrame:
+    """New factors of the users in entries by joins, from x by cg_steps conjugate-gradient steps, or by Cholesky.
+
+    Users with over HOT_USER entries are summed in salted parts; the others are solved where their entries meet, and
+    only their factors go on.
+    """
+    kind = np.float64 if dtype == "float64" else np.float32
+    schema = FACTORS.replace("float", "double") if dtype == "float64" else FACTORS
     yty = fx.gramian(y, k) + reg * np.eye(k)
     counts = entries.groupBy(USER).agg(F.ceil(F.count("*") / HOT_USER).cast("long").alias("parts"))
     joined = entries.join(y.withColumnRenamed("id", ITEM), ITEM).join(counts, USER)
     joined = joined.select(USER, F.pmod(F.xxhash64(ITEM), F.col("parts")).alias("salt"), "parts", WEIGHT, "features")
-    zero = np.zeros((k, k))
+    if cg_steps is not None and x is not None:
+        # A user's last factors go with its first part, as a row of part -1.
+        last = x.join(counts.withColumnRenamed(USER, "id"), "id")
+        joined = joined.unionByName(last.select(F.col("id").alias(USER), F.lit(0).cast("long").alias("salt"), F.lit(-1).cast("long").alias("parts"), F.lit(0.0).alias(WEIGHT), F.col("features").cast(y.schema["features"].dataType).alias("features")))
+    zero, group = np.zeros((k, k)), max(1, MATRIX_BYTES // (k * k * 8))
+
+    def solved(a: np.ndarray, b: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return cg_dense(a, b, before, cg_steps) if cg_steps is not None else np.linalg.solve(a, b[:, :, None])[:, :, 0]
+
+    def batch(users: np.ndarray, done: bool, flat: np.ndarray) -> pa.RecordBatch:
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(np.ascontiguousarray(flat, np.float64).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(users.astype(np.int64)), pa.array([done] * len(flat)), values], [USER, "done", "sums"])
 
     def partial(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        user, salt, _, c, rows = columns
+        user, salt, parts, c, rows = columns
         starts = np.flatnonzero(np.r_[True, (user[1:] != user[:-1]) | (salt[1:] != salt[:-1])])
-        a, b = _normal(rows.astype(np.float64), c, starts, zero)
-        flat = np.concatenate([a.reshape(len(a), -1), b], axis=1)
-        values = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(user[starts].astype(np.int64)), values], [USER, "sums"])
+        for at in range(0, len(starts), group):
+            own = starts[at : at + group]
+            lo, hi = own[0], starts[at + group] if at + group < len(starts) else len(user)
+            is_x, ids, part = parts[lo:hi] < 0, user[own], np.searchsorted(own, np.arange(lo, hi), side="right") - 1
+            before = np.zeros((len(own), k))
+            before[part[is_x]] = rows[lo:hi][is_x]
+            real = ~is_x
+            # Parts that hold nothing but last factors have no entries of their own.
+            begin = np.searchsorted(part[real], np.arange(len(own)))
+            a, b = _normal(rows[lo:hi][real].astype(np.float64), c[lo:hi][real], begin, zero)
+            one = np.zeros(len(own), bool)
+            one[part[real]] = parts[lo:hi][real] == 1
+            if one.any():
+                yield batch(ids[one], True, solved(a[one] + yty, b[one], before[one]))
+            if not one.all():
+                many = ~one
+                yield batch(ids[many], False, np.concatenate([a[many].reshape(many.sum(), -1), b[many], before[many]], axis=1))
 
     def final(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         user, sums = columns
         starts, ids = fx.segments(user)
         total = np.add.reduceat(sums, starts, axis=0)
-        a, b = total[:, : k * k].reshape(-1, k, k) + yty, total[:, k * k :]
-        yield fx.factor_batch(ids, np.linalg.solve(a, b[:, :, None])[:, :, 0])
+        a, b = total[:, : k * k].reshape(-1, k, k) + yty, total[:, k * k : k * k + k]
+        yield fx.factor_batch(ids, solved(a, b, total[:, k * k + k :]), kind)
 
-    step = max(1000, (32 << 20) // (k * 8))
-    parts = joined.repartition(USER, "salt").sortWithinPartitions(USER, "salt").mapInArrow(fx.whole_groups(partial, step), f"{USER} bigint, sums array<double>")
-    return parts.repartition(USER).sortWithinPartitions(USER).mapInArrow(fx.whole_groups(final, max(64, (32 << 20) // (k * k * 8))), FACTORS)
+    by_part = joined.repartition(USER, "salt").sortWithinPartitions(USER, "salt")
+    sums = stash(by_part.mapInArrow(fx.whole_groups(partial, max(1000, (32 << 20) // (k * 8))), f"{USER} bigint, done boolean, sums array<double>"), "als-sums")
+    whole = sums.where("done").select(F.col(USER).alias("id"), F.col("sums").cast(schema.split(" ")[-1]).alias("features"))
+    rest = sums.where("not done").select(USER, "sums").repartition(USER).sortWithinPartitions(USER)
+    return whole.unionByName(rest.mapInArrow(fx.whole_groups(final, max(8, MATRIX_BYTES // (k * k * 8))), schema))
 
 
 def loss_parts(entries: DataFrame, y: np.ndarray, x: np.ndarray) -> tuple[float, float, int]:
@@ -174,8 +229,19 @@ def training_loss(entries: DataFrame, y: np.ndarray, x: np.ndarray, reg: float)
     return float(total / (b + len(x) * len(y) - n))
 
 
+def training_loss_shuffle(entries: DataFrame, y: DataFrame, x: DataFrame, reg: float, k: int, n_users: int, n_items: int) -> float:
+    """training_loss by joins; factors without a row are zero."""
+    scored = entries.join(x.select(F.col("id").alias(USER), F.col("features").alias("f")), USER, "left").join(y.select(F.col("id").alias(ITEM), F.col("features").alias("g")), ITEM, "left")
+    s, c = F.coalesce(dot(F.col("f"), F.col("g")), F.lit(0.0)), F.col(WEIGHT)
+    beyond = (F.abs(c) - 1) * s * s - 2 * F.greatest(c, F.lit(0.0)) * s
+    a, b, n = scored.agg(F.sum(beyond), F.sum(F.abs(c)), F.count("*")).first()
+    xx, yy = fx.gramian(x, k), fx.gramian(y, k)
+    total = float((xx * yy).sum()) + (a or 0.0) + (b or 0.0) + reg * (np.trace(xx) + np.trace(yy))
+    return float(total / ((b or 0.0) + n_users * n_items - n))
+
+
 class AlternatingLeastSquares(FactorModel):
-    """Implicit-feedback matrix factorisation.
+    """Matrix factorisation of one-class feedback.
 
     solver: "cg" (cg_steps conjugate-gradient steps from the last factors),
     "cholesky", or "mllib" (Spark's own ALS: weights below 1 are not expressible,
@@ -237,22 +303,34 @@ class AlternatingLeastSquares(FactorModel):
             return fx.to_matrix(known, n, self.factors)
         return (fx.seeded(seed, salt, n, self.factors) * 0.01).astype(np.float32)
 
+    def _seeded(self, spark, seed: int, salt: int, n: int) -> DataFrame:
+        """The start of `_start` as a table, made where its rows are."""
+        k = self.factors
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                yield fx.factor_batch(ids, fx.seeded_rows(seed, salt, ids, k) * 0.01)
+
+        return spark.range(n).mapInArrow(run, FACTORS)
+
     def _fit_shuffle(self, x: Interactions, callback: Callable | None) -> "AlternatingLeastSquares":
-        """Fit with neither side on one machine: joins, Cholesky, and each half-step written to the shared folder."""
+        """The same fit with neither side on one machine: joins, and each half-step written to the shared folder."""
         spark, k, seed = x.df.sparkSession, self.factors, self.random_state or 0
         scaled = scale(x, self.alpha)
         users, items = stash(scaled.df, "als-users"), stash(scaled.transposed().df, "als-items")
-        cell = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda d: (F.pmod(F.xxhash64(F.lit(seed), "id", d), F.lit(1 << 24)) / (1 << 24) * 0.01).cast("float"))
-        q = self.item_factors or items.select(F.col(USER).alias("id")).distinct().withColumn("features", cell)
-        p = None
+        cg = self.cg_steps if self.solver == "cg" else None
+        p = self.user_factors if self.user_factors is not None else self._seeded(spark, seed, 1, x.n_users)
+        q = self.item_factors if self.item_factors is not None else self._seeded(spark, seed, 2, x.n_items)
         for i in range(self.iterations):
             began = time.time()
-            p = stash(half_step_shuffle(users, q, k, self.regularization), "als-factors")
-            q = stash(half_step_shuffle(items, p, k, self.regularization), "als-factors")
+            p = stash(half_step_shuffle(users, q, k, self.regularization, p, cg, self.dtype), "als-factors")
+            q = stash(half_step_shuffle(items, p, k, self.regularization, q, cg, self.dtype), "als-factors")
+            self.loss = training_loss_shuffle(users, q, p, self.regularization, k, x.n_users, x.n_items) if self.calculate_training_loss else None
             if callback:
-                callback(i, time.time() - began, None)
-        none = spark.createDataFrame([], FACTORS)
-        self.user_factors, self.item_factors = upsert_all(p if p is not None else none, x.n_users, k), upsert_all(q, x.n_items, k)
+                callback(i, time.time() - began, self.loss)
+        floats = F.col("features").cast("array<float>").alias("features")
+        self.user_factors, self.item_factors = upsert_all(p.select("id", floats), x.n_users, k), upsert_all(q.select("id", floats), x.n_items, k)
         fx.ensure_finite(self.user_factors)
         fx.ensure_finite(self.item_factors)
         return self
@@ -268,7 +346,8 @@ class AlternatingLeastSquares(FactorModel):
         return self
 
     def _solve(self, x: Interactions, other: DataFrame, n: int) -> DataFrame:
-        entries = fx.by_user(scale(x, self.alpha).df)
+        # An id that the model has no factors for tells nothing.
+        entries = fx.by_user(scale(x, self.alpha).df.where(F.col(ITEM) < n))
         if self._small(n):
             found = half_step_broadcast(entries, fx.to_matrix(other, n, self.factors), None, self.regularization, None, self.dtype)
             return found.withColumn("features", F.col("features").cast("array<float>"))

@@ -25,13 +25,18 @@ class ModelFitError(Exception):
 
 def seeded(seed: int, salt: int, n: int, k: int) -> np.ndarray:
     """n x k numbers in [0, 1); each depends on the seed and its place alone."""
+    return seeded_rows(seed, salt, np.arange(n), k)
+
+
+def seeded_rows(seed: int, salt: int, ids: np.ndarray, k: int) -> np.ndarray:
+    """The rows `ids` of seeded."""
     with np.errstate(over="ignore"):
-        z = np.arange(n * k, dtype=np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + salt * 0xD1B54A32D192ED03) & (1 << 64) - 1)
+        z = (ids.astype(np.uint64)[:, None] * np.uint64(k) + np.arange(k, dtype=np.uint64)).ravel() + np.uint64((seed * 0x9E3779B97F4A7C15 + salt * 0xD1B54A32D192ED03) & (1 << 64) - 1)
         z *= np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
-    return ((z >> np.uint64(11)).astype(np.float64) / (1 << 53)).reshape(n, k)
+    return ((z >> np.uint64(11)).astype(np.float64) / (1 << 53)).reshape(len(ids), k)
 
 
 def seeded_normal(seed: int, salt: int, n: int, k: int) -> np.ndarray:

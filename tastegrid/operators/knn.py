@@ -9,6 +9,7 @@ from tastegrid.functions import weighting
 from tastegrid.interactions import ITEM, USER, WEIGHT, Interactions
 from tastegrid.operators.topk import check_lists, only, rank_top, without
 from tastegrid.sources import store
+from tastegrid.sources.checkpoints import stash
 
 
 def all_pairs(x: Interactions) -> DataFrame:
@@ -45,7 +46,8 @@ class ItemItemRecommender:
     def fit(self, x: Interactions, callback=None) -> "ItemItemRecommender":
         if callback is not None:
             raise NotImplementedError("neighbour models have no iterations to call back from")
-        self.similarity = all_pairs_knn(self.weigh(x), self.K, self.digits)
+        # Written once: every use of a lazy table would join all pairs again.
+        self.similarity = stash(all_pairs_knn(self.weigh(x), self.K, self.digits), "similarity")
         return self
 
     def _fitted(self) -> DataFrame:

@@ -167,7 +167,7 @@ FROM cp JOIN (SELECT item_id, count(*)::DOUBLE AS c FROM cp GROUP BY 1) USING (i
 SELECT id, round(sqrt(greatest(0, m - s)), {DIGITS}) AS extra, round(sqrt(m), {DIGITS}) AS norm FROM n""",
     "ivf_assign": f"WITH {EMB}, {CENTROIDS} SELECT id, cell::BIGINT AS cell FROM near WHERE p = 1",
     "ivf_search": f"""WITH {EMB}, {CENTROIDS}, scored AS (SELECT q.id AS query_id, i.id, round(list_dot_product(q.f, i.f), {DIGITS}) AS score
-  FROM near q JOIN near i ON q.cell = i.cell WHERE q.p <= 3 AND i.p = 1)
+  FROM near q JOIN near i ON q.cell = i.cell WHERE q.p <= 8 AND i.p = 1)
 SELECT query_id, rank, id, score FROM {top('scored', 'query_id', 'id', N)}""",
     "als_normal_equations_k2": f"WITH {ALS} SELECT user_id, round(a, {DIGITS}) AS a, round(b, {DIGITS}) AS b, round(d, {DIGITS}) AS d, round(p, {DIGITS}) AS p, round(q, {DIGITS}) AS q FROM eq",
     "als_half_step_k2": HALF_STEP,
@@ -202,5 +202,5 @@ a AS (SELECT * FROM n UNION ALL SELECT id, f[1]::FLOAT, f[2]::FLOAT FROM i WHERE
 SELECT k.id, round(coalesce(f1, 0)::DOUBLE, 5) AS f1, round(coalesce(f2, 0)::DOUBLE, 5) AS f2
 FROM (SELECT unnest(range(0, (SELECT max(id) + 1 FROM a))) AS id) k LEFT JOIN a USING (id)""",
     "model_round_trip": f"WITH {CP}, {COSINE_W}, {sim('w')} {SIM}",
-    "fold_in_users": f"WITH {ALS} SELECT user_id, round((d * p - b * q) / (a * d - b * b), 3) + 0.0::DOUBLE AS x1 FROM eq",
+    "fold_in_users": f"WITH {ALS} SELECT user_id, round((d * p - b * q) / (a * d - b * b), 3) + 0.0::DOUBLE AS x1, round((a * q - b * p) / (a * d - b * b), 3) + 0.0::DOUBLE AS x2 FROM eq",
 }

@@ -15,17 +15,32 @@ def delimited(spark: SparkSession, path: str, columns: str, sep: str = "\t", hea
 
 
 def matrix_market(spark: SparkSession, path: str, one_based: bool = True) -> Interactions:
-    """A coordinate MatrixMarket file; the size line gives the shape."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    """A coordinate MatrixMarket file; the size line gives the shape, the banner the symmetry."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    # Comments and the size line lie in the file's first block, where lines are numbered in order.
+    banner = (lines.where((F.col("block") == 0) & F.col("value").startswith("%%")).select("value").first() or [""])[0].lower().split()
+    if "array" in banner or "complex" in banner or "hermitian" in banner:
+        raise ValueError("only real, integer and pattern coordinate files are read")
+    lines = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    top = lines.where("block = 0").orderBy("line").first()
+    if top is None:
+        raise ValueError("the file has no size line")
+    size = top["value"].split()
     cut = F.split(F.trim("value"), r"\s+")
-    # The size line is the first that is no comment, and the only one before the entries in its file.
-    size = next(line for line in (r["value"] for r in lines.limit(1).collect())).split()
     shift = 1 if one_based else 0
-    rows = lines.where(F.trim("value") != " ".join(size)).select(
+    rows = lines.where((F.col("block") > 0) | (F.col("line") > top["line"])).select(
         (F.get(cut, 0).cast("long") - shift).alias("user_id"),
         (F.get(cut, 1).cast("long") - shift).alias("item_id"),
         F.coalesce(F.get(cut, 2).cast("double"), F.lit(1.0)).alias("weight"),
     )
+    kind = banner[-1] if banner else "general"
+    if kind in ("symmetric", "skew-symmetric"):
+        # One triangle is stored.
+        sign = F.lit(-1.0 if kind == "skew-symmetric" else 1.0)
+        there = F.struct("user_id", "item_id", "weight")
+        back = F.struct(F.col("item_id").alias("user_id"), F.col("user_id").alias("item_id"), (sign * F.col("weight")).alias("weight"))
+        both = F.when(F.col("user_id") == F.col("item_id"), F.array(there)).otherwise(F.array(there, back))
+        rows = rows.select(F.inline(both))
     return Interactions.of(rows, n_users=int(size[0]), n_items=int(size[1]))
 
 
@@ -55,6 +70,33 @@ def movielens(spark: SparkSession, path: str, variant: str = "20m") -> Interacti
     return Interactions.of(df)
 
 
+#: How the variants' titles are laid out: separator, header, encoding.
+MOVIELENS_TITLES = {"20m": (",", True, "UTF-8"), "10m": ("::", False, "UTF-8"), "1m": ("::", False, "ISO-8859-1"), "100k": ("|", False, "ISO-8859-1")}
+
+
+def movielens_titles(spark: SparkSession, path: str, variant: str = "20m") -> DataFrame:
+    """item_id and title from a variant's file of movies."""
+    if variant not in MOVIELENS_TITLES:
+        raise ValueError(f"no variant {variant!r}")
+    sep, header, encoding = MOVIELENS_TITLES[variant]
+    return delimited(spark, path, "item_id long, title string, more string", sep, header, encoding, keep=["item_id", "title"])
+
+
+def dataset(spark: SparkSession, path: str, items: DataFrame, users: DataFrame | None, x: Interactions) -> None:
+    """Write a data set read once from its raw files, so that it need not be parsed and coded again: items, users, interactions and the shape."""
+    items.write.mode("overwrite").parquet(f"{path}/items")
+    if users is not None:
+        users.write.mode("overwrite").parquet(f"{path}/users")
+    x.df.write.mode("overwrite").parquet(f"{path}/interactions")
+    spark.createDataFrame([(x.n_users, x.n_items)], "n_users long, n_items long").write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def stored_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, Interactions]:
+    """Items and interactions of a data set that `dataset` has written."""
+    n_users, n_items = spark.read.parquet(f"{path}/shape").first()
+    return spark.read.parquet(f"{path}/items"), Interactions.of(spark.read.parquet(f"{path}/interactions"), n_users=n_users, n_items=n_items)
+
+
 def taste_profile(spark: SparkSession, plays: str, tracks: str) -> tuple[DataFrame, DataFrame, Interactions]:
     """Plays by user and track, with track metadata joined to the track dictionary."""
     df = delimited(spark, plays, "user string, track string, plays double")

@@ -63,6 +63,29 @@ def test_shuffle_fit(spark, monkeypatch):
     assert lists(m.recommend(None, x, 1), "user_id", "item_id") == {u: [u] for u in range(20)}
 
 
+@pytest.mark.parametrize("solver,dtype", [("cg", "float32"), ("cholesky", "float64")])
+def test_shuffle_fit_is_the_same_fit(spark, monkeypatch, solver, dtype):
+    """The same solver, start, precision and loss whichever way the factors take, with hot users and without."""
+    x = checkerboard(spark, 20)
+    options = {"factors": 3, "regularization": 0.1, "random_state": 1, "iterations": 3, "solver": solver, "dtype": dtype, "calculate_training_loss": True}
+    want, got = [], []
+    a = AlternatingLeastSquares(**options).fit(x, callback=lambda i, s, loss: want.append(loss))
+    monkeypatch.setattr(AlternatingLeastSquares, "_small", lambda self, n: False)
+    monkeypatch.setattr("tastegrid.operators.als.HOT_USER", 4)
+    b = AlternatingLeastSquares(**options).fit(x, callback=lambda i, s, loss: got.append(loss))
+    assert got == pytest.approx(want, abs=1e-4) and b.loss == got[-1]
+    for f, g in ((a.user_factors, b.user_factors), (a.item_factors, b.item_factors)):
+        assert np.allclose(fx.to_matrix(f, 20, 3), fx.to_matrix(g, 20, 3), atol=2e-3)
+
+
+def test_unknown_items_tell_nothing(spark):
+    x = checkerboard(spark, 20)
+    m = AlternatingLeastSquares(factors=3, regularization=0.1, random_state=1, iterations=2).fit(x)
+    own = of_rows(spark, [(0, 2, 1.0), (0, 4, 1.0)])
+    more = of_rows(spark, [(0, 2, 1.0), (0, 4, 1.0), (0, 77, 1.0)])
+    assert np.allclose(m.recalculate_users(own).first()["features"], m.recalculate_users(more).first()["features"], atol=1e-6)
+
+
 def test_cg_stays_finite(spark):
     tri = [[0.0] * 12 for _ in range(12)]
     for b in (0, 6):

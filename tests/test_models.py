@@ -1,5 +1,7 @@
 """The same behaviour is asked of every model on the checkerboard."""
 
+import os
+
 import pytest
 
 from tastegrid.interactions import Interactions
@@ -171,3 +173,18 @@ def test_empty_tables(spark):
     assert CosineRecommender().fit(x).similarity.count() == 0
     one = of_rows(spark, [(1, 1, 1.0)], 3, 3)
     assert BayesianPersonalizedRanking(factors=2, iterations=2).fit(one).item_factors.count() == 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["ivf_search", "ivf_kmeans_search", "lsh_search"])
+def test_recall_of_the_registered_indexes(spark, name):
+    """Of the exact ten best of every vector of the embeddings table, at the registered parameters."""
+    from tastegrid.operators import topk
+    from tastegrid.plans.queries import QUERIES
+    from tastegrid.plans.tables import embeddings
+
+    d = "/root/testdata/sf0.001"
+    e = embeddings(spark, d)
+    best = {(r["query_id"], r["id"]) for r in topk.score_top(e, e, 10).collect()}
+    found = {(r["query_id"], r["id"]) for r in QUERIES[name](spark, d).collect()}
+    assert len(best & found) / len(best) >= 0.9

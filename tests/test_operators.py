@@ -17,10 +17,14 @@ def dense(x, n=7, m=6):
 
 def test_weights_of_the_known_matrix(spark):
     x = of_matrix(spark, NEIGHBOURS)
-    assert np.allclose(dense(weighting.tfidf(x))[0], [1.251339, 0.336472, 0, 1.678847, 0, 0], atol=1e-6)
-    assert np.allclose(dense(weighting.bm25(x))[0], [1.639546, 0.201841, 0, 2.884251, 0, 0], atol=1e-6)
-    assert np.allclose(dense(weighting.normalize(x))[0], [0.483368, 0.096674, 0, 0.870063, 0, 0], atol=1e-6)
-    assert sorted(map(tuple, weighting.binarize(x, 8).df.collect())) == [(0, 3, 1.0), (3, 1, 1.0)]
+    m = np.array(NEIGHBOURS, float)
+    idf = np.log(len(m)) - np.log1p((m > 0).sum(axis=0))
+    length = m.sum(axis=1, keepdims=True)
+    pressed = 100 * (0.2 + 0.8 * length / length.mean())
+    assert np.allclose(dense(weighting.tfidf(x)), np.sqrt(m) * idf, atol=1e-6)
+    assert np.allclose(dense(weighting.bm25(x)), m * 101 / (pressed + m) * idf, atol=1e-6)
+    assert np.allclose(dense(weighting.normalize(x)), m / np.linalg.norm(m, axis=1, keepdims=True), atol=1e-6)
+    assert sorted(map(tuple, weighting.binarize(x, 8).df.collect())) == [(3, 0, 1.0), (6, 5, 1.0)]
     zero = of_rows(spark, [(0, 0, 0.0), (0, 1, -1.0), (1, 1, 0.0)])
     assert dense(weighting.normalize(zero), 2, 2).tolist() == [[0, -1], [0, 0]]
     assert weighting.drop_zeros(zero).df.count() == 1 and weighting.positive(zero).df.count() == 0

@@ -46,6 +46,30 @@ def test_matrix_market(spark, tmp_path):
     assert rows(x) == [(0, 0, 5.0), (2, 3, 1.5)] and (x.n_users, x.n_items) == (3, 4)
 
 
+def test_matrix_market_size_line_and_symmetry(spark, tmp_path):
+    banner = "%%MatrixMarket matrix coordinate real "
+    x = readers.matrix_market(spark, write(tmp_path / "a.mtx", banner + "general\n%c\n3 3 3\n3 3 3\n1 2 1\n2 1 4\n"))
+    assert rows(x) == [(0, 1, 1.0), (1, 0, 4.0), (2, 2, 3.0)]
+    x = readers.matrix_market(spark, write(tmp_path / "b.mtx", banner + "symmetric\n3 3 2\n2 1 5\n3 3 1\n"))
+    assert rows(x) == [(0, 1, 5.0), (1, 0, 5.0), (2, 2, 1.0)]
+    x = readers.matrix_market(spark, write(tmp_path / "c.mtx", banner + "skew-symmetric\n3 3 1\n2 1 5\n"))
+    assert rows(x) == [(0, 1, -5.0), (1, 0, 5.0)]
+    x = readers.matrix_market(spark, write(tmp_path / "d.mtx", "%%MatrixMarket matrix coordinate pattern general\n2 2 1\n2 1\n"))
+    assert rows(x) == [(1, 0, 1.0)]
+
+
+def test_titles_and_stored_data_sets(spark, tmp_path):
+    titles = readers.movielens_titles(spark, write(tmp_path / "movies.csv", 'movieId,title,genres\n1,"A, the",x\n'), "20m")
+    assert titles.collect() == [(1, "A, the")]
+    assert readers.movielens_titles(spark, write(tmp_path / "movies.dat", "1::Caf\xe9::x|y\n", "latin-1"), "1m").collect() == [(1, "Caf\xe9")]
+    bars = readers.movielens_titles(spark, write(tmp_path / "u2.item", "7|Caf\xe9|date|more|1\n", "latin-1"), "100k")
+    assert bars.collect() == [(7, "Caf\xe9")]
+    x = readers.movielens(spark, write(tmp_path / "ratings.csv", "userId,movieId,rating,timestamp\n1,2,3.5,9\n"), "20m")
+    readers.dataset(spark, str(tmp_path / "set"), titles, None, x)
+    items, back = readers.stored_dataset(spark, str(tmp_path / "set"))
+    assert items.collect() == titles.collect() and rows(back) == rows(x) and (back.n_users, back.n_items) == (x.n_users, x.n_items)
+
+
 def test_results_file(spark, tmp_path):
     found = spark.createDataFrame([(0, 1, 1, 0.5)], "query_id long, rank int, id long, score double")
     a, b = spark.createDataFrame([(0, "x")], "query_id long, label string"), spark.createDataFrame([(1, "y")], "id long, label string")
