@@ -304,6 +304,27 @@ def test_a_strong_chain_hides_no_later_one(first, gap, shift):
     assert sorted(len(c) for c in substring.chain(p, r)) == sorted([len(range(0, first, 6)), 10])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_by_runs_and_by_words(seed):
+    """Few and many runs are searched in different ways with the same passages."""
+    rng = random.Random(seed)
+    several = 0
+    for _ in range(400):
+        runs, i, j = [], 0, 0
+        for _ in range(rng.randint(1, substring.FEW_RUNS)):
+            g = rng.choice([0, 0, 1, 1, 2, 5, 20])
+            h = rng.choice([g, g, 0, 1, 3, 30])
+            i, j = i + g + (not g and not h), j + h
+            n = rng.choice([1, 1, 2, 4, 8, 15, 30, 60])
+            runs.append((i, j, n))
+            i, j = i + n, j + n
+        if sum(n for _, _, n in runs) >= substring.MIN_WORDS * substring.SIMILARITY:
+            found = substring._by_runs(runs)
+            assert found == substring._by_words(runs)
+            several += len(found) > 1
+    assert several > 50
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_matched_words(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
