@@ -270,6 +270,84 @@ def test_lines_that_others_hold_part_no_two_texts(lines, words):
         assert (lines + 1, lines) in set(zip(key[i].tolist(), key[j].tolist()))
 
 
+def passages_of(a, b):
+    """Passages of two texts that hold no seed twice, from all the seeds and runs they share."""
+    sides = []
+    for text in (a, b):
+        seed, at = substring.seeds_of(text)
+        run, first = substring.runs_of(seed, at)
+        sides.append((dict(zip(seed.tolist(), at.tolist())), dict(zip(run.tolist(), first.tolist()))))
+    runs = {sides[0][1][s] for s in sides[0][1].keys() & sides[1][1].keys()}
+    pairs = sorted({(one[s], two[s]) for one, two in zip(*sides) for s in one.keys() & two.keys()})
+    out, (x, y) = [], (substring.words_of(a), substring.words_of(b))
+    p, r = (np.array([q[i] for q in pairs], np.int64) for i in (0, 1))
+    for own in substring.chain(p, r) if pairs else []:
+        long = len(own) > 1 and p[own[-1]] - p[own[0]] >= substring.MIN_WORDS - substring.EXTEND - substring.K
+        if long or not runs.isdisjoint(p[own].tolist()):
+            i, j = (max(0, int(q[own[0]]) - substring.EXTEND) for q in (p, r))
+            u, v = (int(q[own[-1]]) + substring.K + substring.EXTEND for q in (p, r))
+            found = substring.pieces(x[i:u], y[j:v], [(int(p[k]) - i, int(r[k]) - j) for k in own])
+            out += [(i + s, i + e, j + t, j + f) for s, e, t, f, _ in found]
+    return out
+
+
+def test_many_holders_lose_no_link(spark):
+    """Where many texts hold each part of a passage, two that hold it whole, or nearly, are linked or of one class."""
+    rng, texts, whole = random.Random(33), [], []
+    for case in range(6):
+        words = prose(rng, 64).split()
+        parts = [words[i : i + 40] for i in (0, 8, 16, 24)] if case < 4 else [words[i : i + 26] for i in (0, 13, 26, 38)]
+        for part in parts:
+            texts += [f"{prose(rng, 30)} {' '.join(part)} {prose(rng, 30)}" for _ in range(14)]
+        for _ in range(2):
+            body = " ".join(words) if case < 4 else " ".join(w if k not in (13, 31, 49) else prose(rng, 1) for k, w in enumerate(words))
+            texts.append(f"{prose(rng, 30)} {body} {prose(rng, 30)}")
+        whole.append((len(texts) - 2, len(texts) - 1))
+    rows = substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    linked = {frozenset((r["doc_id"], r["ref_doc_id"])) for r in rows}
+    assert all(frozenset(x) in linked for x in whole)
+    spans = [(r["doc_id"], r["start_word"], r["end_word"], r["class_doc_id"], r["class_start_word"]) for r in rows]
+    spans += [(r["ref_doc_id"], r["ref_start_word"], r["ref_end_word"], r["class_doc_id"], r["class_start_word"]) for r in rows]
+
+    def classes(d, x, z):
+        return {s[3:] for s in spans if s[0] == d and s[1] < z and x < s[2]}
+
+    for d in range(len(texts)):
+        for e in range(d):
+            for x, z, y, w in passages_of(texts[d], texts[e]):
+                assert frozenset((d, e)) in linked or classes(d, x, z) & classes(e, y, w), (d, e)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_unlinked_pairs(seed):
+    """Of the holders of a code all pairs come but those of the same class, and those without a seed far enough off."""
+    rng = random.Random(seed)
+    rows = sorted((rng.randrange(6), k, rng.choice([0, 0, 7, 8]), rng.random() < 0.5) for k in range(60))
+    rows += [(9, k, 5, True) for k in range(40)] + [(10, k, 0, True) for k in range(1200)]
+    want = {
+        (max(a[1], b[1]), min(a[1], b[1]))
+        for a in rows for b in rows
+        if a[0] == b[0] and a[1] < b[1] and (a[3] or b[3]) and (a[2] != b[2] or not a[2])
+    }
+    got = [(k, r) for part in substring.unlinked(*(np.array(x) for x in zip(*rows))) for k, r in zip(*(x.tolist() for x in part))]
+    assert set(got) == want
+
+
+def test_codes_of_classes():
+    """Runs and two seeds far enough apart are codes of the class that covers them, of none if their places differ."""
+    rows = [  # key, pos, end, seed, kind
+        (1, 0, 60, 77, 2), (1, 5, 0, 11, 1), (1, 5, 0, 20, 1), (1, 25, 0, 22, 0), (1, 62, 0, 24, 0),
+        (2, 5, 0, 11, 1), (2, 5, 0, 20, 1), (2, 12, 0, 22, 0), (2, 400, 0, 24, 0),
+    ]
+    code, key, both, far = (x.tolist() for x in substring.codes(*(np.array(x, np.int64) for x in zip(*rows))))
+    got = {(c, k): (b, f) for c, k, b, f in zip(code, key, both, far)}
+    assert len(got) == len(code) == 5
+    assert got[11, 1] == (77, True) and got[11, 2] == (0, True)
+    two = substring._mixed(np.array([20]), np.array([22]))[0]
+    assert got[two, 1][0] != 0 and got[two, 1][1] and got[two, 2] == (0, False)
+    assert got[substring._mixed(np.array([20]), np.array([24]))[0], 1] == (0, True)
+
+
 def best_chain(p, r):
     """The best chain's score by trying all predecessors."""
     best = {}
