@@ -382,6 +382,27 @@ def test_a_strong_chain_hides_no_later_one(first, gap, shift):
     assert sorted(len(c) for c in substring.chain(p, r)) == sorted([len(range(0, first, 6)), 10])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_that_cannot_chain_are_known(seed):
+    """Chains of several matches are the same without those that belong to none, and of far ones none is looked at."""
+    rng, lone = random.Random(seed), 0
+    for spread in (60, 400, 3000):
+        sets = [sorted({(rng.randrange(spread), rng.randrange(spread)) for _ in range(rng.randint(1, 30))}) for _ in range(60)]
+        pair = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        p, r = (np.array([m[i] for x in sets for m in x]) for i in (0, 1))
+        keep = substring.chainable(pair, p, r)
+        lone += (~keep).sum()
+        for k in range(len(sets)):
+            both = []
+            for own in (np.flatnonzero(pair == k), np.flatnonzero((pair == k) & keep)):
+                chains = substring.chain(p[own], r[own]) if len(own) else []
+                both.append(sorted(own[c].tolist() for c in chains if len(c) > 1))
+            assert both[0] == both[1]
+    assert lone > 100
+    far = np.arange(50) * 100
+    assert not substring.chainable(np.zeros(50, int), far, far).any() and not len(substring.chainable(far[:0], far[:0], far[:0]))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_passages_by_runs_and_by_words(seed):
     """Few and many runs are searched in different ways with the same passages."""
