@@ -23,4 +23,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and return it read back; lost executors then cost a read."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stashed_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that `stash` returned as df.  Only for tables whose every reader has itself been written: a lost executor must find what it reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
