@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.sources.checkpoints import shared_dir, stash
+from tastegrid.sources.checkpoints import discard, shared_dir, stash
 
 __all__ = [
-    "bounded_bytes", "documents", "shared_dir", "shuffle_partitions", "slices", "stash", "table", "text_of",
+    "bounded_bytes", "discard", "documents", "shared_dir", "shuffle_partitions", "slices", "stash", "table", "text_of",
 ]
 
 

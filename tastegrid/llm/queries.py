@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, chat, decontam, mpegts, pii, secrets, simhash, substring, tokencount, toxicity
+from tastegrid.llm import bpe, chat, decontam, linededup, mpegts, pii, secrets, simhash, substring, tokencount, toxicity, trie, vectorcode
 from tastegrid.llm.common import documents, table
 
 
@@ -72,6 +72,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = trie.branched(table(spark, sf_dir, "conversations"))
+    return trie.digest(trie.prefix_trie(turns, convs))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.digest(*vectorcode.encode(table(spark, sf_dir, "embeddings")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.drop_repeated_lines(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
@@ -83,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 OP4_SQL = r"""
@@ -166,4 +182,89 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM j GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op5_secrets": _op5_sql(), "op7_chat_windows": OP7_SQL}
+#: CRC-32 of a number's digits, by shifts: each digit enters as eight steps, of which the first takes it in.
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384) ELSE xor(a, x) >> 1 END))"""
+
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id::BIGINT AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT t.conv_id, place, role, text FROM t JOIN v USING (conv_id) WHERE place > h
+  UNION ALL SELECT v.conv_id, place, role, text FROM v JOIN t ON t.conv_id = v.base WHERE place <= h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth FROM r),
+p AS (
+  SELECT conv_id, depth, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS node,
+    len(regexp_extract_all(text, '[^ 	-
+]+')) AS words
+  FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM v),
+q AS (
+  SELECT *, lag(node) OVER w AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+  FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (
+  SELECT node, any_value(depth) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM q GROUP BY node),
+k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+s AS (SELECT DISTINCT x.node, y.node AS below FROM p x JOIN p y ON x.conv_id = y.conv_id AND y.depth >= x.depth),
+g AS (SELECT s.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM s JOIN m ON m.node = s.below GROUP BY s.node)
+SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN g USING (node) LEFT JOIN m u ON u.node = m.up
+"""
+
+
+def _op12_sql() -> str:
+    """Two rounds of Lloyd's method in integers, every part scanned in full."""
+    width = f"(len(x) // {vectorcode.PARTS})"
+    steps, book = [], "b0"
+    for k in range(vectorcode.ROUNDS + 1):
+        steps.append(f"""
+d{k} AS (SELECT rid, p, min(d * {vectorcode.ENTRIES} + e) AS best FROM (
+  SELECT rid, p, e, list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN {book} USING (p)) GROUP BY rid, p)""")
+        if k < vectorcode.ROUNDS:
+            steps.append(f"""
+m{k} AS (SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS entry FROM (
+  SELECT p, best % {vectorcode.ENTRIES} AS e, i, sum(part[i])::DOUBLE AS s, count(*) AS n FROM d{k} JOIN parts USING (rid, p), (SELECT unnest(range(1, 65)) AS i)
+  WHERE i <= len(part) GROUP BY ALL) GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(m{k}.entry, {book}.entry) AS entry FROM {book} LEFT JOIN m{k} USING (p, e))""")
+            book = f"b{k + 1}"
+    last = f"d{vectorcode.ROUNDS}"
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor({vectorcode.SCALE} * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+v AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS rid FROM kept),
+parts AS (SELECT rid, p, x[p * {width} + 1:(p + 1) * {width}] AS part FROM v, (SELECT unnest(range({vectorcode.PARTS})) AS p)),
+b0 AS (SELECT p, rid - 1 AS e, part AS entry FROM parts WHERE rid <= {vectorcode.ENTRIES}),{",".join(steps)},
+c AS (SELECT rid, string_agg(lower(lpad(to_hex(best % {vectorcode.ENTRIES}), 2, '0')), '' ORDER BY p) AS code, sum(best // {vectorcode.ENTRIES})::BIGINT AS error FROM {last} GROUP BY rid),
+said AS (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM {book})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (rid), said
+"""
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id::BIGINT AS doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d),
+k AS (SELECT rid, doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{linededup.UPPER}', '{linededup.LOWER}') AS key FROM l),
+s AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {linededup.LEAST_CHARS} GROUP BY key
+  HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= {linededup.LEAST_DOCS}),
+m AS (SELECT k.*, s.key IS NOT NULL AND keeper IS DISTINCT FROM doc_id AS gone FROM k LEFT JOIN s USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+    "op5_secrets": _op5_sql(),
+    "op7_chat_windows": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_vector_codes": _op12_sql(),
+    "op13_line_dedup": OP13_SQL,
+}
