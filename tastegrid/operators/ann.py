@@ -1,4 +1,4 @@
-"""Approximate neighbours: an inverted file over centroids, and locality-sensitive hashing."""
+"""Approximate neighbours: an inverted file over centroids, locality-sensitive hashing, and models that answer from an index."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from tastegrid.functions.vectors import augment, dot, norm, safe_norm
 from tastegrid.interactions import ITEM, USER, Interactions
 from tastegrid.operators.als import AlternatingLeastSquares
 from tastegrid.operators.factors import FactorModel
+from tastegrid.operators.forest import ForestIndex
+from tastegrid.operators.graph import GraphIndex
 from tastegrid.operators.topk import only, rank_top, without
 
 
@@ -95,21 +97,24 @@ class LSHIndex:
         return rank_top(found, "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")
 
 
+INDEXES = {"ivf": IVFIndex, "lsh": LSHIndex, "forest": ForestIndex, "graph": GraphIndex}
+
+
 class ApproximateModel:
     """A factor model whose similar items and recommendations come from an index.
 
-    index: "ivf" or "lsh".  With approximate_similar_items or
+    index: a name of INDEXES.  With approximate_similar_items or
     approximate_recommend False the exact model answers.
     """
 
     def __init__(self, model: FactorModel, index: str = "ivf", approximate_similar_items: bool = True, approximate_recommend: bool = True, **options):
-        if index not in ("ivf", "lsh"):
+        if index not in INDEXES:
             raise ValueError(f"no index {index!r}")
         self.model, self.index, self.options = model, index, options
         self.approximate_similar_items, self.approximate_recommend = approximate_similar_items, approximate_recommend
 
     def _new(self):
-        return IVFIndex(**self.options) if self.index == "ivf" else LSHIndex(**self.options)
+        return INDEXES[self.index](**self.options)
 
     def fit(self, x: Interactions, callback=None) -> "ApproximateModel":
         self.model.fit(x, callback)

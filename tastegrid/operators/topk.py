@@ -135,3 +135,36 @@ def score_top(
     blocks = q.crossJoin(F.broadcast(i) if size <= BROADCAST_BYTES else i)
     best = blocks.mapInArrow(_product(k, cosine), "query_id bigint, id bigint, score double")
     return rank_top(best, "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")
+
+
+def score_pairs(queries: DataFrame, items: DataFrame, pairs: DataFrame, k: int | None, digits: int | None = None) -> DataFrame:
+    """The k best of the given pairs (query_id, id) of each query by inner product, all if k is None: query_id, rank (not if k is None), id, score.
+
+    A pair carries its item's vector only; a query's vector comes once, ahead of its pairs.
+    """
+    vector = F.col("features").cast("array<float>").alias("features")
+    heads = queries.select(F.col("id").cast("long").alias("query_id"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), vector).dropDuplicates(["query_id"])
+    tails = pairs.join(items.select(F.col("id").cast("long").alias("id"), vector), "id").select("query_id", F.lit(1).alias("kind"), "id", "features")
+    rows = heads.unionByName(tails).repartition("query_id").sortWithinPartitions("query_id", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, at = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            query, kind, ids = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in range(3))
+            m = np.asarray(batch.column(3).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
+            # Which query's row each row follows; those before the first belong to the last batch's.
+            own = np.cumsum(kind == 0)
+            known = m[kind == 0] if x is None else np.concatenate([x[None], m[kind == 0]])
+            own = own - (x is None)
+            at = np.r_[[] if x is None else [at], query[kind == 0]]
+            pair = (kind == 1) & (at[own] == query)
+            scores = np.einsum("ij,ij->i", known[own[pair]], m[pair])
+            x, at = known[-1], at[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(query[pair]), pa.array(ids[pair]), pa.array(scores)], ["query_id", "id", "score"])
+
+    scored = rows.mapInArrow(run, "query_id bigint, id bigint, score double")
+    if k is None:
+        return scored
+    return rank_top(scored, "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tastegrid.functions import weighting
 from tastegrid.functions.vectors import dot, has_nan, hash_uniform, norm, safe_norm
 from tastegrid.interactions import ITEM, USER, WEIGHT, Interactions, encode_labels, join_labels
-from tastegrid.operators import ann, evaluation, knn, topk
+from tastegrid.operators import ann, evaluation, forest, graph, knn, topk
 from tastegrid.operators import factors as fx
 from tastegrid.operators.als import AlternatingLeastSquares, half_step_broadcast, half_step_shuffle, training_loss
 from tastegrid.operators.bpr import BayesianPersonalizedRanking
@@ -510,3 +510,20 @@ def lsh_search(spark, d):
 def ivf_kmeans_search(spark, d):
     e = embeddings(spark, d)
     return ranked(ann.IVFIndex(nlist=16, nprobe=13).build(e).search(e, N, digits=DIGITS))
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The queries of a search: every vector whose id is divisible by 50."""
+    return vectors.where("id % 50 = 0")
+
+
+@query
+def forest_search(spark, d):
+    e = embeddings(spark, d)
+    return ranked(forest.ForestIndex(trees=24, leaf_size=64, probes=2).build(e).search(_asked(e), N, digits=DIGITS))
+
+
+@query
+def graph_search(spark, d):
+    e = embeddings(spark, d)
+    return ranked(graph.GraphIndex().build(e).search(_asked(e), N, digits=DIGITS))
