@@ -1,139 +1,214 @@
-"""Bayesian personalised ranking by synchronous mini-batches.
-
-The entries are partitioned by user, so a task owns its users' factors.  In each
-round a task samples entries with replacement and, for each, an item of another
-random entry of the whole matrix; pairs whose second item the user likes as well
-are skipped.  User rows come back as they are, item rows as summed changes.
+"""Bayesian personalised ranking by stochastic gradients on rotating blocks.
+
+Users and items are dealt into as many blocks; items anew in every epoch.  An
+epoch has a turn for each shift r: the task of user block b works on item block
+b + r, so the tasks of a turn share neither users nor items and change their
+factors in place, and after all turns each entry has had its block's turn once.
+A sample's other item is drawn by popularity from the same item block, which
+holds all that its user likes of that block; as blocks are dealt anew, every
+pair of items meets in some epoch.  Factors are rows in the shared folder: the
+driver holds none, and a task those of its two blocks.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.interactions import ITEM, USER, Interactions
 from tastegrid.operators import factors as fx
+from tastegrid.operators.als import upsert_all
 from tastegrid.operators.factors import FactorModel
+from tastegrid.sources.checkpoints import discard, stash
 
 #: Samples that are updated together within a task.
 MINI_BATCH = 512
+#: Bytes of factors, and entries, of a block.
+BLOCK_BYTES, BLOCK_ENTRIES = 64 << 20, 2_000_000
+ENTRY, USERS, ITEMS, TALLY = 0, 1, 2, 3
+ROWS = "kind int, id bigint, n bigint, features array<float>"
 
 
-def sgd(x: np.ndarray, y: np.ndarray, users: np.ndarray, liked: np.ndarray, other: np.ndarray, rate: float, reg: float) -> int:
-    """One pass over the samples in mini-batches; x and y change in place.  Returns how many were ranked rightly.
+def terms(xu: np.ndarray, yi: np.ndarray, yj: np.ndarray, rate: float, reg: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What each sample adds to its user, its liked and its other item, and whether it was ranked rightly.
 
-    The last column of x is the constant 1 and stays; that of y is the item's bias.
+    The last column of xu is the constant 1 and stays; that of yi and yj is the item's bias.
     """
-    correct, k = 0, x.shape[1] - 1
+    score = np.einsum("ij,ij->i", xu, yi - yj)
+    z = (1 / (1 + np.exp(np.clip(score, -30, 30))))[:, None]
+    dx = rate * (z * (yi - yj) - reg * xu)
+    dx[:, -1] = 0
+    return dx, rate * (z * xu - reg * yi), rate * (-z * xu - reg * yj), score > 0
+
+
+def sgd(x: np.ndarray, y: np.ndarray, users: np.ndarray, liked: np.ndarray, other: np.ndarray, rate: float, reg: float) -> int:
+    """One pass over the samples in mini-batches; x and y change in place.  Returns how many were ranked rightly."""
+    correct = 0
     for at in range(0, len(users), MINI_BATCH):
         u, i, j = users[at : at + MINI_BATCH], liked[at : at + MINI_BATCH], other[at : at + MINI_BATCH]
-        xu, yi, yj = x[u], y[i], y[j]
-        score = np.einsum("ij,ij->i", xu, yi - yj)
-        correct += int((score > 0).sum())
-        z = (1 / (1 + np.exp(np.clip(score, -30, 30))))[:, None]
-        dx = rate * (z * (yi - yj) - reg * xu)
-        dx[:, k] = 0
-        np.add.at(x, u, dx)
-        np.add.at(y, i, rate * (z * xu - reg * yi))
-        np.add.at(y, j, rate * (-z * xu - reg * yj))
+        du, di, dj, right = terms(x[u], y[i], y[j], rate, reg)
+        correct += int(right.sum())
+        np.add.at(x, u, du)
+        np.add.at(y, i, di)
+        np.add.at(y, j, dj)
     return correct
 
 
+def unliked(user: np.ndarray, item: np.ndarray, at: np.ndarray, other: np.ndarray, n_items: int) -> np.ndarray:
+    """Which of the samples' other items their users do not like; entries come in order of user and item, at: the samples' entries."""
+    keys = user.astype(np.int64) * n_items + item
+    wanted = user[at].astype(np.int64) * n_items + other
+    found = np.searchsorted(keys, wanted)
+    return ~((found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == wanted))
+
+
+def _turn(width: int, rate: float, reg: float, verify: bool, seed: int) -> Callable:
+    """Samples one block's entries and updates its factors; rows (block, kind, id, n, features) come in order of block, kind, id and n."""
+
+    def update(block: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        kind, ids, n = (table.column(c).to_numpy() for c in ("kind", "id", "n"))
+        flat = np.array(table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, width)
+        users, items, pops = ids[kind == USERS], ids[kind == ITEMS], n[kind == ITEMS]
+        x, y = flat[: len(users)].copy(), flat[len(users) :].copy()
+        user, item = np.searchsorted(users, ids[kind == ENTRY]), np.searchsorted(items, n[kind == ENTRY])
+        correct = skipped = 0
+        if len(user) and len(items):
+            rng, ends = np.random.default_rng([seed, block]), np.cumsum(pops)
+            at = rng.integers(0, len(user), len(user))
+            other = np.searchsorted(ends, rng.integers(0, ends[-1], len(at)), side="right")
+            keep = unliked(user, item, at, other, len(items)) if verify else np.ones(len(at), bool)
+            correct = sgd(x, y, user[at][keep], item[at][keep], other[keep], rate, reg)
+            skipped = int(len(at) - keep.sum())
+        for k, i, count, m in ((USERS, users, n[kind == USERS], x), (ITEMS, items, pops, y), (TALLY, np.zeros(1), np.array([block]), np.array([[correct, skipped]]))):
+            base = fx.factor_batch(i, m)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), base.column(0), pa.array(count.astype(np.int64)), base.column(1)], ["kind", "id", "n", "features"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = None, []
+        for batch in batches:
+            own = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
+            starts, found = fx.segments(own)
+            for s, e, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], found.tolist()):
+                if b != block and rows:
+                    yield from update(block, rows)
+                    rows = []
+                block = b
+                rows.append(batch.slice(s, e - s))
+        if rows:
+            yield from update(block, rows)
+
+    return run
+
+
 class BayesianPersonalizedRanking(FactorModel):
-    """Factors of k + 1 columns: the last holds the item's bias, and 1 for users."""
+    """Factors of k + 1 columns: the last holds the item's bias, and 1 for users.
+
+    blocks: of users and of items; by default as many as keep a block below BLOCK_BYTES and BLOCK_ENTRIES.
+    """
 
     kind = "bpr"
 
-    def __init__(self, factors: int = 100, learning_rate: float = 0.01, regularization: float = 0.01, iterations: int = 100, verify_negative_samples: bool = True, random_state: int | None = None, rounds: int = 1):
+    def __init__(self, factors: int = 100, learning_rate: float = 0.01, regularization: float = 0.01, iterations: int = 100, verify_negative_samples: bool = True, random_state: int | None = None, blocks: int | None = None):
         super().__init__()
         self.factors, self.learning_rate, self.regularization, self.iterations = factors, learning_rate, regularization, iterations
-        self.verify_negative_samples, self.random_state, self.rounds = verify_negative_samples, random_state, rounds
+        self.verify_negative_samples, self.random_state, self.blocks = verify_negative_samples, random_state, blocks
 
     def parameters(self) -> dict:
-        return {k: getattr(self, k) for k in ("factors", "learning_rate", "regularization", "iterations", "verify_negative_samples", "random_state", "rounds")}
+        return {k: getattr(self, k) for k in ("factors", "learning_rate", "regularization", "iterations", "verify_negative_samples", "random_state", "blocks")}
+
+    def _start(self, counts: DataFrame, kind: int, seed: int) -> DataFrame:
+        """kind, id, n and the first factors of the ids that have entries."""
+        k = self.factors
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+                m = (fx.seeded_rows(seed, kind, ids, k + 1) - 0.5) / k
+                if kind == USERS:
+                    m[:, k] = 1
+                base = fx.factor_batch(ids, m)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), base.column(0), batch.column(1), base.column(1)], ["kind", "id", "n", "features"])
+
+        return counts.mapInArrow(run, ROWS)
 
     def fit(self, interactions: Interactions, callback: Callable | None = None) -> "BayesianPersonalizedRanking":
         """Fit on the pattern of the entries; callback(epoch, seconds, correct, skipped)."""
         n_users, n_items, k = interactions.n_users, interactions.n_items, self.factors
-        if max(n_users, n_items) * (k + 1) * 4 > fx.BROADCAST_BYTES:
-            raise ValueError("the factors exceed what a task may hold; use fewer factors or the other models, which need no broadcast")
-        spark = interactions.df.sparkSession
         seed = 0 if self.random_state is None else self.random_state
-        entries = fx.by_user(interactions.df, [USER, ITEM]).persist()
-        try:
-            seen_users = entries.select(USER).distinct().toArrow().column(0).to_numpy()
-            counts = entries.groupBy(ITEM).agg(F.count("*").alias("n")).toArrow()
-            x = ((fx.seeded(seed, 1, n_users, k + 1) - 0.5) / k).astype(np.float32)
-            y = ((fx.seeded(seed, 2, n_items, k + 1) - 0.5) / k).astype(np.float32)
-            cold_users, cold_items = np.ones(n_users, bool), np.ones(n_items, bool)
-            popularity = np.zeros(n_items, np.int64)
-            if len(seen_users):
-                cold_users[seen_users] = False
-                cold_items[counts.column(0).to_numpy()] = False
-                popularity[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
-            x[cold_users], y[cold_items] = 0, 0
-            x[:, k] = 1
-            for epoch in range(self.iterations):
-                began, correct, skipped = time.time(), 0, 0
-                for r in range(self.rounds):
-                    a, b = self._round(spark, entries, x, y, popularity, seed + 7919 * (epoch * self.rounds + r + 1))
-                    correct, skipped = correct + a, skipped + b
-                if callback:
-                    callback(epoch, time.time() - began, correct, skipped)
-            if not (np.isfinite(x).all() and np.isfinite(y).all()):
-                raise fx.ModelFitError("NaN in the factors")
-            self.user_factors, self.item_factors = fx.to_df(spark, x), fx.to_df(spark, y)
-        finally:
-            entries.unpersist()
+        entries = stash(interactions.df.select(USER, ITEM), "bpr-entries")
+        size = max(n_users, n_items) * (k + 1) * 4
+        blocks = self.blocks or max(1, math.ceil(size / BLOCK_BYTES), math.ceil(entries.count() / BLOCK_ENTRIES))
+        sides = [entries.groupBy(F.col(c).alias("id")).agg(F.count("*").alias("n")) for c in (USER, ITEM)]
+        factors = stash(self._start(sides[0], USERS, seed).unionByName(self._start(sides[1], ITEMS, seed)), "bpr-factors")
+        for epoch in range(self.iterations):
+            began = time.time()
+            factors, correct, skipped = self._epoch(entries, factors, blocks, seed + 7919 * (epoch + 1))
+            if callback:
+                callback(epoch, time.time() - began, correct, skipped)
+        users, items = (factors.where(F.col("kind") == c).select("id", "features") for c in (USERS, ITEMS))
+        fx.ensure_finite(factors.where(F.col("kind") != TALLY))
+        one = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.when(i == k, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))
+        cold = interactions.df.sparkSession.range(n_users).join(users.select("id"), "id", "left_anti").select("id", one.alias("features"))
+        self.user_factors, self.item_factors = users.unionByName(cold), upsert_all(items, n_items, k + 1)
         return self
 
-    def _round(self, spark, entries, x: np.ndarray, y: np.ndarray, popularity: np.ndarray, seed: int) -> tuple[int, int]:
-        ends = np.cumsum(popularity)
-        if not len(ends) or not ends[-1]:
-            return 0, 0
-        shared = spark.sparkContext.broadcast((x, y, ends))
-        rate, reg, verify, share = self.learning_rate, self.regularization, self.verify_negative_samples, 1.0 / self.rounds
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            columns = [[np.asarray(c.to_numpy(zero_copy_only=False)) for c in b.columns] for b in batches if b.num_rows]
-            if not columns:
-                return
-            user, item = (np.concatenate(c) for c in zip(*columns))
-            all_x, all_y, ends_ = shared.value
-            ids, local = np.unique(user, return_inverse=True)
-            own, items = all_x[ids].astype(np.float32), all_y.copy()
-            rng = np.random.default_rng([seed, int(ids[0])])
-            n = max(1, int(round(len(user) * share)))
-            at = rng.integers(0, len(user), n)
-            other = np.searchsorted(ends_, rng.integers(0, ends_[-1], n), side="right")
-            keep = np.ones(n, bool)
-            if verify:
-                keys = local.astype(np.int64) * len(items) + item  # in order, as the entries are
-                wanted = local[at].astype(np.int64) * len(items) + other
-                found = np.searchsorted(keys, wanted)
-                keep = ~((found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == wanted))
-            correct = sgd(own, items, local[at][keep], item[at][keep], other[keep], rate, reg)
-            change = items - all_y
-            moved = np.flatnonzero(change.any(axis=1))
-            for kind, i, m in ((0, ids, own), (1, moved, change[moved])):
-                base = fx.factor_batch(i, m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int32)), base.column(0), base.column(1)], ["kind", "id", "features"])
-            tally = fx.factor_batch(np.zeros(1), np.array([[correct, n - int(keep.sum())]]))
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), tally.column(0), tally.column(1)], ["kind", "id", "features"])
-
-        out = entries.mapInArrow(run, "kind int, id bigint, features array<float>")
-        width = x.shape[1]
-        # Item changes are added up before they leave the executors.
-        summed = F.array(*[F.sum(F.get("features", i).cast("double")) for i in range(width)])
-        rows = out.groupBy("kind", "id").agg(summed.alias("features")).toArrow()
-        kind, ids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        values = rows.column(2).combine_chunks()
-        flat = np.asarray(values.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
-        x[ids[kind == 0]] = flat[kind == 0]
-        y[ids[kind == 1]] += flat[kind == 1].astype(np.float32)
-        tally = flat[kind == 2].sum(axis=0)
-        return int(tally[0]), int(tally[1])
+    def _epoch(self, entries: DataFrame, factors: DataFrame, blocks: int, seed: int) -> tuple[DataFrame, int, int]:
+        """factors after a turn for each shift of the blocks, and the epoch's counts."""
+
+        def dealt(c: str, salt: int):
+            return F.pmod(F.xxhash64(F.lit(salt), c), F.lit(blocks)).cast("int")
+
+        nothing = F.array().cast("array<float>")
+        shifted = entries.withColumns({"block": dealt(USER, 0), "shift": F.pmod(dealt(ITEM, seed) - dealt(USER, 0), F.lit(blocks))})
+        if blocks > 1:
+            shifted = stash(shifted.repartition("shift", "block"), "bpr-entries")
+        correct = skipped = 0
+        for shift in range(blocks):
+            own = shifted.where(F.col("shift") == shift).select("block", F.lit(ENTRY).alias("kind"), F.col(USER).alias("id"), F.col(ITEM).alias("n"), nothing.alias("features"))
+            block = F.when(F.col("kind") == USERS, dealt("id", 0)).otherwise(F.pmod(dealt("id", seed) - shift, F.lit(blocks)))
+            held = factors.where(F.col("kind") != TALLY).select(block.alias("block"), "kind", "id", "n", "features")
+            rows = own.unionByName(held).repartition(blocks, "block").sortWithinPartitions("block", "kind", "id", "n")
+            turn = _turn(self.factors + 1, self.learning_rate, self.regularization, self.verify_negative_samples, seed + shift)
+            old, factors = factors, stash(rows.mapInArrow(turn, ROWS), "bpr-factors")
+            discard(old)
+            tally = factors.where(F.col("kind") == TALLY).agg(F.sum(F.get("features", 0).cast("double")), F.sum(F.get("features", 1).cast("double"))).first()
+            correct, skipped = correct + int(tally[0] or 0), skipped + int(tally[1] or 0)
+        if blocks > 1:
+            discard(shifted)
+        return factors, correct, skipped
+
+
+def step(samples: DataFrame, users: DataFrame, items: DataFrame, rate: float, reg: float) -> tuple[DataFrame, DataFrame]:
+    """One synchronous step over given samples (user_id, item_id, other): the users' and the items' new factors (id, features as doubles).
+
+    The updates of `sgd` taken all at once: samples meet the factors by joins, and what they add is summed by id.
+    """
+    wide = samples.join(users.select(F.col("id").alias(USER), F.col("features").alias("x")), USER)
+    wide = wide.join(items.select(F.col("id").alias(ITEM), F.col("features").alias("yi")), ITEM).join(items.select(F.col("id").alias("other"), F.col("features").alias("yj")), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                user, item, other = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in range(3))
+                x, yi, yj = (fx._column(batch.column(c)).astype(np.float64) for c in (3, 4, 5))
+                du, di, dj, _ = terms(x, yi, yj, rate, reg)
+                for kind, ids, d in ((USERS, user, du), (ITEMS, item, di), (ITEMS, other, dj)):
+                    base = fx.factor_batch(ids, d, np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), base.column(0), base.column(1)], ["kind", "id", "change"])
+
+    changes = wide.select(USER, ITEM, "other", "x", "yi", "yj").mapInArrow(run, "kind int, id bigint, change array<double>")
+    added = changes.select("kind", "id", F.posexplode("change").alias("place", "v")).groupBy("kind", "id", "place").agg(F.sum("v").alias("v"))
+    added = stash(added.groupBy("kind", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda c: c["v"]).alias("change")), "bpr-step")
+
+    def after(factors: DataFrame, kind: int) -> DataFrame:
+        moved = factors.join(added.where(F.col("kind") == kind).drop("kind"), "id", "left")
+        return moved.select("id", F.when(F.col("change").isNull(), F.col("features").cast("array<double>")).otherwise(F.zip_with("features", "change", lambda a, b: a + b)).alias("features"))
+
+    return after(users, USERS), after(items, ITEMS)

@@ -40,7 +40,12 @@ def seeded_rows(seed: int, salt: int, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def seeded_normal(seed: int, salt: int, n: int, k: int) -> np.ndarray:
-    u, v = seeded(seed, salt, n, k), seeded(seed, salt + 1, n, k)
+    return seeded_normal_rows(seed, salt, np.arange(n), k)
+
+
+def seeded_normal_rows(seed: int, salt: int, ids: np.ndarray, k: int) -> np.ndarray:
+    """The rows `ids` of seeded_normal."""
+    u, v = seeded_rows(seed, salt, ids, k), seeded_rows(seed, salt + 1, ids, k)
     return np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * np.pi * v)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastegrid.plans.queries import ALLOWED, ALPHA, DENIED, DIGITS, FACTORS, K, N, REG
+from tastegrid.plans.queries import ALLOWED, ALPHA, DENIED, DIGITS, FACTORS, K, N, RATE, REG
 
 CP = """cp AS (SELECT o_custkey::BIGINT AS user_id, l_partkey::BIGINT AS item_id, sum(l_quantity)::DOUBLE AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
@@ -118,7 +118,44 @@ CENTROIDS = """c AS (SELECT label, list(v ORDER BY pos) AS centroid FROM (
   SELECT label, pos, round(avg(f[pos]), 9) AS v FROM e, (SELECT unnest(range(1, 65)) AS pos) GROUP BY 1, 2) GROUP BY 1),
 near AS (SELECT id, f, c.label AS cell, row_number() OVER (PARTITION BY id ORDER BY round(list_dot_product(f, centroid), 9) DESC, c.label DESC) AS p FROM e, c)"""
 
+#: Entries with another item each, at two factors and a bias, and what a ranking step takes from each.
+BPR = f"""{CP}, {users(2)}, {items(3)},
+s AS (SELECT user_id, item_id, floor({uniform(3, 'user_id', 'item_id')} * (SELECT n FROM ni))::BIGINT AS other FROM cp),
+t AS (SELECT user_id, item_id, other, [u.f[1], u.f[2], 1.0::DOUBLE] AS x, a.f AS y, b.f AS v FROM s JOIN u ON user_id = u.id JOIN i a ON item_id = a.id JOIN i b ON other = b.id),
+z AS (SELECT *, 1 / (1 + exp(list_dot_product(x, y) - list_dot_product(x, v))) AS z FROM t)"""
+
+
+def _bpr_users() -> str:
+    sums = ", ".join(f"sum({RATE}::DOUBLE * (z * (y[{k}] - v[{k}]) - {REG}::DOUBLE * x[{k}])) AS d{k}" for k in (1, 2))
+    cells = ", ".join(f"round(f[{k}] + coalesce(d{k}, 0), {DIGITS}) AS x{k}" for k in (1, 2))
+    return f"WITH {BPR}, g AS (SELECT user_id, {sums} FROM z GROUP BY 1) SELECT u.id AS user_id, {cells}, 1.0::DOUBLE AS one FROM u LEFT JOIN g ON user_id = u.id"
+
+
+def _bpr_items() -> str:
+    def added(item: str, own: str, sign: str) -> str:
+        return f"SELECT {item} AS id, " + ", ".join(f"{RATE}::DOUBLE * ({sign}z * x[{k}] - {REG}::DOUBLE * {own}[{k}]) AS d{k}" for k in (1, 2, 3)) + " FROM z"
+
+    cells = ", ".join(f"round(f[{k}] + coalesce(d{k}, 0), {DIGITS}) AS {c}" for k, c in enumerate(("y1", "y2", "bias"), 1))
+    sums = ", ".join(f"sum(d{k}) AS d{k}" for k in (1, 2, 3))
+    return f"WITH {BPR}, a AS ({added('item_id', 'y', '')} UNION ALL {added('other', 'v', '-')}), g AS (SELECT id, {sums} FROM a GROUP BY 1) SELECT i.id AS item_id, {cells} FROM i LEFT JOIN g USING (id)"
+
+
+def _lmf_step() -> str:
+    sums = ", ".join(f"sum(w * y[{k}]) - {REG}::DOUBLE * any_value(x[{k}]) AS g{k}" for k in (1, 2, 4))
+    cells = ", ".join(f"round(x[{k}] + {RATE}::DOUBLE / sqrt(1e-6::DOUBLE + g{k} * g{k}) * g{k}, {DIGITS}) AS {c}" for k, c in ((1, "x1"), (2, "x2"), (4, "bias")))
+    return f"""WITH {CP}, {users(4)}, {items(4)},
+s AS (SELECT user_id, item_id, weight AS c FROM cp UNION ALL SELECT user_id, floor({uniform(3, 'user_id', 'item_id')} * (SELECT n FROM ni))::BIGINT, NULL FROM cp),
+t AS (SELECT user_id, c, [u.f[1], u.f[2], 1.0::DOUBLE, u.f[4]] AS x, [i.f[1], i.f[2], i.f[3], 1.0::DOUBLE] AS y FROM s JOIN u ON user_id = u.id JOIN i ON item_id = i.id),
+r AS (SELECT *, 1 / (1 + exp(-list_dot_product(x, y))) AS p FROM t),
+v AS (SELECT *, CASE WHEN c IS NULL THEN -p ELSE c * (1 - p) END AS w FROM r),
+g AS (SELECT user_id, any_value(x) AS x, {sums} FROM v GROUP BY 1)
+SELECT user_id, {cells}, 1.0::DOUBLE AS one FROM g"""
+
+
 ORACLES: dict[str, str] = {
+    "bpr_step_users_k2": _bpr_users(),
+    "bpr_step_items_k2": _bpr_items(),
+    "lmf_step_k2": _lmf_step(),
     "interactions_cp": f"WITH {CP} SELECT * FROM cp",
     "interactions_ev": f"WITH {EV} SELECT * FROM ev",
     "csr_rows": f"WITH {EV} SELECT user_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, count(*)::BIGINT AS n FROM ev GROUP BY 1",

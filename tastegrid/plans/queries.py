@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tastegrid.functions import weighting
 from tastegrid.functions.vectors import dot, has_nan, hash_uniform, norm, safe_norm
 from tastegrid.interactions import ITEM, USER, WEIGHT, Interactions, encode_labels, join_labels
-from tastegrid.operators import ann, evaluation, forest, graph, knn, topk
+from tastegrid.operators import ann, bpr, evaluation, forest, graph, knn, lmf, topk
 from tastegrid.operators import factors as fx
 from tastegrid.operators.als import AlternatingLeastSquares, half_step_broadcast, half_step_shuffle, training_loss
 from tastegrid.operators.bpr import BayesianPersonalizedRanking
@@ -420,6 +420,51 @@ def bpr_scores(spark, d):
     return s.select(USER, ITEM, "other", F.round(z, DIGITS).alias("z"))
 
 
+RATE = 0.05
+
+
+def _drawn(x: Interactions) -> DataFrame:
+    """The entries, each with another item by hash."""
+    other = (hash_uniform(3, F.col(USER), F.col(ITEM)) * x.n_items).cast("long")
+    return x.df.select(USER, ITEM, other.alias("other"), WEIGHT)
+
+
+def _placed(factors: DataFrame, *cells) -> DataFrame:
+    """Factors whose places are as given: a number is a constant, a text the place in the old ones."""
+    return factors.select("id", F.array(*[F.get("features", int(c)).cast("double") if isinstance(c, str) else F.lit(float(c)) for c in cells]).alias("features"))
+
+
+def _bpr_step(spark, d) -> tuple[DataFrame, DataFrame]:
+    """One step of the fitting kernel over an entry and another item each, at two factors and a bias."""
+    users = _placed(user_factors(spark, d, 2), "0", "1", 1)
+    return bpr.step(_drawn(cp(spark, d)).drop(WEIGHT), users, item_factors(spark, d, 3), RATE, REG)
+
+
+def _cells(df: DataFrame, key: str, *names: str) -> DataFrame:
+    return df.select(F.col("id").alias(key), *[F.round(F.get("features", i), DIGITS).alias(n) for i, n in enumerate(names)])
+
+
+@query
+def bpr_step_users_k2(spark, d):
+    return _cells(_bpr_step(spark, d)[0], USER, "x1", "x2", "one")
+
+
+@query
+def bpr_step_items_k2(spark, d):
+    return _cells(_bpr_step(spark, d)[1], ITEM, "y1", "y2", "bias")
+
+
+@query
+def lmf_step_k2(spark, d):
+    """One Adagrad step of the fitting kernel, at two factors and biases: every entry, and for each one negative by hash."""
+    drawn = _drawn(cp(spark, d))
+    samples = drawn.select(F.col(USER).alias("id"), F.col(ITEM).alias("other"), F.col(WEIGHT).alias("c")).unionByName(
+        drawn.select(F.col(USER).alias("id"), "other", F.lit(None).cast("double").alias("c"))
+    )
+    users, items = _placed(user_factors(spark, d, 4), "0", "1", 1, "3"), _placed(item_factors(spark, d, 4), "0", "1", "2", 1)
+    return _cells(lmf.step(samples, users, items, RATE, REG, 2), USER, "x1", "x2", "one", "bias")
+
+
 @query
 def lmf_positive_gradient(spark, d):
     """The part of the logistic gradient that comes from the entries, at two factors."""

@@ -9,8 +9,8 @@ from tastegrid.interactions import Interactions, encode_labels
 
 
 def delimited(spark: SparkSession, path: str, columns: str, sep: str = "\t", header: bool = False, encoding: str = "UTF-8", quote: str = '"', keep: list[str] | None = None) -> DataFrame:
-    """A delimited file with a schema; empty fields stay empty strings; only `keep` is read on."""
-    df = spark.read.csv(path, schema=columns, sep=sep, header=header, encoding=encoding, quote=quote, nullValue="\x00", emptyValue="")
+    """A delimited file with a schema; a quote inside a quoted field is doubled; empty fields stay empty strings; only `keep` is read on."""
+    df = spark.read.csv(path, schema=columns, sep=sep, header=header, encoding=encoding, quote=quote, escape=quote, nullValue="\x00", emptyValue="")
     return df.select(*keep) if keep else df
 
 

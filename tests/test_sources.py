@@ -61,6 +61,8 @@ def test_matrix_market_size_line_and_symmetry(spark, tmp_path):
 def test_titles_and_stored_data_sets(spark, tmp_path):
     titles = readers.movielens_titles(spark, write(tmp_path / "movies.csv", 'movieId,title,genres\n1,"A, the",x\n'), "20m")
     assert titles.collect() == [(1, "A, the")]
+    doubled = 'movieId,title,genres\n3,"""Great Performances"" Cats, A (1998)",Musical\n4,"Say ""x""",y\n5,a\\b,z\n'
+    assert readers.movielens_titles(spark, write(tmp_path / "quoted.csv", doubled), "20m").collect() == [(3, '"Great Performances" Cats, A (1998)'), (4, 'Say "x"'), (5, "a\\b")]
     assert readers.movielens_titles(spark, write(tmp_path / "movies.dat", "1::Caf\xe9::x|y\n", "latin-1"), "1m").collect() == [(1, "Caf\xe9")]
     bars = readers.movielens_titles(spark, write(tmp_path / "u2.item", "7|Caf\xe9|date|more|1\n", "latin-1"), "100k")
     assert bars.collect() == [(7, "Caf\xe9")]
