@@ -31,6 +31,8 @@ from tastegrid.sources.checkpoints import discard, stash
 MINI_BATCH = 512
 #: Bytes of factors, and entries, of a block.
 BLOCK_BYTES, BLOCK_ENTRIES = 64 << 20, 2_000_000
+#: Epochs of one task where all is one block, so nothing has to be dealt anew between them; more would be lost with an executor.
+EPOCHS_AT_ONCE = 10
 ENTRY, USERS, ITEMS, TALLY = 0, 1, 2, 3
 ROWS = "kind int, id bigint, n bigint, features array<float>"
 
@@ -68,8 +70,8 @@ def unliked(user: np.ndarray, item: np.ndarray, at: np.ndarray, other: np.ndarra
     return ~((found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == wanted))
 
 
-def _turn(width: int, rate: float, reg: float, verify: bool, seed: int) -> Callable:
-    """Samples one block's entries and updates its factors; rows (block, kind, id, n, features) come in order of block, kind, id and n."""
+def _turn(width: int, rate: float, reg: float, verify: bool, seeds: list[int]) -> Callable:
+    """Samples one block's entries and updates its factors, once for each seed; rows (block, kind, id, n, features) come in order of block, kind, id and n."""
 
     def update(block: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -78,15 +80,15 @@ def _turn(width: int, rate: float, reg: float, verify: bool, seed: int) -> Calla
         users, items, pops = ids[kind == USERS], ids[kind == ITEMS], n[kind == ITEMS]
         x, y = flat[: len(users)].copy(), flat[len(users) :].copy()
         user, item = np.searchsorted(users, ids[kind == ENTRY]), np.searchsorted(items, n[kind == ENTRY])
-        correct = skipped = 0
-        if len(user) and len(items):
+        tally = np.zeros((len(seeds), 2))
+        for epoch, seed in enumerate(seeds if len(user) and len(items) else []):
             rng, ends = np.random.default_rng([seed, block]), np.cumsum(pops)
             at = rng.integers(0, len(user), len(user))
             other = np.searchsorted(ends, rng.integers(0, ends[-1], len(at)), side="right")
             keep = unliked(user, item, at, other, len(items)) if verify else np.ones(len(at), bool)
             correct = sgd(x, y, user[at][keep], item[at][keep], other[keep], rate, reg)
-            skipped = int(len(at) - keep.sum())
-        for k, i, count, m in ((USERS, users, n[kind == USERS], x), (ITEMS, items, pops, y), (TALLY, np.zeros(1), np.array([block]), np.array([[correct, skipped]]))):
+            tally[epoch] = correct, len(at) - keep.sum()
+        for k, i, count, m in ((USERS, users, n[kind == USERS], x), (ITEMS, items, pops, y), (TALLY, np.arange(len(seeds)), np.full(len(seeds), block), tally)):
             base = fx.factor_batch(i, m)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), base.column(0), pa.array(count.astype(np.int64)), base.column(1)], ["kind", "id", "n", "features"])
 
@@ -147,11 +149,13 @@ class BayesianPersonalizedRanking(FactorModel):
         blocks = self.blocks or max(1, math.ceil(size / BLOCK_BYTES), math.ceil(entries.count() / BLOCK_ENTRIES))
         sides = [entries.groupBy(F.col(c).alias("id")).agg(F.count("*").alias("n")) for c in (USER, ITEM)]
         factors = stash(self._start(sides[0], USERS, seed).unionByName(self._start(sides[1], ITEMS, seed)), "bpr-factors")
-        for epoch in range(self.iterations):
-            began = time.time()
-            factors, correct, skipped = self._epoch(entries, factors, blocks, seed + 7919 * (epoch + 1))
-            if callback:
-                callback(epoch, time.time() - began, correct, skipped)
+        step = EPOCHS_AT_ONCE if blocks == 1 else 1
+        for first in range(0, self.iterations, step):
+            began, epochs = time.time(), range(first, min(first + step, self.iterations))
+            factors, counts = self._epochs(entries, factors, blocks, [seed + 7919 * (e + 1) for e in epochs])
+            for epoch, (correct, skipped) in zip(epochs, counts):
+                if callback:
+                    callback(epoch, (time.time() - began) / len(epochs), correct, skipped)
         users, items = (factors.where(F.col("kind") == c).select("id", "features") for c in (USERS, ITEMS))
         fx.ensure_finite(factors.where(F.col("kind") != TALLY))
         one = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.when(i == k, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))
@@ -159,8 +163,9 @@ class BayesianPersonalizedRanking(FactorModel):
         self.user_factors, self.item_factors = users.unionByName(cold), upsert_all(items, n_items, k + 1)
         return self
 
-    def _epoch(self, entries: DataFrame, factors: DataFrame, blocks: int, seed: int) -> tuple[DataFrame, int, int]:
-        """factors after a turn for each shift of the blocks, and the epoch's counts."""
+    def _epochs(self, entries: DataFrame, factors: DataFrame, blocks: int, seeds: list[int]) -> tuple[DataFrame, list[tuple[int, int]]]:
+        """factors after a turn for each shift of the blocks, and the counts of each epoch; several epochs only with one block."""
+        seed = seeds[0]
 
         def dealt(c: str, salt: int):
             return F.pmod(F.xxhash64(F.lit(salt), c), F.lit(blocks)).cast("int")
@@ -169,20 +174,21 @@ class BayesianPersonalizedRanking(FactorModel):
         shifted = entries.withColumns({"block": dealt(USER, 0), "shift": F.pmod(dealt(ITEM, seed) - dealt(USER, 0), F.lit(blocks))})
         if blocks > 1:
             shifted = stash(shifted.repartition("shift", "block"), "bpr-entries")
-        correct = skipped = 0
+        counts = np.zeros((len(seeds), 2))
         for shift in range(blocks):
             own = shifted.where(F.col("shift") == shift).select("block", F.lit(ENTRY).alias("kind"), F.col(USER).alias("id"), F.col(ITEM).alias("n"), nothing.alias("features"))
             block = F.when(F.col("kind") == USERS, dealt("id", 0)).otherwise(F.pmod(dealt("id", seed) - shift, F.lit(blocks)))
             held = factors.where(F.col("kind") != TALLY).select(block.alias("block"), "kind", "id", "n", "features")
             rows = own.unionByName(held).repartition(blocks, "block").sortWithinPartitions("block", "kind", "id", "n")
-            turn = _turn(self.factors + 1, self.learning_rate, self.regularization, self.verify_negative_samples, seed + shift)
+            turn = _turn(self.factors + 1, self.learning_rate, self.regularization, self.verify_negative_samples, [x + shift for x in seeds])
             old, factors = factors, stash(rows.mapInArrow(turn, ROWS), "bpr-factors")
             discard(old)
-            tally = factors.where(F.col("kind") == TALLY).agg(F.sum(F.get("features", 0).cast("double")), F.sum(F.get("features", 1).cast("double"))).first()
-            correct, skipped = correct + int(tally[0] or 0), skipped + int(tally[1] or 0)
+            # A row for each block and epoch.
+            for r in factors.where(F.col("kind") == TALLY).select("id", "features").collect():
+                counts[r["id"]] += r["features"]
         if blocks > 1:
             discard(shifted)
-        return factors, correct, skipped
+        return factors, [(int(a), int(b)) for a, b in counts]
 
 
 def step(samples: DataFrame, users: DataFrame, items: DataFrame, rate: float, reg: float) -> tuple[DataFrame, DataFrame]:

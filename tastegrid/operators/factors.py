@@ -31,12 +31,32 @@ def seeded(seed: int, salt: int, n: int, k: int) -> np.ndarray:
 def seeded_rows(seed: int, salt: int, ids: np.ndarray, k: int) -> np.ndarray:
     """The rows `ids` of seeded."""
     with np.errstate(over="ignore"):
-        z = (ids.astype(np.uint64)[:, None] * np.uint64(k) + np.arange(k, dtype=np.uint64)).ravel() + np.uint64((seed * 0x9E3779B97F4A7C15 + salt * 0xD1B54A32D192ED03) & (1 << 64) - 1)
-        z *= np.uint64(0x9E3779B97F4A7C15)
+        places = (ids.astype(np.uint64)[:, None] * np.uint64(k) + np.arange(k, dtype=np.uint64)).ravel()
+    return _uniform(places, seed, salt).reshape(len(ids), k)
+
+
+def seeded_draws(seed: int, salt: int, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """counts[i] numbers in [0, 1) for each of ids, one after the other; each depends on the seed, the id and its place alone."""
+    ends = np.cumsum(counts)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+    with np.errstate(over="ignore"):
+        # Mixed once more, so that ids and places do not run into each other.
+        own = _mixed(ids.astype(np.uint64) + np.uint64(1))
+        return _uniform(np.repeat(own, counts) + place.astype(np.uint64), seed, salt)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = z * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return ((z >> np.uint64(11)).astype(np.float64) / (1 << 53)).reshape(len(ids), k)
+        return z ^ z >> np.uint64(31)
+
+
+def _uniform(places: np.ndarray, seed: int, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = _mixed(places + np.uint64((seed * 0x9E3779B97F4A7C15 + salt * 0xD1B54A32D192ED03) & (1 << 64) - 1))
+    return (z >> np.uint64(11)).astype(np.float64) / (1 << 53)
 
 
 def seeded_normal(seed: int, salt: int, n: int, k: int) -> np.ndarray:

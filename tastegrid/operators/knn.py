@@ -1,34 +1,113 @@
-"""Item-item nearest neighbours, in DataFrame expressions throughout."""
+"""Item-item nearest neighbours by a block-sparse product.
+
+Items are dealt into blocks.  A user's entries become one row for each block
+that they touch; these rows, of which a user has no more than there are blocks,
+meet by user and go to the cell of their two blocks; a cell's task adds up the
+products of all users in one dense square and gives each item's best of that
+square.  So a user of very many items is spread over all cells, pairs are summed
+before anything else is shuffled, and only the best of each square is ranked.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.functions import weighting
 from tastegrid.interactions import ITEM, USER, WEIGHT, Interactions
+from tastegrid.operators import factors as fx
 from tastegrid.operators.topk import check_lists, only, rank_top, without
 from tastegrid.sources import store
 from tastegrid.sources.checkpoints import stash
 
+#: Items of a block at most, and pairs that are multiplied at once.
+BLOCK_ITEMS, MOST_PAIRS = 2048, 2_000_000
+PAIRS = "item bigint, neighbour bigint, score double"
 
-def all_pairs(x: Interactions) -> DataFrame:
-    """item, neighbour and score, the inner product of the two items' vectors, for items that share a user.
 
-    Only pairs item <= neighbour are joined and summed; the rest is their mirror.
+def _squares(blocks: int, width: int, k: int | None, margin: float) -> Callable:
+    """Products summed in the square of each cell; rows (cell, a, v, b, w: the entries of a user in the cell's two blocks) come in order of cell.
+
+    Gives, for each item, all that share a user with it, or what may be among its k best: those whose sum is less than `margin` below the k-th.
     """
-    a = x.df.select(USER, F.col(ITEM).alias("item"), F.col(WEIGHT).alias("w"))
-    b = x.df.select(USER, F.col(ITEM).alias("neighbour"), F.col(WEIGHT).alias("v"))
-    half = a.join(b, USER).where("item <= neighbour").groupBy("item", "neighbour").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
-    both = F.when(F.col("item") == F.col("neighbour"), F.array(F.struct("item", "neighbour"))).otherwise(
-        F.array(F.struct("item", "neighbour"), F.struct(F.col("neighbour").alias("item"), F.col("item").alias("neighbour")))
-    )
-    return half.select(F.explode(both).alias("p"), "score").select("p.item", "p.neighbour", "score")
+
+    def add(total: np.ndarray, met: np.ndarray, batch: pa.RecordBatch) -> None:
+        lists = [batch.column(c) for c in range(1, 5)]
+        a, v, b, w = (np.asarray(x.flatten().to_numpy(zero_copy_only=False)) for x in lists)
+        la, lb = (np.asarray(x.value_lengths().to_numpy(zero_copy_only=False), np.int64) for x in (lists[0], lists[2]))
+        # Entry p of a meets the `reps` entries of b of its row, from `first` on.
+        reps, first = np.repeat(lb, la), np.repeat(np.cumsum(lb) - lb, la)
+        cuts = np.unique(np.r_[0, np.searchsorted(np.cumsum(reps), np.arange(MOST_PAIRS, reps.sum(), MOST_PAIRS)), len(reps)])
+        for s, e in zip(cuts.tolist(), cuts[1:].tolist()):
+            n = reps[s:e]
+            right = np.arange(n.sum()) + np.repeat(first[s:e] - np.cumsum(n) + n, n)
+            place = np.repeat(a[s:e] // blocks * width, n) + b[right] // blocks
+            total += np.bincount(place, np.repeat(v[s:e], n) * w[right], len(total))
+            met[place] = True
+
+    def best(cell: int, total: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = divmod(cell, blocks)
+        scores = np.where(met, total, -np.inf).reshape(width, width)
+        # Off the diagonal a square also holds the other block's items, in its columns.
+        for m, own, other in ((scores, i, j), (scores.T, j, i))[: 1 + (i != j)]:
+            for at in range(0, width, 256):
+                part = m[at : at + 256]
+                keep = np.isfinite(part)
+                if k is not None and k < width:
+                    keep &= part >= np.partition(part, width - k, axis=1)[:, width - k, None] - margin
+                r, c = np.nonzero(keep)
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array((at + r) * blocks + own), pa.array(c * blocks + other), pa.array(part[r, c])], ["item", "neighbour", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, total, met = None, np.zeros(width * width), np.zeros(width * width, bool)
+        for batch in batches:
+            own = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
+            starts, found = fx.segments(own)
+            for s, e, c in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], found.tolist()):
+                if c != cell:
+                    if cell is not None:
+                        yield from best(cell, total, met)
+                    cell = c
+                    total[:], met[:] = 0, False
+                add(total, met, batch.slice(s, e - s))
+        if cell is not None:
+            yield from best(cell, total, met)
+
+    return run
+
+
+def _products(x: Interactions, k: int | None, digits: int | None = None) -> DataFrame:
+    """item, neighbour and score of items that share a user; with k at least the k best of each item, and some more."""
+    spark = x.df.sparkSession
+    n = max(1, x.n_items)
+    # Cells enough for all cores, and no square too large for a task.
+    blocks = min(n, max(math.ceil(n / BLOCK_ITEMS), math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))))
+    width = math.ceil(n / blocks)
+    block = F.pmod(F.col(ITEM), F.lit(blocks)).cast("int")
+    packed = x.df.groupBy(USER, block.alias("block")).agg(F.collect_list(F.struct(ITEM, WEIGHT)).alias("x"))
+    packed = packed.select(USER, "block", F.col(f"x.{ITEM}").alias("items"), F.col(f"x.{WEIGHT}").alias("weights"))
+    a = packed.select(USER, F.col("block").alias("i"), F.col("items").alias("a"), F.col("weights").alias("v"))
+    b = packed.select(USER, F.col("block").alias("j"), F.col("items").alias("b"), F.col("weights").alias("w"))
+    met = a.join(b, USER).where("i <= j").select((F.col("i") * blocks + F.col("j")).alias("cell"), "a", "v", "b", "w")
+    dealt = met.repartition("cell").sortWithinPartitions("cell")
+    # Sums that are equal when rounded are told apart later: all of them are kept.
+    return dealt.mapInArrow(_squares(blocks, width, k, 0.0 if digits is None else 10.0**-digits), PAIRS)
+
+
+def all_pairs(x: Interactions) -> DataFrame:
+    """item, neighbour and score, the inner product of the two items' vectors, for items that share a user."""
+    return _products(x, None)
 
 
 def all_pairs_knn(x: Interactions, k: int = 100, digits: int | None = None) -> DataFrame:
     """The k best neighbours of each item, itself included: item, neighbour, score."""
-    return rank_top(all_pairs(x), "item", "neighbour", k, digits=digits).select("item", "neighbour", "score")
+    return rank_top(_products(x, k, digits), "item", "neighbour", k, digits=digits).select("item", "neighbour", "score")
 
 
 class ItemItemRecommender:

@@ -64,10 +64,10 @@ def adagrad(x: np.ndarray, squares: np.ndarray, g: np.ndarray, rate: float, pinn
     return x, squares
 
 
-def _cells(width: int, seed: int) -> Callable:
+def _cells(width: int, blocks: int, seed: int) -> Callable:
     """Sums of gradients of one pair of blocks: rows (cell, kind, id, n, c, features) come in order of cell, kind, id and n.
 
-    Entries hold the other's id in n and the weight in c; own rows the number of their negatives in n; the other's rows their popularity in n.
+    Entries hold the other's id in n and the weight in c; own rows the number of their negatives in n and their part in c; the other's rows their popularity in n.
     """
 
     def sums(cell: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,15 +76,15 @@ def _cells(width: int, seed: int) -> Callable:
         flat = np.asarray(table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
         own, other = ids[kind == OWN], ids[kind == OTHER]
         x, y = flat[: len(own)], flat[len(own) :]
+        part, n_neg, ends = c[kind == OWN].astype(np.int64), n[kind == OWN], np.cumsum(n[kind == OTHER])
         seg, item, c = np.searchsorted(own, ids[kind == ENTRY]), np.searchsorted(other, n[kind == ENTRY]), c[kind == ENTRY]
-        n_neg, pops = n[kind == OWN], n[kind == OTHER]
-        ends, starts = np.cumsum(pops), np.r_[0, np.cumsum(n_neg)]
-        rng = np.random.default_rng([seed, cell])
+        salt = 11 + cell % blocks
         # Some users at a time, so that their negatives stay in the processor's cache.
         for a in range(0, len(own), CACHED_USERS):
             z = min(a + CACHED_USERS, len(own))
             e = np.searchsorted(seg, [a, z])
-            chosen = np.searchsorted(ends, rng.integers(0, ends[-1], starts[z] - starts[a]), side="right") if len(ends) else np.zeros(0, int)
+            # Draws depend on the id, its part and the other side's block, not on how rows are dealt.
+            chosen = np.searchsorted(ends, np.floor(fx.seeded_draws(seed, salt, own[a:z] + (part[a:z] << 40), n_neg[a:z]) * ends[-1]), side="right") if len(ends) else np.zeros(0, int)
             seg_neg = np.repeat(np.arange(z - a), n_neg[a:z]) if len(ends) else chosen
             g = gradient(x[a:z], y[item[e[0] : e[1]]], c[e[0] : e[1]], seg[e[0] : e[1]] - a, y[chosen], seg_neg, 0.0)
             yield fx.factor_batch(own[a:z], g, np.float64)
@@ -194,8 +194,8 @@ class LogisticMatrixFactorization(FactorModel):
         rows = self.blocks or max(parallel, math.ceil(sizes[side] * width * 8 / BLOCK_BYTES), math.ceil(n * (self.neg_prop + 1) / blocks / BLOCK_ENTRIES))
         other_block = F.pmod(F.xxhash64("other"), F.lit(blocks)).cast("int")
         # Shares of all entries: a number for each block.
-        shares = np.zeros(blocks)
-        for r in other.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect():
+        shares = np.ones(blocks)
+        for r in [] if blocks == 1 else other.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect():
             shares[r["b"]] = r["n"]
         shares = shares / max(shares.sum(), 1)
         cap, prop = sizes[1 - side] if self.neg_cap is None else min(sizes[1 - side], self.neg_cap), self.neg_prop
@@ -219,9 +219,9 @@ class LogisticMatrixFactorization(FactorModel):
                 total = np.minimum(cap, count * prop)
                 # What does not divide goes to the first parts.
                 quota = total // n_parts + (first < total % n_parts)
-                drawn = np.random.default_rng([seed, 1, int(ids[0]) if len(ids) else 0]).multinomial(quota, shares) if len(ids) else np.zeros((0, blocks), int)
+                drawn = quota[:, None] if blocks == 1 else np.array([np.random.default_rng([seed, i, p]).multinomial(q, shares) for i, p, q in zip(ids.tolist(), first.tolist(), quota.tolist())]).reshape(-1, blocks)
                 pick = np.repeat(np.arange(len(ids)), blocks)
-                yield pa.RecordBatch.from_arrays([pa.array((row.astype(np.int64)[:, None] * blocks + np.arange(blocks)).ravel()), pa.array(np.full(len(pick), OWN, np.int32)), pa.array(ids[pick]), pa.array(drawn.ravel().astype(np.int64)), pa.array(np.zeros(len(pick))), batch.column(5).take(pa.array(pick))], ["cell", "kind", "id", "n", "c", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array((row.astype(np.int64)[:, None] * blocks + np.arange(blocks)).ravel()), pa.array(np.full(len(pick), OWN, np.int32)), pa.array(ids[pick]), pa.array(drawn.ravel().astype(np.int64)), pa.array(first[pick].astype(np.float64)), batch.column(5).take(pa.array(pick))], ["cell", "kind", "id", "n", "c", "features"])
 
         factors = F.slice("features", 1, width).alias("features")
         spread = own.select("id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), parts(F.col("n"))) - 1)).alias("part"), "n", F.greatest(F.lit(1), parts(F.col("n"))).alias("n_parts"), factors)
@@ -233,7 +233,7 @@ class LogisticMatrixFactorization(FactorModel):
         y = y.select((F.col("row") * blocks + F.col("b")).cast("bigint").alias("cell"), F.lit(OTHER).alias("kind"), "id", "n", F.lit(0.0).alias("c"), "features")
         every = e.withColumn("cell", F.col("cell").cast("bigint")).unionByName(x).unionByName(y)
         dealt = every.repartition(rows * blocks, "cell").sortWithinPartitions("cell", "kind", "id", "n")
-        sums = dealt.mapInArrow(_cells(width, seed), "id bigint, features array<double>")
+        sums = dealt.mapInArrow(_cells(width, blocks, seed), "id bigint, features array<double>")
         zeros = F.array_repeat(F.lit(0.0), width)
         gradients = sums.select("id", F.lit(OTHER).alias("kind"), F.lit(0).cast("bigint").alias("n"), F.concat("features", zeros).alias("features"))
         met = own.select("id", F.lit(OWN).alias("kind"), "n", "features").unionByName(gradients)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastegrid.functions.vectors import norm, safe_norm
+from tastegrid.sources.checkpoints import stash
+
 #: Factors in one block of a blocked product, and bytes up to which the blocks of the items are broadcast.
 BLOCK_ROWS = 8192
 BROADCAST_BYTES = 64 << 20
@@ -101,6 +105,68 @@ def _product(k: int, cosine: bool) -> Callable:
     return run
 
 
+def _asked(queries: DataFrame, liked: DataFrame | None) -> DataFrame:
+    """id, features and liked (the ids to leave out) of each query, once."""
+    own = queries.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<float>").alias("features")).dropDuplicates(["id"])
+    none = F.array().cast("array<bigint>")
+    if liked is None:
+        return own.withColumn("liked", none)
+    left_out = liked.groupBy(F.col("query_id").alias("id")).agg(F.collect_list("id").alias("liked"))
+    return own.join(left_out, "id", "left").select("id", "features", F.coalesce("liked", none).alias("liked"))
+
+
+QUERY_BLOCK, ITEM_BLOCK = "ids binary, data binary, counts binary, liked binary", "ids binary, data binary"
+
+
+def _packed_queries(asked: DataFrame) -> DataFrame:
+    q = asked.select("id", "features", "liked").mapInArrow(_pack(True), QUERY_BLOCK)
+    return q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "counts", "liked")
+
+
+def _items_bytes(items: DataFrame) -> int:
+    return items.agg(F.sum(F.size("features") * 4 + 8)).first()[0] or 0
+
+
+def scan_depths(asked: DataFrame, best: DataFrame, k: int, lengths: list[float], slack: float) -> DataFrame:
+    """asked with depth: how many item blocks, in order of their longest vectors' lengths, may still hold one of a query's k best.
+
+    best: what is known so far (query_id, score).  A product is at most the product of the lengths, so a query that has
+    k items is done with the blocks for which that stays below its k-th score by more than `slack`.
+    """
+    known = best.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    rows = asked.join(known, "id", "left").select("id", "features", "liked", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    # From the shortest on: how many lengths are below what the query needs.
+    ascending = np.array(lengths[::-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            own, least = np.linalg.norm(x, axis=1), np.asarray(batch.column(3).fill_null(-np.inf).to_numpy(zero_copy_only=False))
+            needed = (least - slack - 1e-6 * np.abs(np.where(np.isfinite(least), least, 0))) / np.maximum(own, 1e-300)
+            needed = np.where(least > 0, needed, -np.inf)
+            depth = len(ascending) - np.searchsorted(ascending, needed, side="left")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(depth.astype(np.int32))], ["id", "features", "liked", "depth"])
+
+    return rows.mapInArrow(run, "id bigint, features array<float>, liked array<bigint>, depth int")
+
+
+def _item_blocks(items: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
+    """Blocks of items (place, ids, data), longest vectors first, and the greatest length in each: one number for each block."""
+    spread = items.withColumn("length", norm(F.col("features"))).repartitionByRange(max(1, math.ceil(n / BLOCK_ROWS)), F.col("length").desc())
+    packed = spread.select("id", "features").mapInArrow(_pack(False), ITEM_BLOCK).withColumn("block", F.monotonically_increasing_id())
+    blocks = stash(packed, "item-blocks")
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                m = np.frombuffer(r["data"], np.float32).astype(np.float64).reshape(len(r["ids"]) // 8, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([float(np.linalg.norm(m, axis=1).max())])], ["block", "length"])
+
+    lengths = sorted(((r["length"], r["block"]) for r in blocks.mapInArrow(longest, "block bigint, length double").collect()), reverse=True)
+    places = items.sparkSession.createDataFrame([(b, p + 1) for p, (_, b) in enumerate(lengths)] or [(-1, 0)], "block long, place int")
+    return blocks.join(F.broadcast(places), "block").select("place", "ids", "data"), [x for x, _ in lengths]
+
+
 def score_top(
     queries: DataFrame,
     items: DataFrame,
@@ -118,23 +184,50 @@ def score_top(
     gives its k best, so results are whole: query_id, rank, id, score, in the
     order score, id descending; fewer rows where there are fewer items.
 
-    The product runs block by block.  The items' blocks are broadcast while they
-    are below BROADCAST_BYTES; beyond that the blocks are paired by a shuffle.
+    The product runs block by block.  The longest items, BROADCAST_BYTES of them
+    at most, are broadcast to all queries.  Where there are more, the others form
+    blocks in order of length; a query is then sent, by a shuffle on block numbers,
+    to the blocks that its k-th score so far does not rule out.
     """
-    items = without(only(items, "id", allow), "id", deny).select("id", "features")
-    queries = queries.select("id", "features").distinct() if liked is None else queries.select("id", "features")
-    own = liked.groupBy("query_id").agg(F.collect_list("id").alias("liked")) if liked is not None else None
-    if own is None:
-        asked = queries.withColumn("liked", F.array().cast("array<bigint>"))
-    else:
-        asked = queries.join(own.withColumnRenamed("query_id", "id"), "id", "left").select("id", "features", F.coalesce("liked", F.array().cast("array<bigint>")).alias("liked"))
-    q = asked.select(F.col("id").cast("long"), F.col("features").cast("array<float>"), "liked").mapInArrow(_pack(True), "ids binary, data binary, counts binary, liked binary")
-    q = q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "counts", "liked")
-    i = items.select(F.col("id").cast("long"), F.col("features").cast("array<float>")).mapInArrow(_pack(False), "ids binary, data binary")
-    size = items.agg(F.sum(F.size("features") * 4 + 8)).first()[0] or 0
-    blocks = q.crossJoin(F.broadcast(i) if size <= BROADCAST_BYTES else i)
-    best = blocks.mapInArrow(_product(k, cosine), "query_id bigint, id bigint, score double")
-    return rank_top(best, "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")
+    items = without(only(items, "id", allow), "id", deny).select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<float>").alias("features"))
+    asked = _asked(queries, liked)
+    size = _items_bytes(items)
+    product, schema = _product(k, cosine), "query_id bigint, id bigint, score double"
+    if size <= BROADCAST_BYTES:
+        blocks = _packed_queries(asked).crossJoin(F.broadcast(items.mapInArrow(_pack(False), ITEM_BLOCK)))
+        return rank_top(blocks.mapInArrow(product, schema), "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")
+    if cosine:
+        # All of one length then; those of no length keep their zeros.
+        items, asked = (t.withColumn("features", F.transform("features", lambda v: (v / safe_norm(F.col("features"))).cast("float"))) for t in (items, asked))
+    items, asked = stash(items, "scored-items"), stash(asked, "scored-queries")
+    n = items.count()
+    cut = items.agg(F.percentile_approx(norm(F.col("features")), 1 - BROADCAST_BYTES / size * 0.9, 100_000)).first()[0]
+    head, tail = (items.where(w) for w in (norm(F.col("features")) > cut, norm(F.col("features")) <= cut))
+    if _items_bytes(head) > BROADCAST_BYTES:
+        head, tail = items.limit(0), items
+    first = _packed_queries(asked).crossJoin(F.broadcast(head.mapInArrow(_pack(False), ITEM_BLOCK))).mapInArrow(product, schema)
+    best = stash(rank_top(first, "query_id", "id", k).drop("rank"), "scored-first")
+    blocks, lengths = _item_blocks(tail, n)
+    deep = scan_depths(asked, best, k, lengths, 0.0 if digits is None else 10.0**-digits).where("depth > 0")
+    # Queries of like depth share a block, which goes to each item block of that depth; salts give every core a part.
+    salts = max(1, math.ceil(2 * items.sparkSession.sparkContext.defaultParallelism / max(1, len(lengths))))
+    sorted_ = deep.repartitionByRange("depth").sortWithinPartitions("depth")
+    q = sorted_.mapInArrow(_pack_depths, f"{QUERY_BLOCK}, depth int").select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "counts", "liked", "depth")
+    q = q.select("q_ids", "q_data", "counts", "liked", F.pmod(F.xxhash64("q_ids"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("place"))
+    i = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = q.join(i, ["place", "salt"]).select("q_ids", "q_data", "counts", "liked", "ids", "data")
+    every = best.unionByName(met.mapInArrow(product, schema))
+    return rank_top(every, "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")
+
+
+def _pack_depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries of one depth; rows come in order of depth."""
+    for batch in batches:
+        depth = np.asarray(batch.column(3).to_numpy(zero_copy_only=False))
+        cuts = np.r_[np.flatnonzero(np.r_[True, depth[1:] != depth[:-1]]), len(depth)] if len(depth) else [0]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            for packed in _pack(True)(iter([batch.slice(int(s), int(e - s))])):
+                yield pa.RecordBatch.from_arrays([*packed.columns, pa.array([int(depth[s])], pa.int32())], [*packed.schema.names, "depth"])
 
 
 def score_pairs(queries: DataFrame, items: DataFrame, pairs: DataFrame, k: int | None, digits: int | None = None) -> DataFrame:

@@ -129,3 +129,30 @@ def test_lists_as_sets(spark):
     assert topk.without(df, "i", ids(spark, [1, 1])).count() == 1
     assert topk.only(df, "i", ids(spark, [2, 2])).count() == 1
     assert topk.without(df, "i", None).count() == 2
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+def test_top_beyond_the_broadcast(spark, monkeypatch, cosine):
+    """The same rows as with a broadcast, by a join on block numbers; blocks that the k-th score rules out are not met."""
+    rng = np.random.default_rng(4)
+    y = (rng.normal(size=(400, 6)) * rng.exponential(size=(400, 1))).astype(np.float32)
+    y[7] = 0
+    q = rng.normal(size=(25, 6)).astype(np.float32)
+    liked = spark.createDataFrame([(i, j) for i in range(25) for j in range(i, 400, 3)], "query_id long, id long")
+    queries, items = fx.to_df(spark, q), fx.to_df(spark, y)
+    want = sorted(map(tuple, topk.score_top(queries, items, 7, cosine=cosine, liked=liked, digits=5).collect()))
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 2000)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    far = topk.score_top(queries, items, 7, cosine=cosine, liked=liked, digits=5)
+    assert "CartesianProduct" not in far._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, far.collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=2e-5)
+
+
+def test_blocks_that_are_skipped(spark):
+    lengths = [5.0, 3.0, 1.0, 0.5]
+    asked = spark.createDataFrame([(0, [1.0, 0.0], []), (1, [0.0, 2.0], []), (2, [1.0, 0.0], []), (3, [0.0, 0.0], [])], "id long, features array<float>, liked array<bigint>")
+    best = spark.createDataFrame([(0, 4.0), (0, 2.0), (1, 2.5), (1, 2.1), (2, 9.0), (3, 0.0), (3, 0.0)], "query_id long, score double")
+    depths = {r["id"]: r["depth"] for r in topk.scan_depths(asked, best, 2, lengths, 0.0).collect()}
+    # Query 0 needs a length of 2, query 1 of 1.05; query 2 has one item only; a score of zero rules nothing out.
+    assert depths == {0: 2, 1: 2, 2: 4, 3: 4}
