@@ -51,13 +51,17 @@ def solve_cholesky(y: np.ndarray, c: np.ndarray, starts: np.ndarray, yty: np.nda
         own = starts[at : at + 512]
         lo, hi = own[0], ends[min(at + 511, len(starts) - 1)]
         a, b = _normal(y[lo:hi], c[lo:hi], own - lo, yty)
-        try:
-            out[at : at + len(own)] = np.linalg.solve(a, b[:, :, None])[:, :, 0]
-        except np.linalg.LinAlgError as e:
-            raise ValueError("a user's equations are singular; raise the regularization") from e
+        out[at : at + len(own)] = solve_dense(a, b)
     return out
 
 
+def solve_dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(a, b[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError as e:
+        raise ValueError("a user's equations are singular; raise the regularization") from e
+
+
 def solve_cg(y: np.ndarray, c: np.ndarray, starts: np.ndarray, yty: np.ndarray, x0: np.ndarray, steps: int = 3) -> np.ndarray:
     """Conjugate gradients for all users at once, from x0; users whose residual is tiny stay put."""
     counts = np.diff(np.r_[starts, len(c)])
@@ -158,7 +162,7 @@ def half_step_shuffle(entries: DataFrame, y: DataFrame, k: int, reg: float, x: D
     zero, group = np.zeros((k, k)), max(1, MATRIX_BYTES // (k * k * 8))
 
     def solved(a: np.ndarray, b: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return cg_dense(a, b, before, cg_steps) if cg_steps is not None else np.linalg.solve(a, b[:, :, None])[:, :, 0]
+        return cg_dense(a, b, before, cg_steps) if cg_steps is not None else solve_dense(a, b)
 
     def batch(users: np.ndarray, done: bool, flat: np.ndarray) -> pa.RecordBatch:
         values = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(np.ascontiguousarray(flat, np.float64).ravel()))
@@ -378,33 +382,39 @@ class AlternatingLeastSquares(FactorModel):
         pairs: user_id, item_id.  Each liked entry of the user contributes; entries below zero do not.
         """
         _, items = self._fitted()
-        n = (items.agg(F.max("id")).first()[0] or 0) + 1
-        if not self._small(n):
-            raise ValueError("the item factors are too large to be broadcast")
-        y = fx.to_matrix(items, n, self.factors).astype(np.float64)
-        yty = y.T @ y + self.regularization * np.eye(self.factors)
-        shared = x.df.sparkSession.sparkContext.broadcast(y)
-        wanted = pairs.groupBy(USER).agg(F.collect_set(ITEM).alias("wanted"))
-        rows = scale(x, self.alpha).rows().join(wanted, USER)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            y_ = shared.value
-            for batch in batches:
-                out = []
-                for r in batch.to_pylist():
-                    own, c = np.array(r["items"]), np.array(r["weights"])
-                    a, _ = _normal(y_[own], c, np.array([0]), yty)
-                    for item in r["wanted"]:
-                        s = (y_[own] @ np.linalg.solve(a[0], y_[item])) * c
-                        s = np.where(c > 0, s, 0)
-                        best = np.lexsort((-own, -s))
-                        best = best[c[best] > 0]
-                        out += [(r[USER], item, k + 1, int(own[j]), float(s[j]), float(s.sum())) for k, j in enumerate(best[:N])]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
-                names = [USER, ITEM, "rank", "other_item", "contribution", "total"]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
-
-        return rows.mapInArrow(run, f"{USER} bigint, {ITEM} bigint, rank int, other_item bigint, contribution double, total double")
+        k = self.factors
+        yty = fx.gramian(items, k) + self.regularization * np.eye(k)
+        asked = pairs.select(USER, ITEM).distinct()
+        # A user's entries and the items asked for, each with its factors, meet where the user's equations are solved.
+        entries = scale(x, self.alpha).df.join(asked.select(USER).distinct(), USER, "left_semi")
+        rows = entries.select(USER, F.lit(0).alias("asked"), ITEM, WEIGHT).unionByName(asked.select(USER, F.lit(1).alias("asked"), ITEM, F.lit(0.0).alias(WEIGHT)))
+        rows = rows.join(items.select(F.col("id").alias(ITEM), F.col("features").cast("array<double>").alias("features")), ITEM)
+        by = rows.select(USER, "asked", ITEM, WEIGHT, "features").repartition(USER).sortWithinPartitions(USER, "asked", ITEM)
+
+        def kernel(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            user, wanted, item, c, y = columns
+            starts, ids = fx.segments(user)
+            out = []
+            for u, s, e in zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(user)]):
+                m = s + int(np.searchsorted(wanted[s:e], 1))
+                if m == s:
+                    continue
+                own, liked = item[s:m], c[s:m] > 0
+                a, _ = _normal(y[s:m], c[s:m], np.array([0]), yty)
+                # One factorisation serves all items asked for.
+                solved = np.linalg.solve(a[0], y[m:e].T)
+                scores = (y[s:m] @ solved) * np.where(liked, c[s:m], 0)[:, None]
+                for j in range(e - m):
+                    best = np.lexsort((-own, -scores[:, j]))
+                    best = best[liked[best]][:N]
+                    total = float(scores[:, j].sum())
+                    out += [(u, int(item[m + j]), r + 1, int(own[p]), float(scores[p, j]), total) for r, p in enumerate(best)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+            names = [USER, ITEM, "rank", "other_item", "contribution", "total"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
+
+        step = max(1000, (32 << 20) // (k * 8))
+        return by.mapInArrow(fx.whole_groups(kernel, step), f"{USER} bigint, {ITEM} bigint, rank int, other_item bigint, contribution double, total double")
 
 
 def upsert_all(factors: DataFrame, n: int, k: int) -> DataFrame:

@@ -179,7 +179,7 @@ class BayesianPersonalizedRanking(FactorModel):
             own = shifted.where(F.col("shift") == shift).select("block", F.lit(ENTRY).alias("kind"), F.col(USER).alias("id"), F.col(ITEM).alias("n"), nothing.alias("features"))
             block = F.when(F.col("kind") == USERS, dealt("id", 0)).otherwise(F.pmod(dealt("id", seed) - shift, F.lit(blocks)))
             held = factors.where(F.col("kind") != TALLY).select(block.alias("block"), "kind", "id", "n", "features")
-            rows = own.unionByName(held).repartition(blocks, "block").sortWithinPartitions("block", "kind", "id", "n")
+            rows = own.unionByName(held).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "id", "n")
             turn = _turn(self.factors + 1, self.learning_rate, self.regularization, self.verify_negative_samples, [x + shift for x in seeds])
             old, factors = factors, stash(rows.mapInArrow(turn, ROWS), "bpr-factors")
             discard(old)

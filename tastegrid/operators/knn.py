@@ -27,6 +27,8 @@ from tastegrid.sources.checkpoints import stash
 
 #: Items of a block at most, and pairs that are multiplied at once.
 BLOCK_ITEMS, MOST_PAIRS = 2048, 2_000_000
+#: The score of an item that only an allow-list has named.
+LEAST_SCORE = -1.7976931348623157e308
 PAIRS = "item bigint, neighbour bigint, score double"
 
 
@@ -47,7 +49,7 @@ def _squares(blocks: int, width: int, k: int | None, margin: float) -> Callable:
             n = reps[s:e]
             right = np.arange(n.sum()) + np.repeat(first[s:e] - np.cumsum(n) + n, n)
             place = np.repeat(a[s:e] // blocks * width, n) + b[right] // blocks
-            total += np.bincount(place, np.repeat(v[s:e], n) * w[right], len(total))
+            np.add.at(total, place, np.repeat(v[s:e], n) * w[right])
             met[place] = True
 
     def best(cell: int, total: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -142,12 +144,19 @@ class ItemItemRecommender:
         filter_already_liked_items: bool = True,
         allow: DataFrame | None = None,
         deny: DataFrame | None = None,
+        backfill: bool = False,
     ) -> DataFrame:
         """user_id, rank, item_id, score: the sum of the user's weights times the similarity of their items.
 
-        users (user_id): whom to serve, all if None.  x: their histories.
+        users (user_id): whom to serve, all if None.  x: their histories.  With backfill, a user gets all items of the
+        allow-list, whatever N: those without a score come last, with the least score there is.
         """
         check_lists(allow, deny)
+        if backfill:
+            if allow is None:
+                raise ValueError("only an allow-list can be filled up")
+            every = x.df.select(USER).distinct() if users is None else users
+            return self._filled(every, self.recommend(users, x, 1 << 30, filter_already_liked_items, allow), allow)
         own = x.df if users is None else x.df.join(users.select(USER).distinct(), USER, "left_semi")
         s = self._fitted().select(F.col("item").alias(ITEM), F.col("neighbour").alias("other"), F.col("score").alias("s"))
         scores = own.join(s, ITEM).groupBy(USER, "other").agg(F.sum(F.col(WEIGHT) * F.col("s")).alias("score"))
@@ -156,17 +165,31 @@ class ItemItemRecommender:
             scores = scores.join(own.select(USER, ITEM), [USER, ITEM], "left_anti")
         return rank_top(scores, USER, ITEM, N, digits=self.digits).select(USER, "rank", ITEM, "score")
 
+    def _filled(self, users: DataFrame, given: DataFrame, allow: DataFrame) -> DataFrame:
+        """Every allowed item for every user; the result has as many rows as there are such pairs."""
+        wanted = allow.select(F.col("id").alias(ITEM)).distinct()
+        every = users.select(USER).distinct().crossJoin(wanted)
+        padded = every.join(given.drop("rank"), [USER, ITEM], "left").withColumn("score", F.coalesce("score", F.lit(LEAST_SCORE)))
+        return rank_top(padded, USER, ITEM, 1 << 30).select(USER, "rank", ITEM, "score")
+
     def rank_items(self, users: DataFrame, x: Interactions, items: DataFrame) -> DataFrame:
         """All the given items in order for each user, those without a common user last, with the least score."""
-        wanted = items.select("id").distinct()
-        given = self.recommend(users, x, 1 << 30, filter_already_liked_items=False, allow=items).drop("rank")
-        every = users.select(USER).distinct().crossJoin(wanted.select(F.col("id").alias(ITEM)))
-        padded = every.join(given, [USER, ITEM], "left").withColumn("score", F.coalesce("score", F.lit(-1.7976931348623157e308)))
-        return rank_top(padded, USER, ITEM, 1 << 30).select(USER, "rank", ITEM, "score")
+        return self.recommend(users, x, filter_already_liked_items=False, allow=items, backfill=True)
 
-    def similar_items(self, items: DataFrame, N: int = 10, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
-        """query_id, rank, id, score for items (id); unknown items have no rows."""
+    def similar_items(self, items: DataFrame, N: int = 10, allow: DataFrame | None = None, deny: DataFrame | None = None, backfill: bool = False) -> DataFrame:
+        """query_id, rank, id, score for items (id); unknown items have no rows.
+
+        With backfill the N best of the allow-list are taken of all its items, those without a similarity last, with the
+        least score there is.
+        """
         check_lists(allow, deny)
+        if backfill:
+            if allow is None:
+                raise ValueError("only an allow-list can be filled up")
+            known = self._fitted().select(F.col("item").alias(USER)).distinct().join(items.select(F.col("id").alias(USER)).distinct(), USER, "left_semi")
+            given = self._fitted().select(F.col("item").alias(USER), F.col("neighbour").alias(ITEM), "score", F.lit(0).alias("rank"))
+            filled = self._filled(known, given, allow).where(F.col("rank") <= N)
+            return filled.select(F.col(USER).alias("query_id"), "rank", F.col(ITEM).alias("id"), "score")
         own = self._fitted().join(items.select(F.col("id").alias("item")).distinct(), "item", "left_semi")
         own = without(only(own, "neighbour", allow), "neighbour", deny)
         ranked = rank_top(own, "item", "neighbour", N)

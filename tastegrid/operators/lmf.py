@@ -232,7 +232,7 @@ class LogisticMatrixFactorization(FactorModel):
         y = y.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
         y = y.select((F.col("row") * blocks + F.col("b")).cast("bigint").alias("cell"), F.lit(OTHER).alias("kind"), "id", "n", F.lit(0.0).alias("c"), "features")
         every = e.withColumn("cell", F.col("cell").cast("bigint")).unionByName(x).unionByName(y)
-        dealt = every.repartition(rows * blocks, "cell").sortWithinPartitions("cell", "kind", "id", "n")
+        dealt = every.repartitionById(rows * blocks, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind", "id", "n")
         sums = dealt.mapInArrow(_cells(width, blocks, seed), "id bigint, features array<double>")
         zeros = F.array_repeat(F.lit(0.0), width)
         gradients = sums.select("id", F.lit(OTHER).alias("kind"), F.lit(0).cast("bigint").alias("n"), F.concat("features", zeros).alias("features"))

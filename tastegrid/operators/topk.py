@@ -106,11 +106,11 @@ def _product(k: int, cosine: bool) -> Callable:
 
 
 def _asked(queries: DataFrame, liked: DataFrame | None) -> DataFrame:
-    """id, features and liked (the ids to leave out) of each query, once."""
-    own = queries.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<float>").alias("features")).dropDuplicates(["id"])
+    """id, features and liked (the ids to leave out) of each query; queries without liked ids may be asked for twice, and count once."""
+    own = queries.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<float>").alias("features"))
     none = F.array().cast("array<bigint>")
     if liked is None:
-        return own.withColumn("liked", none)
+        return own.dropDuplicates(["id"]).withColumn("liked", none)
     left_out = liked.groupBy(F.col("query_id").alias("id")).agg(F.collect_list("id").alias("liked"))
     return own.join(left_out, "id", "left").select("id", "features", F.coalesce("liked", none).alias("liked"))
 

@@ -220,6 +220,11 @@ v AS (SELECT user_id, (d * z1 - b * z2) / (a * d - b * b) AS v1, (a * z2 - b * z
 c AS (SELECT user_id, item_id AS other_item, (y1 * v1 + y2 * v2) * c AS x FROM s JOIN v USING (user_id) WHERE c > 0),
 r AS (SELECT *, sum(x) OVER (PARTITION BY user_id) AS t, row_number() OVER (PARTITION BY user_id ORDER BY x DESC, other_item DESC) AS rank FROM c)
 SELECT user_id, 1::BIGINT AS item_id, other_item, round(x, {DIGITS}) AS contribution, round(t, {DIGITS}) AS total FROM r WHERE rank <= {N}""",
+    "als_explain_entries_k2": f"""WITH {ALS},
+v AS (SELECT user_id, item_id, (d * y1 - b * y2) / (a * d - b * b) AS v1, (a * y2 - b * y1) / (a * d - b * b) AS v2 FROM s JOIN eq USING (user_id)),
+c AS (SELECT v.user_id, v.item_id, s.item_id AS other_item, (y1 * v1 + y2 * v2) * c AS x FROM v JOIN s ON v.user_id = s.user_id WHERE c > 0),
+r AS (SELECT *, sum(x) OVER (PARTITION BY user_id, item_id) AS t, row_number() OVER (PARTITION BY user_id, item_id ORDER BY x DESC, other_item DESC) AS rank FROM c)
+SELECT user_id, item_id, rank, other_item, round(x, {DIGITS}) AS contribution, round(t, {DIGITS}) AS total FROM r WHERE rank <= 3""",
     "als_fit_shuffle": HALF_STEP.replace(f", {DIGITS})", ", 4)"),
     "bpr_negative_verify": f"""WITH {EV}, s AS (SELECT user_id, item_id, floor({uniform(3, 'user_id', 'item_id')} * 100)::BIGINT AS other FROM ev)
 SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.user_id = s.user_id AND ev.item_id = s.other)""",

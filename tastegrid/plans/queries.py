@@ -397,6 +397,13 @@ def als_explain_k2(spark, d):
     return rounded(ranked(found).drop("rank"), "contribution", "total")
 
 
+@query
+def als_explain_entries_k2(spark, d):
+    """For every user and each of its parts, the three parts that contribute most."""
+    x = cp(spark, d)
+    return rounded(ranked(_als_fixed(spark, d).explain(x.df.select(USER, ITEM), x, 3)), "contribution", "total")
+
+
 @query
 def bpr_negative_verify(spark, d):
     """Sampled (user, other item) pairs that the user does not like."""

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tastegrid.functions import weighting
 from tastegrid.interactions import encode_labels
@@ -156,3 +157,42 @@ def test_blocks_that_are_skipped(spark):
     depths = {r["id"]: r["depth"] for r in topk.scan_depths(asked, best, 2, lengths, 0.0).collect()}
     # Query 0 needs a length of 2, query 1 of 1.05; query 2 has one item only; a score of zero rules nothing out.
     assert depths == {0: 2, 1: 2, 2: 4, 3: 4}
+
+
+def test_back_fill_of_an_allow_list(spark):
+    """Items that no neighbour reaches come last, with the least score; all allowed items are there."""
+    x = of_rows(spark, [(0, 0, 1.0), (0, 1, 1.0), (1, 1, 1.0), (1, 2, 2.0), (2, 4, 1.0)], 3, 6)
+    model = knn.ItemItemRecommender(K=5).fit(x)
+    rows = model.recommend(ids(spark, [0], "user_id"), x, 1, allow=ids(spark, [0, 2, 3, 4]), backfill=True).orderBy("rank").collect()
+    assert [(r["item_id"], r["score"]) for r in rows] == [(2, 2.0), (4, knn.LEAST_SCORE), (3, knn.LEAST_SCORE), (0, knn.LEAST_SCORE)]
+    assert lists(model.recommend(ids(spark, [0], "user_id"), x, 9, allow=ids(spark, [0, 2, 3, 4])), "user_id", "item_id") == {0: [2]}
+    near = model.similar_items(ids(spark, [1, 9]), 3, allow=ids(spark, [2, 3, 5]), backfill=True)
+    assert lists(near, "query_id", "id") == {1: [2, 5, 3]}
+    with pytest.raises(ValueError):
+        model.recommend(None, x, backfill=True)
+
+
+def test_choosing_by_a_histogram(spark, monkeypatch):
+    from tastegrid.functions.vectors import hash_uniform
+
+    monkeypatch.setattr(evaluation, "CELLS", 8)
+    df = spark.range(200).selectExpr("id", "id % 3 other").union(spark.range(50).selectExpr("id", "id"))
+    order = [r["id"] for r in spark.range(200).withColumn("u", hash_uniform(7, F.col("id"))).orderBy("u", "id").collect()]
+    for share, n in ((0.0, 1), (0.25, 50), (0.999, 199), (1.0, 200)):
+        assert sorted(r["id"] for r in evaluation.choose(df, "id", share, 7).collect()) == sorted(order[:n])
+    assert evaluation.choose(df.limit(0), "id", 0.5, 7).count() == 0
+
+
+def test_a_heavy_user_meets_all_cells(spark):
+    """One user has every item; neighbours are those of the whole product."""
+    rng = np.random.default_rng(6)
+    rows = [(0, i, 1.0) for i in range(300)] + [(u, int(i), float(rng.integers(-2, 4))) for u in range(1, 40) for i in rng.choice(300, 7, replace=False)]
+    x = of_rows(spark, rows, 40, 300)
+    a = dense(x, 40, 300)
+    got = {(r["item"], r["neighbour"]): r["score"] for r in knn.all_pairs(x).collect()}
+    assert len(got) == 300 * 300 and np.allclose([got[i, j] for i in range(300) for j in range(300)], (a.T @ a).ravel())
+    best = lists(knn.rank_top(knn.all_pairs(x), "item", "neighbour", 4), "item", "neighbour")
+    near = {}
+    for r in sorted(knn.all_pairs_knn(x, 4, digits=6).collect(), key=lambda r: (r["item"], -r["score"], -r["neighbour"])):
+        near.setdefault(r["item"], []).append(r["neighbour"])
+    assert near == best
