@@ -227,15 +227,25 @@ class FactorModel:
     def parameters(self) -> dict:
         return {}
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, half: bool = False) -> None:
+        """Write the model; with half its factors are stored in 16 bits a component."""
         users, items = self._fitted()
+        if half:
+            from tastegrid.operators.half import pack
+
+            users, items = pack(users), pack(items)
         store.save(path, self.kind, self.parameters(), {"user_factors": users, "item_factors": items})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str):
         parameters, tables = store.load(spark, path, cls.kind)
         out = cls(**parameters)
-        out.user_factors, out.item_factors = tables["user_factors"], tables["item_factors"]
+        users, items = tables["user_factors"], tables["item_factors"]
+        if "half" in users.columns:
+            from tastegrid.operators.half import unpack
+
+            users, items = unpack(users), unpack(items)
+        out.user_factors, out.item_factors = users, items
         return out
 
 

@@ -200,6 +200,7 @@ FROM cp JOIN (SELECT item_id, count(*)::DOUBLE AS c FROM cp GROUP BY 1) USING (i
     "mf_similar_items_deny": f"WITH {EMB}, {scored('e', 'e', True)}, open AS (SELECT * FROM scored WHERE id NOT IN {listed(DENIED)}) SELECT query_id, rank, id, score FROM {top('open', 'query_id', 'id', N)}",
     "mf_similar_users": f"WITH {users(FACTORS)}, {scored('u', 'u', True)} SELECT query_id, rank, id, score FROM {top('scored', 'query_id', 'id', N)}",
     "topk_inner_product": f"WITH {EMB}, {scored('e', 'e')} SELECT query_id, rank, id, score FROM {top('scored', 'query_id', 'id', 16)}",
+    "topk_half_precision": f"WITH {EMB}, {scored('e', 'e')} SELECT query_id, rank, id, score FROM {top('scored', 'query_id', 'id', 16)}",
     "mips_augment": f"""WITH {items(FACTORS)}, n AS (SELECT id, list_dot_product(f, f) AS s, max(list_dot_product(f, f)) OVER () AS m FROM i)
 SELECT id, round(sqrt(greatest(0, m - s)), {DIGITS}) AS extra, round(sqrt(m), {DIGITS}) AS norm FROM n""",
     "ivf_assign": f"WITH {EMB}, {CENTROIDS} SELECT id, cell::BIGINT AS cell FROM near WHERE p = 1",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tastegrid.functions import weighting
 from tastegrid.functions.vectors import dot, has_nan, hash_uniform, norm, safe_norm
 from tastegrid.interactions import ITEM, USER, WEIGHT, Interactions, encode_labels, join_labels
-from tastegrid.operators import ann, bpr, evaluation, forest, graph, knn, lmf, topk
+from tastegrid.operators import ann, bpr, evaluation, forest, graph, half, knn, lmf, topk
 from tastegrid.operators import factors as fx
 from tastegrid.operators.als import AlternatingLeastSquares, half_step_broadcast, half_step_shuffle, training_loss
 from tastegrid.operators.bpr import BayesianPersonalizedRanking
@@ -306,6 +306,13 @@ def topk_inner_product(spark, d):
     return ranked(topk.score_top(e, e, 16, digits=DIGITS))
 
 
+@query
+def topk_half_precision(spark, d):
+    """The best by inner product, found in 16 bits and ranked in full precision."""
+    e = embeddings(spark, d)
+    return ranked(half.score_top_half(e, half.pack(e), e, 16, digits=DIGITS))
+
+
 @query
 def mips_augment(spark, d):
     a = ann.augment_inner_product(item_factors(spark, d, FACTORS))

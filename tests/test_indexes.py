@@ -87,16 +87,14 @@ def test_graph_on_known_clusters(spark):
     assert len(edges) == 240 and max(map(len, edges.values())) <= 12
     assert np.mean([o % 12 == i % 12 for i, e in edges.items() for o in e]) > 0.95
     asked = df.where("id % 7 = 0")
-    got, want = (lists(t, "query_id", "id") for t in (index.search(asked, 5), topk.score_top(asked, df, 5)))
-    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) > 0.9
-    walked = {r["query_id"]: r["seen"] for r in index.walk(asked).collect()}
+    rows, want = index.walk(asked).collect(), lists(topk.score_top(asked, df, 5), "query_id", "id")
+    assert np.mean([len({b["id"] for b in r["beam"][:5]} & set(want[r["query_id"]])) / 5 for r in rows]) > 0.9
+    walked = {r["query_id"]: r["seen"] for r in rows}
     assert all(len(set(s)) == len(s) for s in walked.values())
-    kept = lists(index.search(asked, 5, deny=ids(spark, range(0, 240, 2))), "query_id", "id")
+    kept = lists(index.search(asked, 20, deny=ids(spark, range(0, 240, 2))), "query_id", "id")
     scores = y.astype(float) @ y.T.astype(float)
     for q, seen in walked.items():
-        assert kept.get(q, []) == sorted((i for i in seen if i % 2), key=lambda i: (-scores[q, i], -i))[:5]
-    wide = lists(index.search(asked, 20), "query_id", "id")
-    assert all(w == sorted(walked[q], key=lambda i: (-scores[q, i], -i))[:20] for q, w in wide.items())
+        assert kept.get(q, []) == sorted((i for i in seen if i % 2), key=lambda i: (-scores[q, i], -i))[:20]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
