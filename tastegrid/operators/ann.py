@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.functions.vectors import augment, dot, norm, safe_norm
+from tastegrid.functions.vectors import augment, norm, safe_norm
 from tastegrid.interactions import ITEM, USER, Interactions
 from tastegrid.operators.als import AlternatingLeastSquares
 from tastegrid.operators.factors import FactorModel
@@ -13,6 +17,9 @@ from tastegrid.operators.forest import ForestIndex
 from tastegrid.operators.graph import GraphIndex
 from tastegrid.operators.topk import only, rank_top, without
 
+#: Vectors of a cell that form one block.
+CELL_BLOCK = 8192
+
 
 def augment_inner_product(items: DataFrame) -> DataFrame:
     """id and features with one more dimension, by which the largest inner product is the largest cosine."""
@@ -55,19 +62,81 @@ class IVFIndex:
         return self
 
     def assign(self, vectors: DataFrame, n: int) -> DataFrame:
-        """The n best cells of each vector, by inner product with the centroid, ties by the larger cell."""
-        scored = vectors.crossJoin(F.broadcast(self.centroids)).withColumn("near", F.round(dot(F.col("features"), F.col("centroid")), 9))
-        order = Window.partitionBy("id").orderBy(F.col("near").desc(), F.col("cell").desc())
-        return scored.withColumn("p", F.row_number().over(order)).where(F.col("p") <= n).select("id", "features", "cell")
+        """The n best cells of each vector, by inner product with the centroid, ties by the larger cell: id, features, cell."""
+        # At most nlist rows.
+        rows = self.centroids.select("cell", "centroid").orderBy(F.col("cell").desc()).collect()
+        cells, centroids = np.array([r["cell"] for r in rows]), np.array([r["centroid"] for r in rows], np.float64)
+        shared, n = vectors.sparkSession.sparkContext.broadcast((cells, centroids)), min(n, len(rows))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells_, centroids_ = shared.value
+            for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+                x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+                # A stable sort keeps the larger cell first.
+                best = np.argsort(-np.round(x @ centroids_.T, 9), axis=1, kind="stable")[:, :n]
+                pick = pa.array(np.repeat(np.arange(len(x)), n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(cells_[best.ravel()].astype(np.int64))], ["id", "features", "cell"])
+
+        own = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features"))
+        if not rows:
+            return own.limit(0).withColumn("cell", F.lit(0).cast("bigint"))
+        return own.mapInArrow(run, "id bigint, features array<double>, cell bigint")
 
     def search(self, queries: DataFrame, k: int, liked: DataFrame | None = None, allow: DataFrame | None = None, deny: DataFrame | None = None, digits: int | None = None) -> DataFrame:
-        """query_id, rank, id, score by inner product; filters hold before the k best are taken."""
-        asked = self.assign(queries, self.nprobe).select(F.col("id").alias("query_id"), F.col("features").alias("q"), "cell")
-        found = asked.join(without(only(self.cells, "id", allow), "id", deny), "cell")
+        """query_id, rank, id, score by inner product; filters hold before the k best are taken.
+
+        A cell is a block of its vectors, or several where it has many; queries go to the blocks of their cells, and each
+        block gives their best.
+        """
+        items = without(only(self.cells, "id", allow), "id", deny)
+        sizes = items.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("blocks"))  # nlist rows at most
+        own = items.join(F.broadcast(sizes), "cell")
+        own = own.select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "id", F.lit(0).cast("bigint").alias("more"), "features")
+        more = F.lit(0).cast("bigint")
+        asked = self.assign(queries, self.nprobe).join(F.broadcast(sizes), "cell")
+        if liked is not None:
+            # As many more are taken of a block as the query may have to leave out.
+            asked = asked.join(liked.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n_liked")), "id", "left")
+            more = F.coalesce("n_liked", F.lit(0))
+        asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "id", more.alias("more"), "features")
+        dealt = own.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+        found = dealt.mapInArrow(_block_best(k, 0.0 if digits is None else 10.0**-digits), "query_id bigint, id bigint, score double")
         if liked is not None:
             found = found.join(liked.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        scored = found.select("query_id", "id", dot(F.col("q"), F.col("features")).alias("score"))
-        return rank_top(scored, "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")
+        return rank_top(found, "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")
+
+
+def _block_best(k: int, margin: float) -> Callable:
+    """For rows (cell, block, asks, id, more, features), a block's vectors first: what may be among the k + more best of each query, sums that differ by up to margin counting as equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, parts = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, block, asks, own, more = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in range(5))
+            x = np.asarray(batch.column(5).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(own), -1)
+            starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(own)]):
+                if (cell[s], block[s]) != key:
+                    key, ids, parts = (cell[s], block[s]), [], []
+                if not asks[s]:
+                    ids.append(own[s:e])
+                    parts.append(x[s:e])
+                    continue
+                if not ids:
+                    continue
+                if len(ids) > 1:
+                    ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
+                for at in range(s, e, 256):
+                    z = min(at + 256, e)
+                    scores = x[at:z] @ parts[0].T
+                    n = np.minimum(k + more[at:z], scores.shape[1])
+                    ranked = np.sort(scores, axis=1)
+                    r, c = np.nonzero(scores >= ranked[np.arange(z - at), scores.shape[1] - n][:, None] - margin)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at:z][r]), pa.array(ids[0][c]), pa.array(scores[r, c])], ["query_id", "id", "score"])
+
+    return run
 
 
 class LSHIndex:

@@ -196,3 +196,17 @@ def test_a_heavy_user_meets_all_cells(spark):
     for r in sorted(knn.all_pairs_knn(x, 4, digits=6).collect(), key=lambda r: (r["item"], -r["score"], -r["neighbour"])):
         near.setdefault(r["item"], []).append(r["neighbour"])
     assert near == best
+
+
+def test_cells_in_several_blocks(spark, monkeypatch):
+    """Looking into all cells gives the exact result, however the cells are cut and whatever is left out."""
+    monkeypatch.setattr(ann, "CELL_BLOCK", 7)
+    rng = np.random.default_rng(9)
+    df = fx.to_df(spark, rng.integers(-3, 4, (120, 5)))
+    index = ann.IVFIndex(nlist=4, nprobe=4).build(df)
+    liked = spark.createDataFrame([(q, i) for q in range(0, 120, 2) for i in range(q % 5, 120, 3)], "query_id long, id long")
+    for options in ({}, {"liked": liked}, {"liked": liked, "deny": ids(spark, range(0, 120, 4))}, {"allow": ids(spark, [3, 50, 51])}):
+        got, want = (lists(f(df, *a, digits=3, **options), "query_id", "id") for f, a in ((index.search, (6,)), (topk.score_top, (df, 6))))
+        assert got == want
+    none = ann.IVFIndex(nlist=1, nprobe=1).build(df.limit(0))
+    assert none.search(df, 3).count() == 0
