@@ -594,7 +594,7 @@ def test_queries_equal_their_sql(spark):
     from tastegrid.llm.queries import ORACLES
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         p = f"{SF}/{t}.parquet"
         con.sql(f"create view {t} as select * from '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     for name, sql in ORACLES.items():
