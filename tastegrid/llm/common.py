@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tastegrid.sources.checkpoints import discard, shared_dir, stash
 
 __all__ = [
-    "bounded_bytes", "discard", "documents", "shared_dir", "shuffle_partitions", "slices", "stash", "table", "text_of",
+    "bounded_bytes", "bound", "cutter", "discard", "documents", "shared_dir", "shuffle_partitions", "slices", "stash", "table", "text_of",
 ]
 
 
@@ -47,3 +47,29 @@ def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 8 << 20) -> Itera
             n = (n + 1) // 2
         yield batch.slice(at, n)
         at += n
+
+
+#: Code points of a text's pieces from which parts are cut.
+PIECE = 256
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value bound to a name, so that it is worked out once and not for each use."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def cutter(text: Column) -> tuple[Column, Callable[[Column, Column, Column], Column]]:
+    """A text's pieces, and a function of (bound pieces, start, end) that gives that part of the text in code points.
+
+    A substring is looked for from the text's beginning; from a piece on it costs its own length and at most two pieces.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+        begin = F.get(pieces, first)
+        inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        long = F.concat(begin.substr(start - first * PIECE + 1, F.lit(PIECE)), inner, F.get(pieces, last).substr(F.lit(1), end - last * PIECE))
+        return F.when(end <= start, "").when(first == last, begin.substr(start - first * PIECE + 1, end - start)).otherwise(long)
+
+    return pieces, cut

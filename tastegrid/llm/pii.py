@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import slices, stash, text_of
+from tastegrid.llm.common import bound, cutter, slices, stash, text_of
+from tastegrid.llm.secrets import running
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information from which on a term is generalised, and removed.
@@ -219,7 +220,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """doc_id and text with base spans replaced by their kind, disclosing terms by [TERM] or by nothing."""
+    """doc_id and text with base spans replaced by their kind, disclosing terms by [TERM] or by nothing.
+
+    A null text counts as empty; a null doc_id stays null; repeated rows are replaced alike and stay; an empty table
+    gives none; other columns are not read.
+    """
     found = find(docs, generalise, remove).select(F.col("doc_id").alias("f_id"), "text_key", "base", "terms").distinct()
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("own_key"))
     joined = own.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("own_key") == F.col("text_key")))
@@ -230,20 +235,18 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
 
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), place)
     terms = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "remove", "").otherwise("[TERM]").alias("by")))
-    spans = F.array_sort(F.concat(base, terms))
     text = F.col("text")
+    pieces, cut = cutter(text)
 
-    def step(state: Column, x: Column) -> Column:
-        piece = F.concat(text.substr(state["at"] + 1, x["start"] - state["at"]), x["by"])
-        return F.struct(
-            F.greatest(state["at"], x["end"]).alias("at"),
-            F.concat(state["out"], F.when(x["start"] >= state["at"], piece).otherwise(F.lit(""))).alias("out"),
-        )
-
-    clean = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.char_length(text))),
-    )
-    return joined.select("doc_id", clean.alias("text"))
+    def reach(at: Column, x: Column) -> Column:
+        return F.greatest(at, x["end"])
+
+    def clean(pieces: Column, spans: Column) -> Column:
+        def piece(at: Column, x: Column) -> Column:
+            return F.when(x["start"] >= at, F.concat(cut(pieces, at, x["start"]), x["by"])).otherwise(F.lit(""))
+
+        rest = cut(pieces, F.array_max(F.transform(spans, lambda x: x["end"])), F.char_length(text))
+        return F.concat(F.array_join(running(spans, F.lit(0), reach, piece), ""), rest)
+
+    changed = bound(F.array_sort(F.concat(base, terms)), lambda spans: bound(pieces, lambda p: clean(p, spans)))
+    return joined.select("doc_id", F.when((F.col("base") != "") | (F.size("terms") > 0), changed).otherwise(text).alias("text"))

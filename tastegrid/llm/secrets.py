@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import bounded_bytes, shared_dir, stash, text_of
+from tastegrid.llm.common import bound, bounded_bytes, cutter, shared_dir, stash, text_of
 
 
 @dataclass(frozen=True)
@@ -275,26 +275,35 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
     """documents with every found span replaced by `mask`; all rows and columns stay, n_chars follows the text.
 
     store: folder of the ledger that the scan goes through; one that begins empty if not given.  A null text stays null;
-    repeated rows are masked alike and stay; an empty table gives none.
+    repeated rows are masked alike and stay; an empty table gives none; other columns may have any names.
     """
-    text, names = text_of(), docs.columns
+    text = text_of()
     book = findings(stored(versions_of(docs, "text"), store or new_store(docs.sparkSession), rules), rules)
-    book = book.withColumnsRenamed({"blob": "__blob", "found": "__found"})
-    # Texts without a match cross no shuffle.
+    # Texts without a match cross no shuffle.  The others' columns travel as one, where no name of theirs can clash.
     hit = suspect(text, rules)
-    joined = docs.where(hit).withColumn("__blob", F.unhex(F.sha2(text.cast("binary"), 256))).join(book, "__blob", "left")
-    places = F.array_sort(F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-
-    def piece(at: Column, x: Column) -> Column:
-        # Of overlapping spans the covered part is masked once.
-        return F.when(x["start"] >= at, F.concat(text.substr(at + 1, x["start"] - at), F.lit(mask))).otherwise(F.lit(""))
-
-    def reach(at: Column, x: Column) -> Column:
-        return F.greatest(at, x["end"])
-
-    rest = text.substr(F.array_max(F.transform("__found", lambda x: x["end"])) + 1, F.char_length(text))
-    clean = F.concat(F.array_join(running(places, F.lit(0), reach, piece), ""), rest)
-    out = joined.withColumn("text", F.when(F.col("__found").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return docs.where(~hit).unionByName(out.select(*names))
+    held = docs.where(hit).select(F.struct("*").alias("row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob")).join(book, "blob", "left")
+
+    def masked(text: Column, found: Column) -> Column:
+        pieces, cut = cutter(text)
+        places = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+
+        def reach(at: Column, x: Column) -> Column:
+            return F.greatest(at, x["end"])
+
+        def clean(pieces: Column) -> Column:
+            def piece(at: Column, x: Column) -> Column:
+                # Of overlapping spans the covered part is masked once.
+                return F.when(x["start"] >= at, F.concat(cut(pieces, at, x["start"]), F.lit(mask))).otherwise(F.lit(""))
+
+            rest = cut(pieces, F.array_max(F.transform(found, lambda x: x["end"])), F.char_length(text))
+            return F.concat(F.array_join(running(places, F.lit(0), reach, piece), ""), rest)
+
+        return bound(pieces, clean)
+
+    held = held.withColumn("clean", F.when(F.size("found") > 0, masked(F.col("row")["text"].cast("string"), F.col("found"))))
+    changed = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast("bigint")}
+    out = [
+        F.when(F.col("clean").isNotNull(), changed[n]).otherwise(F.col("row")[n]).alias(n) if n in changed else F.col("row")[n].alias(n)
+        for n in docs.columns
+    ]
+    return docs.where(~hit).unionByName(held.select(*out))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -325,7 +326,6 @@ def test_ledger_without_broadcasts(spark, tmp_path, monkeypatch):
 
 
 def test_many_matches_in_one_text(spark):
-    import time
 
     n = 100_000
     text = " ".join(f"é{'ab' * 12}" if i % 2 else "token=abc123" for i in range(n))
@@ -343,6 +343,34 @@ def test_redaction(spark):
     assert got == order([(1, "a [SECRET] é", "en", 12), (2, None, "en", 0), (3, "clean", None, 5), (3, "clean", None, 5)])
 
 
+def test_redaction_of_many_matches_and_clashing_names(spark):
+    n = 40_000
+    text = " ".join(f"é\U0001f600{'ab' * 12}" if i % 2 else f"token=abc{i:06d}" for i in range(n)) + "." * 700
+    rows = [(1, text, "b", "f", "r"), (1, text, "b", "f", "r"), (None, None, None, None, None), (2, "", "b", None, "r"), (3, "AKIA" + "0" * 300 + " " + "x" * 600, "", "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, blob string, __found string, row string")
+    began = time.time()
+    got = order(map(tuple, secrets.redact(df).collect()))
+    assert time.time() - began < 60
+
+    def plain_mask(t):
+        return t and re.sub("AKIA[A-Z0-9]{16,}", "[SECRET]", re.sub("token=[a-z0-9]{6,}|(?:ab){12}", "[SECRET]", t))
+
+    assert got == order((i, plain_mask(t), *more) for i, t, *more in rows)
+    assert secrets.redact(df.where("false")).count() == 0
+
+
+def test_sanitising_many_matches(spark):
+    text = " ".join(f"é\U0001f600 bob{i}@site.org 10.0.0.{i % 256}" for i in range(20_000)) + " end" * 300
+    rows = [(1, text), (1, text), (None, None), (None, "a@b.cc"), (2, "nothing here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = order(map(tuple, pii.sanitise(df).collect()))
+    assert time.time() - began < 60
+    want = [(i, re.sub(r"10\.0\.0\.[0-9]+", "[IP]", re.sub(r"[a-z0-9]+@[a-z]+\.[a-z]+", "[EMAIL]", t or ""))) for i, t in rows]
+    assert got == order(want)
+    assert pii.sanitise(df.where("false")).count() == 0
+
+
 # Chat windows.
 
 
