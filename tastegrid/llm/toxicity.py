@@ -15,18 +15,19 @@ dictionary what is there by chance.  A part of the labelled texts trains no
 dictionary and calibrates.
 
 Training takes a bounded sample of the labelled rows (TOXIC_ROWS, ORDINARY_ROWS,
-SAMPLE_CHARS), whole texts each, in one task; scoring takes every window of every
-whole text.
+SAMPLE_CHARS, LONGEST), whole texts each, drawn by hashes, in one task for each
+member; scoring takes every window of every whole text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -38,19 +39,23 @@ from tastegrid.llm.common import slices, text_of
 
 #: Labelled rows that training takes at most, the first by a hash of their id, and characters of either kind in all.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2000, 6000, 16_000_000
+#: Characters of the longest text that trains.
+LONGEST = 1_000_000
 #: Words in a window.
 WINDOW = 1
 #: Bytes of a dictionary, of a piece that its training takes, and of the runs by which pieces are rated.
-SIZE, PIECE, RUN = 16_384, 16, 6
+SIZE, PIECE, RUN = 16_384, 24, 6
 #: Rounds of choosing windows, the share of ordinary windows that the first round's choice lets through (halved each round),
 #: parts of the cross-fitting, and windows of a text in a training sample.
 ROUNDS, CHANCE, FOLDS, SAMPLE_WINDOWS = 3, 0.03, 6, 50
+#: Pairs of dictionaries, each calibrated on another part.
+MEMBERS = 3
 #: Shares of ordinary windows below the thresholds.
 QUANTILES = (0.9, 0.97, 0.99, 0.997, 0.999, 0.9999)
 #: Bytes that either dictionary knows, put after every window: a block too small would be stored as it is, and no match begins
 #: in its last bytes.
 BALLAST = bytes(range(128, 208))
-MATCH, LEVEL, RIDGE = 5, 9, 0.3
+MATCH, LEVEL, RIDGE = 4, 9, 0.3
 #: Windows that a shorter text counts as, and the most standard deviations that count.
 LEAST, MOST = 50, 6.0
 REJECT = 0.7
@@ -123,21 +128,27 @@ def dictionary(texts: list[list[str]], size: int = SIZE) -> bytes:
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, thresholds with the shares of ordinary windows that reach them, and the calibration; without thresholds a constant score."""
+    """Dictionaries, thresholds with the shares of ordinary windows that reach them, and the calibration; without thresholds a constant score.
+
+    others: further members, with whose log odds this one's are averaged.
+    """
 
     toxic: bytes
     ordinary: bytes
     thresholds: tuple[int, ...]
     chances: tuple[float, ...]
     weights: tuple[float, ...]
+    others: tuple["Model", ...] = ()
 
     def dumps(self) -> str:
-        return json.dumps(asdict(self) | {"toxic": self.toxic.hex(), "ordinary": self.ordinary.hex()})
+        own = replace(self, others=())
+        return json.dumps(asdict(own) | {"toxic": self.toxic.hex(), "ordinary": self.ordinary.hex(), "others": [m.dumps() for m in self.others]})
 
     @staticmethod
     def loads(text: str) -> "Model":
         x = json.loads(text)
-        return Model(bytes.fromhex(x["toxic"]), bytes.fromhex(x["ordinary"]), *(tuple(x[k]) for k in ("thresholds", "chances", "weights")))
+        numbers = (tuple(x[k]) for k in ("thresholds", "chances", "weights"))
+        return Model(bytes.fromhex(x["toxic"]), bytes.fromhex(x["ordinary"]), *numbers, tuple(map(Model.loads, x["others"])))
 
     def scorer(self) -> "Scorer":
         return _scorer(self)
@@ -156,14 +167,15 @@ def features(shares: np.ndarray, thresholds: tuple[int, ...], chances: tuple[flo
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.weights = model, np.array(model.weights)
-        self.distance = Distance(model.toxic, model.ordinary) if model.thresholds else None
+        self.members = [(m, np.array(m.weights), Distance(m.toxic, m.ordinary)) for m in (model, *model.others) if m.thresholds]
+        self.constant = float(model.weights[0])
 
     def score(self, text: str) -> float:
-        if self.distance is None:
-            return float(self.weights[0])
-        x = features(self.distance.shares(windows_of(text)), self.model.thresholds, self.model.chances)
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(self.weights, x))))))
+        if not self.members:
+            return self.constant
+        windows = windows_of(text)
+        odds = [float(np.dot(w, features(d.shares(windows), m.thresholds, m.chances))) for m, w, d in self.members]
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, sum(odds) / len(odds)))))
 
 
 @lru_cache(maxsize=2)
@@ -188,13 +200,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(sample: list[tuple[int, str]]) -> Model:
-    """Train on (label, text).
+def by_hash(sample: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Distinct (label, text) in an order that depends on neither their order nor what the texts begin with."""
+    return sorted(set(sample), key=lambda x: (hashlib.sha256(x[1].encode("utf-8", "surrogatepass")).digest(), x[0]))
+
 
-    Copies of a text count once.  Without at least FOLDS texts of both labels, all scores are the share of toxic
+def train(sample: list[tuple[int, str]], aside: int = 0) -> Model:
+    """Train a member on (label, text); part `aside` of the texts calibrates.
+
+    Copies of a text count once, and the order of the sample does not matter.  Without at least FOLDS texts of both labels, all scores are the share of toxic
     labels (0.5 without any).
     """
-    texts = sorted(set(sample))
+    texts = by_hash(sample)
     share = sum(label for label, _ in sample) / len(sample) if sample else 0.5
     parts: dict[tuple[int, int], list[list[str]]] = {(k, i): [] for k in (0, 1) for i in range(FOLDS)}
     same: dict[str, str] = {}  # one object for each distinct window
@@ -202,10 +219,9 @@ def train(sample: list[tuple[int, str]]) -> Model:
         parts[label, zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS].append([same.setdefault(w, w) for w in windows_of(text)])
     if not all(parts.values()):
         return Model(b"", b"", (), (), (share,))
-    # Texts of part 0 calibrate; each other part's windows are chosen by dictionaries that the rest trained.
-    fitting = range(1, FOLDS)
-    # Ordinary texts are the more; as many of them as toxic ones train the dictionary that the toxic one is held against.
-    own = {(k, i): parts[k, i] if k else parts[k, i][: max(len(parts[1, i]), 8)] for k in (0, 1) for i in fitting}
+    # Texts of one part calibrate; each other part's windows are chosen by dictionaries that the rest trained.
+    fitting = [i for i in range(FOLDS) if i != aside]
+    own = {(k, i): parts[k, i] for k in (0, 1) for i in fitting}
 
     def trained(label: int, without: int) -> bytes:
         return dictionary([t for i in fitting if i != without for t in own[label, i]])
@@ -222,9 +238,9 @@ def train(sample: list[tuple[int, str]]) -> Model:
         for k in own:
             chosen = [[t[j] for j in np.flatnonzero(s >= least).tolist()] for t, s in zip(parts[k], got[k])]
             own[k] = [t for t in chosen if t]
-    toxic, ordinary = trained(1, 0), trained(0, 0)
+    toxic, ordinary = trained(1, aside), trained(0, aside)
     distance = Distance(toxic, ordinary)
-    got = {k: [distance.shares(t) for t in parts[k, 0]] for k in (0, 1)}
+    got = {k: [distance.shares(t) for t in parts[k, aside]] for k in (0, 1)}
     chance = _all(iter(got[0]))
     if not len(chance) or not toxic:
         return Model(b"", b"", (), (), (share,))
@@ -235,6 +251,12 @@ def train(sample: list[tuple[int, str]]) -> Model:
     return Model(toxic, ordinary, thresholds, chances, tuple(float(v) for v in _logistic(x, y)))
 
 
+def joined(members: list[Model]) -> Model:
+    """One model of all members; those that came out constant count only if all did."""
+    able = [m for m in members if m.thresholds] or members[:1]
+    return replace(able[0], others=tuple(able[1:]))
+
+
 def _all(shares: Iterator[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int16), *shares])
 
@@ -248,8 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on labelled documents that are not held out; a document with conflicting labels counts as toxic.
 
     Null ids and labels are left out, a null text counts as empty; of the texts of a repeated id the least is taken.
-    The sample goes to one task, which keeps at most SAMPLE_CHARS characters of either kind; only the model
-    comes to the driver.
+    The sample goes to one task for each member, in the order of a hash, of either kind up to the text with which it would pass
+    SAMPLE_CHARS characters; texts over LONGEST are left out.  Only the model comes to the driver.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("__id"), (F.col("toxic") == 1).cast("int").alias("__toxic"))
     known = known.dropna().where(fold_of(F.col("__id")) != 1).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
@@ -261,19 +283,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # At most TOXIC_ROWS + ORDINARY_ROWS rows of 24 bytes.
     few = F.broadcast(chosen[0].unionByName(chosen[1]))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).join(few, F.col("doc_id") == F.col("__id"))
-    one = rows.groupBy("__id", "__toxic", "__at").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions("__at", "__id")
+    # At most MEMBERS copies of the sample, each in a task of its own.
+    one = rows.where(F.char_length("text") <= LONGEST).groupBy("__id", "__toxic", "__at").agg(F.min("text").alias("text"))
+    each = one.select(F.explode(F.array(*[F.lit(i) for i in range(MEMBERS)])).alias("__aside"), "__toxic", "text", "__at", "__id")
+    each = each.repartitionById(MEMBERS, "__aside").sortWithinPartitions("__at", "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample, left = [], {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}
+        sample, left, aside = [], {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}, None
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(text) <= left[label]:
-                    left[label] -= len(text)
+            for aside, label, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                left[label] -= len(text)
+                if left[label] >= 0:
                     sample.append((label, text))
-        yield pa.RecordBatch.from_arrays([pa.array([train(sample).dumps()])], ["model"])
+        if aside is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([aside]), pa.array([train(sample, aside).dumps()])], ["aside", "model"])
 
-    found = one.select("__toxic", "text").mapInArrow(run, "model string").first()
-    return Model.loads(found["model"]) if found else train([])
+    found = sorted((r["aside"], r["model"]) for r in each.select("__aside", "__toxic", "text").mapInArrow(run, "aside bigint, model string").collect())
+    return joined([Model.loads(m) for _, m in found]) if found else train([])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

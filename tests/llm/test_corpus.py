@@ -1,5 +1,6 @@
 """Operators of the whole corpus against brute force."""
 
+import math
 import os
 import random
 import re
@@ -560,6 +561,27 @@ def test_very_long_texts_are_scored_by_all_their_windows(spark, labelled):
     assert got == {1: 0, 2: 1, 3: 1}
 
 
+def test_order_of_texts_does_not_matter():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    sample = [(int(i % 3 == 0), " ".join(rng.choices(words, k=60)) + (f" zor{i % 7}gh grimfoul" if i % 3 == 0 else "")) for i in range(150)]
+    model = toxicity.train(sample)
+    for _ in range(2):
+        rng.shuffle(sample)
+        assert toxicity.train(sample) == model
+    # What training sees first does not follow the alphabet: the first half in order holds texts of all beginnings.
+    firsts = [t for _, t in toxicity.by_hash([(0, f"{i:03d}") for i in range(200)])][:100]
+    assert 60 < sum(map(int, firsts)) / 100 < 140
+    several = toxicity.joined([toxicity.train(sample, i) for i in range(3)])
+    assert len(several.others) == 2 and toxicity.Model.loads(several.dumps()) == several
+    odds = []
+    for m in (several, *several.others):
+        p = toxicity.Scorer(toxicity.replace(m, others=())).score(sample[0][1])
+        odds.append(math.log(p / (1 - p)))
+    p = several.scorer().score(sample[0][1])
+    assert abs(math.log(p / (1 - p)) - sum(odds) / 3) < 1e-6
+
+
 def test_few_labels_and_the_sample_bound(labelled, monkeypatch):
     """Without a text of either label in each part scores are constant; a text beyond the characters left is not in the sample."""
     docs, labels = labelled
