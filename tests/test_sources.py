@@ -1,5 +1,8 @@
 import os
 
+import numpy as np
+
+from tastegrid.interactions import Interactions
 from tastegrid.operators.als import AlternatingLeastSquares
 from tastegrid.sources import readers
 from tastegrid.streaming.foldin import FoldIn
@@ -96,3 +99,32 @@ def test_stream_folds_users_in(spark, tmp_path):
     assert model.user_factors.count() == 31
     mine = x.with_df(own)
     assert lists(model.recommend(own.select("user_id").distinct(), mine, 1), "user_id", "item_id") == {30: [1]}
+
+
+def test_stream_keeps_state_over_restarts(spark, tmp_path):
+    x = checkerboard(spark, 20)
+    fitted = AlternatingLeastSquares(factors=2, regularization=0.01, random_state=23, iterations=3).fit(x)
+    fitted.save(str(tmp_path / "model"))
+    batches = [
+        [(1, 2, 1.0), (30, 3, 2.0), (30, 5, 1.0), (None, 1, 1.0), (2, None, 1.0)],
+        [(30, 3, 1.0), (31, 4, 4.0), (31, 4, 0.5), (31, 7, None), (31, 99, 1.0)],
+        [(32, 1, 1.0), (1, 8, 3.0)],
+    ]
+    source, schema = tmp_path / "in", "user_id long, item_id long, weight double"
+    for batch in batches:
+        # Each run begins with the model as it was stored: what earlier runs did is in the store and the checkpoint.
+        model = AlternatingLeastSquares.load(spark, str(tmp_path / "model"))
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        FoldIn(model, str(tmp_path / "store")).start(stream, str(tmp_path / "ckpt"), availableNow=True).awaitTermination()
+    everything = spark.createDataFrame([r for b in batches for r in b], schema)
+    want = {r["id"]: r["features"] for r in fitted.recalculate_users(Interactions.of(everything)).collect()}
+    got = {r["id"]: r["features"] for r in model.user_factors.collect()}
+    assert want.keys() == {1, 30, 31, 32} and got.keys() == set(range(33))
+    for i, features in want.items():
+        assert np.allclose(got[i], features, atol=1e-5)
+    before = {r["id"]: r["features"] for r in fitted.user_factors.collect()}
+    assert all(got[i] == before[i] for i in before if i != 1) and not any(any(got[i]) for i in range(20, 30))
+    # A batch refits its own users only.
+    stored = spark.read.parquet(str(tmp_path / "store")).groupBy("batch").agg({"id": "collect_set"}).collect()
+    assert [set(s) for _, s in sorted(map(tuple, stored))] == [{1, 30}, {30, 31}, {1, 32}]
