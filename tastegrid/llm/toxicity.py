@@ -44,12 +44,10 @@ LONGEST = 1_000_000
 #: Words in a window.
 WINDOW = 1
 #: Bytes of a dictionary, of a piece that its training takes, and of the runs by which pieces are rated.
-SIZE, PIECE, RUN = 16_384, 24, 6
+SIZE, PIECE, RUN = 16_384, 16, 6
 #: Rounds of choosing windows, the share of ordinary windows that the first round's choice lets through (halved each round),
 #: parts of the cross-fitting, and windows of a text in a training sample.
 ROUNDS, CHANCE, FOLDS, SAMPLE_WINDOWS = 3, 0.03, 6, 50
-#: Pairs of dictionaries, each calibrated on another part.
-MEMBERS = 3
 #: Shares of ordinary windows below the thresholds.
 QUANTILES = (0.9, 0.97, 0.99, 0.997, 0.999, 0.9999)
 #: Bytes that either dictionary knows, put after every window: a block too small would be stored as it is, and no match begins
@@ -266,13 +264,17 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, members: int = 1) -> Model:
     """Train on labelled documents that are not held out; a document with conflicting labels counts as toxic.
 
     Null ids and labels are left out, a null text counts as empty; of the texts of a repeated id the least is taken.
     The sample goes to one task for each member, in the order of a hash, of either kind up to the text with which it would pass
     SAMPLE_CHARS characters; texts over LONGEST are left out.  Only the model comes to the driver.
+
+    members: pairs of dictionaries whose log odds are averaged, at most FOLDS.
     """
+    if not 1 <= members <= FOLDS:
+        raise ValueError(f"members must be between 1 and {FOLDS}")
     known = labels.select(F.col("doc_id").cast("bigint").alias("__id"), (F.col("toxic") == 1).cast("int").alias("__toxic"))
     known = known.dropna().where(fold_of(F.col("__id")) != 1).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     known = known.withColumn("__at", F.xxhash64("__id"))
@@ -283,10 +285,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # At most TOXIC_ROWS + ORDINARY_ROWS rows of 24 bytes.
     few = F.broadcast(chosen[0].unionByName(chosen[1]))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).join(few, F.col("doc_id") == F.col("__id"))
-    # At most MEMBERS copies of the sample, each in a task of its own.
+    # At most `members` copies of the sample, each in a task of its own.
     one = rows.where(F.char_length("text") <= LONGEST).groupBy("__id", "__toxic", "__at").agg(F.min("text").alias("text"))
-    each = one.select(F.explode(F.array(*[F.lit(i) for i in range(MEMBERS)])).alias("__aside"), "__toxic", "text", "__at", "__id")
-    each = each.repartitionById(MEMBERS, "__aside").sortWithinPartitions("__at", "__id")
+    each = one.select(F.explode(F.array(*[F.lit(i) for i in range(members)])).alias("__aside"), "__toxic", "text", "__at", "__id")
+    each = each.repartitionById(members, "__aside").sortWithinPartitions("__at", "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, left, aside = [], {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}, None
