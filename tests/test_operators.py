@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.functions import weighting
-from tastegrid.interactions import encode_labels
-from tastegrid.operators import ann, evaluation, knn, topk
+from tastegrid.interactions import Interactions, encode_labels
+from tastegrid.operators import ann, evaluation, knn, sparse, topk
 from tastegrid.operators import factors as fx
 from tests.helpers import NEIGHBOURS, ids, lists, of_matrix, of_rows
 
@@ -210,3 +210,53 @@ def test_cells_in_several_blocks(spark, monkeypatch):
         assert got == want
     none = ann.IVFIndex(nlist=1, nprobe=1).build(df.limit(0))
     assert none.search(df, 3).count() == 0
+
+
+def _sparse_interactions(spark, local):
+    """Six items a user at random, or from the user's own tenth of the items; one user has half of all."""
+    rng = np.random.default_rng(12)
+    rows = [(0, i, 1.0) for i in range(0, 800, 2)]
+    for u in range(1, 200):
+        pool = np.arange(80) + 80 * (u // 20) if local else np.arange(800)
+        rows += [(u, int(i), float(rng.integers(-2, 4))) for i in rng.choice(pool, 6, replace=False)]
+    return of_rows(spark, rows, 200, 800)
+
+
+@pytest.mark.parametrize("local", [True, False])
+@pytest.mark.parametrize("entries", [12_000_000, 300])
+def test_rows_of_a_sparse_product(spark, monkeypatch, local, entries):
+    """Neighbours and recommendations without squares are those of the whole product, however ranges and columns are cut."""
+    monkeypatch.setattr(knn, "PLACES_PER_PAIR", 0)
+    monkeypatch.setattr(knn, "_squares", None)
+    monkeypatch.setattr(sparse, "MOST_PAIRS", 500)
+    monkeypatch.setattr(sparse, "TASK_ENTRIES", entries)
+    x = _sparse_interactions(spark, local)
+    a = dense(x, 200, 800)
+    full, shared = a.T @ a, {(r["user_id"], r["item_id"]) for r in x.df.collect()}
+    held = np.zeros((200, 800))
+    held[tuple(np.array(sorted(shared)).T)] = 1
+    meets = held.T @ held > 0
+    model = knn.ItemItemRecommender(K=5, digits=6).fit(x)
+    got = lists(topk.rank_top(model.similarity, "item", "neighbour", 5), "item", "neighbour")
+    near, chosen = np.zeros((800, 800)), np.zeros((800, 800))
+    for i in np.flatnonzero(meets.any(axis=1)):
+        best = sorted(np.flatnonzero(meets[i]), key=lambda j: (-full[i, j], -j))[:5]
+        assert got[i] == best
+        near[i, best], chosen[i, best] = full[i, best], 1
+    scores, some = a @ near, held @ chosen > 0
+    for keep in (False, True):
+        found = lists(model.recommend(None, x, 4, filter_already_liked_items=not keep, deny=ids(spark, range(0, 800, 7))), "user_id", "item_id")
+        for u in range(200):
+            ok = [j for j in found.get(u, []) if j % 7 and (keep or not held[u, j])]
+            assert ok == found.get(u, [])
+            want = sorted((j for j in np.flatnonzero(some[u]) if j % 7 and (keep or not held[u, j])), key=lambda j: (-scores[u, j], -j))[:4]
+            assert [scores[u, j] for j in ok[: len(want)]] == [scores[u, j] for j in want]
+
+
+def test_what_a_sparse_product_sends(spark):
+    """Where users keep to their own items, an entry is sent about once, whatever the number of blocks."""
+    n = 40_000
+    df = spark.range(n).selectExpr("cast(id / 20 as bigint) user_id", "id item_id", "1.0D weight")
+    assert knn.all_pairs(Interactions(df, n // 20, n)).count() == n * 20
+    found = lists(knn.ItemItemRecommender(K=3).fit(Interactions(df, n // 20, n)).similar_items(ids(spark, [0, 39_999]), 3), "query_id", "id")
+    assert found == {0: [19, 18, 17], 39_999: [39_999, 39_998, 39_997]}
