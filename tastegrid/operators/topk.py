@@ -16,6 +16,8 @@ from tastegrid.sources.checkpoints import stash
 #: Factors in one block of a blocked product, and bytes up to which the blocks of the items are broadcast.
 BLOCK_ROWS = 8192
 BROADCAST_BYTES = 64 << 20
+#: Items of a leaf at most, leaves that a query looks into first, bounds held at once, and candidates held before they are trimmed.
+LEAF, FIRST_LEAVES, MOST_BOUNDS, MOST_FOUND = 512, 4, 8_000_000, 2_000_000
 
 
 def rank_top(df: DataFrame, query: str, item: str, k: int, score: str = "score", digits: int | None = None) -> DataFrame:
@@ -67,7 +69,9 @@ def _pack(with_liked: bool) -> Callable:
 def _product(k: int, cosine: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):
+                # One pair of blocks at a time is taken out of the batch.
+                r = {name: column[at].as_py() for name, column in zip(batch.schema.names, batch.columns)}
                 q, i = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 x = np.frombuffer(r["q_data"], np.float32).reshape(len(q), -1).astype(np.float64)
                 y = np.frombuffer(r["data"], np.float32).reshape(len(i), -1).astype(np.float64)
@@ -105,6 +109,138 @@ def _product(k: int, cosine: bool) -> Callable:
     return run
 
 
+class _Leaves:
+    """Items sorted into leaves of near vectors, each with bounds on its products; an index of BROADCAST_BYTES at most."""
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray):
+        groups, ready = [np.argsort(ids)], []
+        while groups:
+            g = groups.pop()
+            if len(g) <= LEAF:
+                ready.append(g)
+                continue
+            own = y[g, int(np.argmax(np.ptp(y[g], axis=0)))]
+            order = np.argpartition(own, len(g) // 2)
+            groups += [g[order[len(g) // 2 :]], g[order[: len(g) // 2]]]
+        order = np.concatenate(ready)
+        self.ids, self.y = ids[order], y[order]
+        self.ends = np.cumsum([len(g) for g in ready])
+        self.starts = self.ends - [len(g) for g in ready]
+        self.sorted = np.argsort(self.ids)
+        boxes = [(m.min(axis=0), m.max(axis=0), m.mean(axis=0, dtype=np.float64)) for m in (self.y[s:e] for s, e in zip(self.starts, self.ends))]
+        low, high, self.mean = (np.array(x, np.float64) for x in zip(*boxes))
+        self.middle, self.half = (low + high) / 2, (high - low) / 2
+        self.radius = np.array([np.linalg.norm(self.y[s:e] - c, axis=1).max() for s, e, c in zip(self.starts, self.ends, self.mean)])
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """What the product of each query with any item of each leaf cannot exceed."""
+        own = np.linalg.norm(x, axis=1)[:, None]
+        out = x @ self.middle.T + np.abs(x) @ self.half.T
+        np.minimum(out, x @ self.mean.T + own * self.radius, out=out)
+        # Rounding of these sums.
+        return out + 1e-9 * (1 + np.abs(out))
+
+
+def _trimmed(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best and those within `margin` of the k-th; of equal scores the k greatest ids."""
+    order = np.lexsort((-i, -s, q))
+    q, i, s = q[order], i[order], s[order]
+    place = np.arange(len(q))
+    new = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(new, place, 0)) if len(q) else place
+    equal = np.maximum.accumulate(np.where(new | np.r_[True, s[1:] != s[:-1]], place, 0)) if len(q) else place
+    size = np.diff(np.r_[np.flatnonzero(new), len(q)])
+    last = np.repeat(np.flatnonzero(new) + np.minimum(size, k) - 1, size)
+    keep = (place - equal < k) & ((place - start < k) | (s >= s[last] - margin))
+    return q[keep], i[keep], s[keep]
+
+
+def _searched(index, k: int, cosine: bool, margin: float) -> Callable:
+    """The best of a broadcast index of items for rows (id, features, liked): leaves whose bound is below a query's k-th score so far are left out."""
+
+    def search(x: np.ndarray, lq: np.ndarray, lp: np.ndarray, t: _Leaves) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bounds, n = t.bounds(x), len(t.starts)
+        cut = np.searchsorted(lp, np.r_[t.starts, t.ends[-1:]])
+        where = np.full(len(x), -1)
+
+        def scores(leaf: int, rows: np.ndarray) -> np.ndarray:
+            s = x[rows] @ t.y[t.starts[leaf] : t.ends[leaf]].T.astype(np.float64)
+            own = slice(cut[leaf], cut[leaf + 1])
+            if cut[leaf] < cut[leaf + 1]:
+                where[rows] = np.arange(len(rows))
+                at = where[lq[own]]
+                s[at[at >= 0], (lp[own] - t.starts[leaf])[at >= 0]] = -np.inf
+                where[rows] = -1
+            return s
+
+        # A query's k-th score of its likeliest leaves is no more than that of all.
+        least = np.full(len(x), -np.inf)
+        first = min(n, FIRST_LEAVES)
+        likely = np.argpartition(bounds, n - first, axis=1)[:, n - first :] if first < n else np.tile(np.arange(n), (len(x), 1))
+        if n > 1:
+            for c in range(first):
+                order = np.argsort(likely[:, c], kind="stable")
+                for rows in np.split(order, np.flatnonzero(np.diff(likely[order, c])) + 1):
+                    s = scores(int(likely[rows[0], c]), rows)
+                    if s.shape[1] >= k:
+                        least[rows] = np.maximum(least[rows], np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        found, held = [none], 0
+        for leaf in np.argsort(-bounds.mean(axis=0)):
+            rows = np.flatnonzero(bounds[:, leaf] >= least - margin)
+            if not len(rows):
+                continue
+            s = scores(int(leaf), rows)
+            r, c = np.nonzero((s >= (least[rows] - margin - 1e-9 * (1 + np.abs(np.where(np.isfinite(least[rows]), least[rows], 0))))[:, None]) & np.isfinite(s))
+            found.append((rows[r], t.ids[t.starts[leaf] + c], s[r, c]))
+            held += len(r)
+            if held >= MOST_FOUND:
+                found = [_trimmed(*(np.concatenate(f) for f in zip(*found)), k, margin)]
+                q, _, s = found[0]
+                held = len(q) - MOST_FOUND // 2 if len(q) > MOST_FOUND // 2 else 0
+                # Queries that have k items know a better k-th score now.
+                starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+                full = np.diff(np.r_[starts, len(q)]) >= k
+                least[q[starts[full]]] = np.maximum(least[q[starts[full]]], s[starts[full] + k - 1])
+        return _trimmed(*(np.concatenate(f) for f in zip(*found)), k, margin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = index.value
+        sorted_ids = t.ids[t.sorted]
+        step = max(256, min(BLOCK_ROWS, MOST_BOUNDS // len(t.starts)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids = np.asarray(part.column(0).to_numpy(zero_copy_only=False))
+                x = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(ids), -1).astype(np.float64)
+                if cosine:
+                    x /= np.where((n := np.linalg.norm(x, axis=1)) == 0, 1e-10, n)[:, None]
+                liked = np.asarray(part.column(2).flatten().to_numpy(zero_copy_only=False), np.int64)
+                lq = np.repeat(np.arange(len(ids)), part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                place = np.minimum(np.searchsorted(sorted_ids, liked), len(sorted_ids) - 1)
+                known = sorted_ids[place] == liked
+                lp, lq = t.sorted[place[known]], lq[known]
+                order = np.argsort(lp, kind="stable")
+                q, i, s = search(x, lq[order], lp[order], t)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(i), pa.array(s)], ["query_id", "id", "score"])
+
+    return run
+
+
+def _best_of(asked: DataFrame, items: DataFrame, k: int, cosine: bool, margin: float) -> DataFrame:
+    """query_id, id and score of at least each query's k best of the items, of which there are BROADCAST_BYTES at most."""
+    schema = "query_id bigint, id bigint, score double"
+    found = items.select("id", "features").toArrow()
+    if not found.num_rows:
+        return asked.sparkSession.createDataFrame([], schema)
+    y = found.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(found.num_rows, -1)
+    if cosine:
+        y = y.astype(np.float64)
+        y /= np.where((n := np.linalg.norm(y, axis=1)) == 0, 1e-10, n)[:, None]
+    index = asked.sparkSession.sparkContext.broadcast(_Leaves(found.column("id").to_numpy(), y))
+    return asked.select("id", "features", "liked").mapInArrow(_searched(index, k, cosine, margin), schema)
+
+
 def _asked(queries: DataFrame, liked: DataFrame | None) -> DataFrame:
     """id, features and liked (the ids to leave out) of each query; queries without liked ids may be asked for twice, and count once."""
     own = queries.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<float>").alias("features"))
@@ -118,11 +254,6 @@ def _asked(queries: DataFrame, liked: DataFrame | None) -> DataFrame:
 QUERY_BLOCK, ITEM_BLOCK = "ids binary, data binary, counts binary, liked binary", "ids binary, data binary"
 
 
-def _packed_queries(asked: DataFrame) -> DataFrame:
-    q = asked.select("id", "features", "liked").mapInArrow(_pack(True), QUERY_BLOCK)
-    return q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "counts", "liked")
-
-
 def _items_bytes(items: DataFrame) -> int:
     return items.agg(F.sum(F.size("features") * 4 + 8)).first()[0] or 0
 
@@ -184,8 +315,9 @@ def score_top(
     gives its k best, so results are whole: query_id, rank, id, score, in the
     order score, id descending; fewer rows where there are fewer items.
 
-    The product runs block by block.  The longest items, BROADCAST_BYTES of them
-    at most, are broadcast to all queries.  Where there are more, the others form
+    The longest items, BROADCAST_BYTES of them at most, are broadcast to all queries
+    in leaves of near vectors, of which a query takes those that its k-th score so
+    far does not rule out.  Where there are more, the others form
     blocks in order of length; a query is then sent, by a shuffle on block numbers,
     to the blocks that its k-th score so far does not rule out.
     """
@@ -193,9 +325,10 @@ def score_top(
     asked = _asked(queries, liked)
     size = _items_bytes(items)
     product, schema = _product(k, cosine), "query_id bigint, id bigint, score double"
+    # Scores that are equal when rounded are told apart by id.
+    margin = 0.0 if digits is None else 10.0**-digits
     if size <= BROADCAST_BYTES:
-        blocks = _packed_queries(asked).crossJoin(F.broadcast(items.mapInArrow(_pack(False), ITEM_BLOCK)))
-        return rank_top(blocks.mapInArrow(product, schema), "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")
+        return rank_top(_best_of(asked, items, k, cosine, margin), "query_id", "id", k, digits=digits).select("query_id", "rank", "id", "score")
     if cosine:
         # All of one length then; those of no length keep their zeros.
         items, asked = (t.withColumn("features", F.transform("features", lambda v: (v / safe_norm(F.col("features"))).cast("float"))) for t in (items, asked))
@@ -205,10 +338,10 @@ def score_top(
     head, tail = (items.where(w) for w in (norm(F.col("features")) > cut, norm(F.col("features")) <= cut))
     if _items_bytes(head) > BROADCAST_BYTES:
         head, tail = items.limit(0), items
-    first = _packed_queries(asked).crossJoin(F.broadcast(head.mapInArrow(_pack(False), ITEM_BLOCK))).mapInArrow(product, schema)
+    first = _best_of(asked, head, k, cosine, 0.0)
     best = stash(rank_top(first, "query_id", "id", k).drop("rank"), "scored-first")
     blocks, lengths = _item_blocks(tail, n)
-    deep = scan_depths(asked, best, k, lengths, 0.0 if digits is None else 10.0**-digits).where("depth > 0")
+    deep = scan_depths(asked, best, k, lengths, margin).where("depth > 0")
     # Queries of like depth share a block, which goes to each item block of that depth; salts give every core a part.
     salts = max(1, math.ceil(2 * items.sparkSession.sparkContext.defaultParallelism / max(1, len(lengths))))
     sorted_ = deep.repartitionByRange("depth").sortWithinPartitions("depth")

@@ -260,3 +260,28 @@ def test_what_a_sparse_product_sends(spark):
     assert knn.all_pairs(Interactions(df, n // 20, n)).count() == n * 20
     found = lists(knn.ItemItemRecommender(K=3).fit(Interactions(df, n // 20, n)).similar_items(ids(spark, [0, 39_999]), 3), "query_id", "id")
     assert found == {0: [19, 18, 17], 39_999: [39_999, 39_998, 39_997]}
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+def test_top_by_leaves(spark, monkeypatch, cosine):
+    """The exact best, ties by id, with liked ids left out; most leaves are ruled out by their bounds."""
+    for name, value in (("LEAF", 16), ("MOST_FOUND", 300), ("MOST_BOUNDS", 1)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(3)
+    y, q = ((rng.random((n, 3)) - 0.5).astype(np.float32) for n in (3000, 300))
+    y[100:140], y[50] = y[100], 0
+    q[5], q[6] = y[100], 0
+    liked = [(i, int(j)) for i in range(0, 300, 2) for j in rng.choice(3000, 200, replace=False)]
+    a, b = q.astype(float), y.astype(float)
+    if cosine:
+        a, b = (m / np.where(np.linalg.norm(m, axis=1) == 0, 1e-10, np.linalg.norm(m, axis=1))[:, None] for m in (a, b))
+    scores = np.round(a @ b.T, 6)
+    scores[tuple(np.array(liked).T)] = -np.inf
+    pairs = spark.createDataFrame(liked, "query_id long, id long")
+    got = lists(topk.score_top(fx.to_df(spark, q), fx.to_df(spark, y), 10, cosine=cosine, liked=pairs, digits=6), "query_id", "id")
+    for i in range(300):
+        assert got[i] == np.lexsort((-np.arange(3000), -scores[i]))[:10].tolist()
+    t = topk._Leaves(np.arange(3000), b)
+    bounds, kth = t.bounds(a), np.sort(a @ b.T, axis=1)[:, -10]
+    assert (bounds >= np.array([(a @ b[t.ids[s:e]].T).max(axis=1) for s, e in zip(t.starts, t.ends)]).T).all()
+    assert (bounds >= kth[:, None]).mean() < 0.2
