@@ -285,3 +285,20 @@ def test_top_by_leaves(spark, monkeypatch, cosine):
     bounds, kth = t.bounds(a), np.sort(a @ b.T, axis=1)[:, -10]
     assert (bounds >= np.array([(a @ b[t.ids[s:e]].T).max(axis=1) for s, e in zip(t.starts, t.ends)]).T).all()
     assert (bounds >= kth[:, None]).mean() < 0.2
+
+
+@pytest.mark.parametrize("weigh", [lambda x: weighting.normalize(x, by="item"), lambda x: weighting.tfidf(x, by="item"), lambda x: weighting.bm25(x, by="item")])
+def test_weights_deal_entries_once_a_side(spark, weigh, capsys):
+    """Sums by item or user come with the entries: no join sends them again."""
+    weigh(of_matrix(spark, NEIGHBOURS)).df.explain()
+    assert "Join Inner" not in (plan := capsys.readouterr().out) and "HashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_rows_that_are_whole_are_ranked_in_place(spark, capsys):
+    """Only the products' own shuffle is left, and ranks are those of all cells, ties going to the greater id."""
+    df = spark.createDataFrame([(m, [m % 5, 7], [1.0, 0.5], [m % 3, 4, 6], [1.0, 2.0, 2.0000001]) for m in range(20)], "m long, a array<long>, v array<double>, b array<long>, w array<double>")
+    best = sparse.ranked_product(df, 2, digits=6)
+    best.explain()
+    assert (plan := capsys.readouterr().out).count("Exchange") == 1 and "Window" not in plan
+    want = topk.rank_top(sparse.product_top(df), "a", "b", 2, digits=6).select("a", "b", "score", "rank")
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect()))
