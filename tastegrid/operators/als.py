@@ -29,6 +29,8 @@ from tastegrid.sources.checkpoints import stash
 HOT_USER = 50_000
 #: Entries that the broadcast kernel works on at once.
 CACHED_ENTRIES = 4096
+#: Contributions that an explanation holds at once.
+MOST_FOUND = 20_000
 
 
 def _normal(y: np.ndarray, c: np.ndarray, starts: np.ndarray, yty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +120,7 @@ def half_step_broadcast(entries: DataFrame, y: np.ndarray, x: np.ndarray | None,
         yield fx.factor_batch(ids, out, kind)
 
     schema = FACTORS.replace("float", "double") if dtype == "float64" else FACTORS
-    return entries.mapInArrow(fx.whole_groups(kernel, max(1000, (32 << 20) // (y.shape[1] * 4))), schema)
+    return entries.mapInArrow(fx.whole_groups(kernel, fx.group_rows(y.shape[1])), schema)
 
 
 #: Bytes of users' matrices that a kernel of the shuffled half-step holds at a time.
@@ -197,7 +199,7 @@ def half_step_shuffle(entries: DataFrame, y: DataFrame, k: int, reg: float, x: D
         yield fx.factor_batch(ids, solved(a, b, total[:, k * k + k :]), kind)
 
     by_part = joined.repartition(USER, "salt").sortWithinPartitions(USER, "salt")
-    sums = stash(by_part.mapInArrow(fx.whole_groups(partial, max(1000, (32 << 20) // (k * 8))), f"{USER} bigint, done boolean, sums array<double>"), "als-sums")
+    sums = stash(by_part.mapInArrow(fx.whole_groups(partial, fx.group_rows(k)), f"{USER} bigint, done boolean, sums array<double>"), "als-sums")
     whole = sums.where("done").select(F.col(USER).alias("id"), F.col("sums").cast(schema.split(" ")[-1]).alias("features"))
     rest = sums.where("not done").select(USER, "sums").repartition(USER).sortWithinPartitions(USER)
     return whole.unionByName(rest.mapInArrow(fx.whole_groups(final, max(8, MATRIX_BYTES // (k * k * 8))), schema))
@@ -387,9 +389,20 @@ class AlternatingLeastSquares(FactorModel):
         asked = pairs.select(USER, ITEM).distinct()
         # A user's entries and the items asked for, each with its factors, meet where the user's equations are solved.
         entries = scale(x, self.alpha).df.join(asked.select(USER).distinct(), USER, "left_semi")
-        rows = entries.select(USER, F.lit(0).alias("asked"), ITEM, WEIGHT).unionByName(asked.select(USER, F.lit(1).alias("asked"), ITEM, F.lit(0.0).alias(WEIGHT)))
-        rows = rows.join(items.select(F.col("id").alias(ITEM), F.col("features").cast("array<double>").alias("features")), ITEM)
-        by = rows.select(USER, "asked", ITEM, WEIGHT, "features").repartition(USER).sortWithinPartitions(USER, "asked", ITEM)
+        factors = items.select(F.col("id").alias(ITEM), F.col("features").cast("array<double>").alias("features"))
+        own = entries.join(factors, ITEM).select(USER, F.lit(0).alias("asked"), ITEM, WEIGHT, "features")
+        # Items that very many users ask for, of which there are few, have a copy of their factors for each part of those users.
+        hot = F.broadcast(asked.groupBy(ITEM).agg(F.count("*").alias("n")).where(F.col("n") > HOT_USER).select(ITEM, F.ceil(F.col("n") / HOT_USER).cast("int").alias("parts")))
+        parts = F.coalesce("parts", F.lit(1))
+        copies = factors.join(hot, ITEM, "left").select(ITEM, F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "features")
+        wanted = asked.join(hot, ITEM, "left").select(USER, ITEM, F.pmod(F.xxhash64(USER), parts).cast("int").alias("salt")).join(copies, [ITEM, "salt"])
+        rows = own.unionByName(wanted.select(USER, F.lit(1).alias("asked"), ITEM, F.lit(0.0).alias(WEIGHT), "features"))
+        by = rows.repartition(USER).sortWithinPartitions(USER, "asked", ITEM)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+        names = [USER, ITEM, "rank", "other_item", "contribution", "total"]
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
 
         def kernel(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             user, wanted, item, c, y = columns
@@ -409,12 +422,12 @@ class AlternatingLeastSquares(FactorModel):
                     best = best[liked[best]][:N]
                     total = float(scores[:, j].sum())
                     out += [(u, int(item[m + j]), r + 1, int(own[p]), float(scores[p, j]), total) for r, p in enumerate(best)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
-            names = [USER, ITEM, "rank", "other_item", "contribution", "total"]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
+                    if len(out) >= MOST_FOUND:
+                        yield packed(out)
+                        out = []
+            yield packed(out)
 
-        step = max(1000, (32 << 20) // (k * 8))
-        return by.mapInArrow(fx.whole_groups(kernel, step), f"{USER} bigint, {ITEM} bigint, rank int, other_item bigint, contribution double, total double")
+        return by.mapInArrow(fx.whole_groups(kernel, fx.group_rows(k)), f"{USER} bigint, {ITEM} bigint, rank int, other_item bigint, contribution double, total double")
 
 
 def upsert_all(factors: DataFrame, n: int, k: int) -> DataFrame:

@@ -146,6 +146,11 @@ def whole_groups(kernel: Callable, most: int = 200_000) -> Callable:
     return run
 
 
+def group_rows(k: int, size: int = 8 << 20) -> int:
+    """Rows of k numbers, ids and weights that a kernel is given at a time: about `size` bytes, however few the factors."""
+    return max(1000, size // (8 * (k + 4)))
+
+
 def _column(c: pa.Array) -> np.ndarray:
     if pa.types.is_list(c.type):
         flat = np.asarray(c.flatten().to_numpy(zero_copy_only=False))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tastegrid.functions.weighting import scale
+from tastegrid.operators import als
 from tastegrid.operators import factors as fx
 from tastegrid.operators.als import AlternatingLeastSquares, half_step_broadcast, half_step_shuffle, solve_cg, solve_cholesky, training_loss
 from tests.helpers import EXPLAIN, FACTORIZE, checkerboard, ids, lists, of_matrix, of_rows
@@ -184,3 +185,20 @@ def test_upsert_fills_gaps(spark):
 def test_nan_factors_are_an_error(spark):
     with pytest.raises(fx.ModelFitError):
         fx.ensure_finite(spark.createDataFrame([(0, [float("nan")])], "id long, features array<float>"))
+
+
+def test_kernels_hold_few_rows_of_few_factors(spark, monkeypatch):
+    """A kernel's rows are bounded by all their bytes, and an explanation's batches by their number."""
+    monkeypatch.setattr(als, "MOST_FOUND", 5)
+    monkeypatch.setattr(als, "HOT_USER", 3)
+    assert fx.group_rows(2) * 8 * 6 <= 8 << 20 and fx.group_rows(10**9) == 1000
+    x = of_matrix(spark, EXPLAIN)
+    m = AlternatingLeastSquares(factors=3, regularization=0.1, iterations=2, random_state=3).fit(x)
+    # Seven users ask for each item, in three parts.
+    asked = spark.range(7).crossJoin(spark.range(6).toDF("item_id")).withColumnRenamed("id", "user_id")
+    found = {tuple(r)[:4]: (r["contribution"], r["total"]) for r in m.explain(asked, x, 2).collect()}
+    alone = {tuple(r)[:4]: (r["contribution"], r["total"]) for r in m.explain(asked.where("item_id = 4"), x, 2).collect()}
+    assert len(found) == 7 * 6 * 2 and len(alone) == 7 * 2
+    assert all(np.allclose(found[key], value) for key, value in alone.items())
+    monkeypatch.setattr(als, "HOT_USER", 50_000)
+    assert {tuple(r)[:4] for r in m.explain(asked, x, 2).collect()} == set(found)
