@@ -210,8 +210,10 @@ def step(samples: DataFrame, users: DataFrame, items: DataFrame, rate: float, re
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), base.column(0), base.column(1)], ["kind", "id", "change"])
 
     changes = wide.select(USER, ITEM, "other", "x", "yi", "yj").mapInArrow(run, "kind int, id bigint, change array<double>")
-    added = changes.select("kind", "id", F.posexplode("change").alias("place", "v")).groupBy("kind", "id", "place").agg(F.sum("v").alias("v"))
-    added = stash(added.groupBy("kind", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda c: c["v"]).alias("change")), "bpr-step")
+    # A sum for each place, side by side: one row for each id and partition.
+    known = users.select(F.size("features").alias("n")).first()
+    places = [F.sum(F.get("change", i)) for i in range(known["n"] if known else 1)]
+    added = stash(changes.groupBy("kind", "id").agg(F.array(*places).alias("change")), "bpr-step")
 
     def after(factors: DataFrame, kind: int) -> DataFrame:
         moved = factors.join(added.where(F.col("kind") == kind).drop("kind"), "id", "left")
