@@ -59,19 +59,41 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCK = "ids binary, half binary, scale binary, off binary"
 
 
+#: Queries that meet a block of items at once.
+QUERY_ROWS = 1024
+ASKED = "q_ids binary, q_data binary, q_more binary"
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries (query_id, features, more) in blocks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, QUERY_ROWS):
+            ids, features, more = batch.slice(at, QUERY_ROWS).columns
+            x = np.asarray(features.flatten().to_numpy(zero_copy_only=False), np.float64)
+            columns = [np.asarray(ids.to_numpy()), x, np.asarray(more.to_numpy())]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()]) for c in columns], ["q_ids", "q_data", "q_more"])
+
+
 def _chances(k: int, margin: float) -> Callable:
-    """Rows (query_id, features, more, a block of items): the items of the block that may be among the query's k + more best, sums that differ by up to margin counting as equal."""
+    """Rows (a block of queries, a block of items): the items of the block that may be among a query's k + more best, sums that differ by up to margin counting as equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, q = np.frombuffer(r["ids"], np.int64), np.array(r["features"], np.float64)
+            for at in range(batch.num_rows):
+                # One pair of blocks at a time is taken out of the batch.
+                r = {name: column[at].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+                ids, asked, more = (np.frombuffer(r[c], np.int64) for c in ("ids", "q_ids", "q_more"))
+                x = np.frombuffer(r["q_data"], np.float64).reshape(len(asked), -1)
                 scale, off = (np.frombuffer(r[c], np.float32).astype(np.float64) for c in ("scale", "off"))
-                y = np.frombuffer(r["half"], np.float16).reshape(len(ids), -1).astype(np.float64)
-                score, slack = (y @ q) * scale, off * np.linalg.norm(q) + 1e-9
-                n = min(k + r["more"], len(ids))
-                keep = score + slack >= np.partition(score - slack, len(ids) - n)[len(ids) - n] - margin
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), r["query_id"])), pa.array(ids[keep])], ["query_id", "id"])
+                y = np.frombuffer(r["half"], np.float16).reshape(len(ids), -1).astype(np.float64) * scale[:, None]
+                for s in range(0, len(asked), 128):
+                    own = x[s : s + 128]
+                    score, slack = own @ y.T, np.linalg.norm(own, axis=1)[:, None] * off + 1e-9
+                    n, low = np.minimum(k + more[s : s + 128], len(ids)), score - slack
+                    # Places of all the counts asked for are found by one partition.
+                    cut = np.partition(low, np.unique(len(ids) - n), axis=1)[np.arange(len(own)), len(ids) - n]
+                    q, c = np.nonzero(score + slack >= cut[:, None] - margin)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[s + q]), pa.array(ids[c])], ["query_id", "id"])
 
     return run
 
@@ -92,7 +114,8 @@ def score_top_half(queries: DataFrame, packed: DataFrame, items: DataFrame, k: i
     size = packed.agg(F.sum(F.octet_length("half") + 16)).first()[0] or 0
     if size > fx.BROADCAST_BYTES:
         raise ValueError("the packed items are too large to be broadcast; score_top takes them by a shuffle")
-    pairs = asked.select("query_id", "features", more.alias("more")).crossJoin(F.broadcast(blocks)).mapInArrow(_chances(k, 0.0 if digits is None else 10.0**-digits), "query_id bigint, id bigint")
+    sent = asked.select("query_id", F.col("features").cast("array<double>").alias("features"), more.alias("more")).mapInArrow(_asked, ASKED)
+    pairs = sent.crossJoin(F.broadcast(blocks)).mapInArrow(_chances(k, 0.0 if digits is None else 10.0**-digits), "query_id bigint, id bigint")
     if liked is not None:
         pairs = pairs.join(liked.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return score_pairs(queries, items, pairs, k, digits)

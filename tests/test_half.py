@@ -1,6 +1,7 @@
 """Factors of 16 bits."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tastegrid.operators import factors as fx
 from tastegrid.operators import half, topk
@@ -46,3 +47,12 @@ def test_saved_in_half(spark, tmp_path):
     for a, b in ((model.user_factors, again.user_factors), (model.item_factors, again.item_factors)):
         x, y = (np.array([r["features"] for r in sorted(t.collect(), key=lambda r: r["id"])]) for t in (a, b))
         assert x.shape == y.shape and np.allclose(x, y, atol=2e-3) and not (x == y).all()
+
+
+def test_queries_meet_items_by_blocks(spark):
+    """An item block goes to a block of queries, not to each of them."""
+    y = fx.to_df(spark, np.random.default_rng(3).normal(size=(3000, 4)))
+    sent = [b.num_rows for b in half._asked(y.select("id", "features", F.lit(0).cast("bigint")).toArrow().combine_chunks().to_batches())]
+    assert len(sent) == 3 and set(sent) == {1}
+    got, want = (sorted(map(tuple, t.select("query_id", "rank", "id").collect())) for t in (half.score_top_half(y, half.pack(y), y, 5), topk.score_top(y, y, 5)))
+    assert got == want
