@@ -6,6 +6,7 @@ from tastegrid.functions import weighting
 from tastegrid.interactions import Interactions, encode_labels
 from tastegrid.operators import ann, evaluation, knn, sparse, topk
 from tastegrid.operators import factors as fx
+from tastegrid.sources.checkpoints import stash
 from tests.helpers import NEIGHBOURS, ids, lists, of_matrix, of_rows
 
 
@@ -302,3 +303,23 @@ def test_rows_that_are_whole_are_ranked_in_place(spark, capsys):
     assert (plan := capsys.readouterr().out).count("Exchange") == 1 and "Window" not in plan
     want = topk.rank_top(sparse.product_top(df), "a", "b", 2, digits=6).select("a", "b", "score", "rank")
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("local,entries", [(True, 1 << 30), (False, 1 << 30), (False, 300)])
+def test_a_sparse_product_in_passes(spark, monkeypatch, local, entries):
+    x = _sparse_interactions(spark, local)
+    rows = x.rows()
+    products = rows.select(F.col("user_id").alias("m"), F.col("items").alias("a"), F.col("weights").alias("v"), F.col("items").alias("b"), F.col("weights").alias("w"))
+    want = sorted(map(tuple, sparse.ranked_product(products, 3, digits=6, squares=True).collect()))
+    monkeypatch.setattr(sparse, "TASK_ENTRIES", entries)
+    monkeypatch.setattr(sparse, "PASS_ENTRIES", 100)
+    monkeypatch.setattr(sparse, "PASS_SHARE", 1)
+    monkeypatch.setattr(sparse, "PASS_RANGES", 4)
+    written = []
+    monkeypatch.setattr(sparse, "stash", lambda df, label: written.append(label) or stash(df, label))
+    assert sorted(map(tuple, sparse.ranked_product(products, 3, digits=6, squares=True).collect())) == want
+    # Several passes, none of which is sent more than it may be, but for a single range.
+    assert len(written) > 1
+    assert sparse._passes(np.array([3, 4, 9, 1, 1, 7]), 8) == [range(0, 2), range(2, 3), range(3, 5), range(5, 6)]
+    whole = sorted(map(tuple, sparse.product_top(products, squares=True).collect()))
+    assert len(whole) > len(want) and {(a, b) for a, b, *_ in want} <= {(a, b) for a, b, _ in whole}
