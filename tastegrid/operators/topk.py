@@ -16,8 +16,8 @@ from tastegrid.sources.checkpoints import stash
 #: Factors in one block of a blocked product, and bytes up to which the blocks of the items are broadcast.
 BLOCK_ROWS = 8192
 BROADCAST_BYTES = 64 << 20
-#: Items of a leaf at most, leaves that a query looks into first, bounds held at once, and candidates held before they are trimmed.
-LEAF, FIRST_LEAVES, MOST_BOUNDS, MOST_FOUND = 512, 4, 8_000_000, 2_000_000
+#: Items of a leaf at most, leaves that a query looks into first, bounds held at once (of few queries every leaf costs as much as of many), and candidates held before they are trimmed.
+LEAF, FIRST_LEAVES, MOST_BOUNDS, MOST_FOUND = 512, 6, 42_000_000, 2_000_000
 
 
 def rank_top(df: DataFrame, query: str, item: str, k: int, score: str = "score", digits: int | None = None) -> DataFrame:
@@ -131,14 +131,27 @@ class _Leaves:
         low, high, self.mean = (np.array(x, np.float64) for x in zip(*boxes))
         self.middle, self.half = (low + high) / 2, (high - low) / 2
         self.radius = np.array([np.linalg.norm(self.y[s:e] - c, axis=1).max() for s, e, c in zip(self.starts, self.ends, self.mean)])
+        #: For products in single precision, which are sought first; factors are in it already, and only unit vectors are held twice.
+        self.near = self.y.astype(np.float32, copy=False)
+        self.length = np.array([np.linalg.norm(self.y[s:e].astype(np.float64), axis=1).max() for s, e in zip(self.starts, self.ends)])
+
+    def slack(self) -> float:
+        """What a product in single precision may be off by, as a share of the two lengths."""
+        return (self.y.shape[1] + 8) * 2.0**-23
 
     def bounds(self, x: np.ndarray) -> np.ndarray:
-        """What the product of each query with any item of each leaf cannot exceed."""
-        own = np.linalg.norm(x, axis=1)[:, None]
-        out = x @ self.middle.T + np.abs(x) @ self.half.T
-        np.minimum(out, x @ self.mean.T + own * self.radius, out=out)
+        """What the product of each query with any item of each leaf cannot exceed, in single precision."""
+        own, x = np.linalg.norm(x, axis=1)[:, None].astype(np.float32), x.astype(np.float32)
+        middle, half, mean = (m.T.astype(np.float32) for m in (self.middle, self.half, self.mean))
+        radius = self.radius.astype(np.float32)
         # Rounding of these sums.
-        return out + 1e-9 * (1 + np.abs(out))
+        rounding = np.float32(8 * self.slack() * (self.length.max() + self.radius.max()))
+        out = np.empty((len(x), len(self.starts)), np.float32)
+        for at in range(0, len(x), 1024):
+            rows = slice(at, at + 1024)
+            np.minimum(x[rows] @ middle + np.abs(x[rows]) @ half, x[rows] @ mean + own[rows] * radius, out=out[rows])
+            out[rows] += own[rows] * rounding + np.float32(1e-30)
+        return out
 
 
 def _trimmed(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,37 +175,57 @@ def _searched(index, k: int, cosine: bool, margin: float) -> Callable:
         bounds, n = t.bounds(x), len(t.starts)
         cut = np.searchsorted(lp, np.r_[t.starts, t.ends[-1:]])
         where = np.full(len(x), -1)
+        near, own = x.astype(np.float32), np.linalg.norm(x, axis=1)
 
         def scores(leaf: int, rows: np.ndarray) -> np.ndarray:
-            s = x[rows] @ t.y[t.starts[leaf] : t.ends[leaf]].T.astype(np.float64)
-            own = slice(cut[leaf], cut[leaf + 1])
+            s = near[rows] @ t.near[t.starts[leaf] : t.ends[leaf]].T
+            mine = slice(cut[leaf], cut[leaf + 1])
             if cut[leaf] < cut[leaf + 1]:
                 where[rows] = np.arange(len(rows))
-                at = where[lq[own]]
-                s[at[at >= 0], (lp[own] - t.starts[leaf])[at >= 0]] = -np.inf
+                at = where[lq[mine]]
+                s[at[at >= 0], (lp[mine] - t.starts[leaf])[at >= 0]] = -np.inf
                 where[rows] = -1
             return s
 
         # A query's k-th score of its likeliest leaves is no more than that of all.
         least = np.full(len(x), -np.inf)
         first = min(n, FIRST_LEAVES)
-        likely = np.argpartition(bounds, n - first, axis=1)[:, n - first :] if first < n else np.tile(np.arange(n), (len(x), 1))
         if n > 1:
-            for c in range(first):
+            likely = np.argpartition(bounds, n - first, axis=1)[:, n - first :] if first < n else np.tile(np.arange(n), (len(x), 1))
+            best = np.full((len(x), first * k if k < LEAF else 0), -np.inf)
+            for c in range(first if k < LEAF else 0):
                 order = np.argsort(likely[:, c], kind="stable")
                 for rows in np.split(order, np.flatnonzero(np.diff(likely[order, c])) + 1):
-                    s = scores(int(likely[rows[0], c]), rows)
-                    if s.shape[1] >= k:
-                        least[rows] = np.maximum(least[rows], np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                    leaf = int(likely[rows[0], c])
+                    s = scores(leaf, rows)
+                    m = min(k, s.shape[1])
+                    # Of single precision the least that the product can be.
+                    best[rows, c * k : c * k + m] = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m :] - (t.slack() * t.length[leaf] * own[rows])[:, None]
+            if best.shape[1]:
+                least = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         found, held = [none], 0
+        # The leaves that a query's k-th score does not rule out, leaf by leaf.
+        leaf_of, row_of = np.nonzero((bounds >= (least - margin - 1e-6 * np.abs(np.where(np.isfinite(least), least, 0)))[:, None]).T)
+        ends = np.searchsorted(leaf_of, np.arange(n + 1))
         for leaf in np.argsort(-bounds.mean(axis=0)):
-            rows = np.flatnonzero(bounds[:, leaf] >= least - margin)
+            rows = row_of[ends[leaf] : ends[leaf + 1]]
+            rows = rows[bounds[rows, leaf] >= least[rows] - margin - 1e-6 * np.abs(np.where(np.isfinite(least[rows]), least[rows], 0))]
             if not len(rows):
                 continue
             s = scores(int(leaf), rows)
-            r, c = np.nonzero((s >= (least[rows] - margin - 1e-9 * (1 + np.abs(np.where(np.isfinite(least[rows]), least[rows], 0))))[:, None]) & np.isfinite(s))
-            found.append((rows[r], t.ids[t.starts[leaf] + c], s[r, c]))
+            known = np.where(np.isfinite(least[rows]), least[rows], 0)
+            enough = least[rows] - margin - 1e-9 * (1 + np.abs(known))
+            # Whatever its rounding may hide is kept; liked items, at -inf, are not.
+            floor = np.maximum(enough - t.slack() * t.length[leaf] * own[rows], np.finfo(np.float32).min)
+            r, c = np.nonzero(s >= np.nextafter(floor.astype(np.float32), np.float32(-np.inf))[:, None])
+            if cut[leaf] < cut[leaf + 1]:
+                finite = np.isfinite(s[r, c])
+                r, c = r[finite], c[finite]
+            exact = np.einsum("ij,ij->i", x[rows[r]], t.y[t.starts[leaf] + c].astype(np.float64))
+            keep = exact >= enough[r]
+            r, c, exact = r[keep], c[keep], exact[keep]
+            found.append((rows[r], t.ids[t.starts[leaf] + c], exact))
             held += len(r)
             if held >= MOST_FOUND:
                 found = [_trimmed(*(np.concatenate(f) for f in zip(*found)), k, margin)]
@@ -207,7 +240,7 @@ def _searched(index, k: int, cosine: bool, margin: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = index.value
         sorted_ids = t.ids[t.sorted]
-        step = max(256, min(BLOCK_ROWS, MOST_BOUNDS // len(t.starts)))
+        step = max(256, min(10_000, MOST_BOUNDS // len(t.starts)))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)

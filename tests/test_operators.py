@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,3 +324,24 @@ def test_a_sparse_product_in_passes(spark, monkeypatch, local, entries):
     assert sparse._passes(np.array([3, 4, 9, 1, 1, 7]), 8) == [range(0, 2), range(2, 3), range(3, 5), range(5, 6)]
     whole = sorted(map(tuple, sparse.product_top(products, squares=True).collect()))
     assert len(whole) > len(want) and {(a, b) for a, b, *_ in want} <= {(a, b) for a, b, _ in whole}
+
+
+def test_leaves_are_searched_in_single_precision():
+    """Bounds of 4 bytes; what single precision cannot tell apart is ranked by the exact products, and liked items stay out."""
+    rng = np.random.default_rng(8)
+    y, x = ((rng.random((n, 8)) - 0.5) for n in (20_000, 600))
+    y[:300] = y[0] * (1 + 1e-9 * np.arange(300))[:, None]
+    x[:50] = y[0]
+    y, x = (m / np.linalg.norm(m, axis=1)[:, None] for m in (y, x.astype(np.float32).astype(np.float64)))
+    y[:300] = y[0] * (1 - 1e-9 * np.arange(300))[:, None]
+    index = topk._Leaves(np.arange(len(y)), y)
+    assert index.bounds(x).dtype == np.float32 and (index.bounds(x) >= np.array([(x @ y[index.ids[s:e]].T).max(axis=1) for s, e in zip(index.starts, index.ends)]).T).all()
+    lists_ = pa.ListArray.from_arrays(pa.array(np.arange(601, dtype=np.int32) * 8), pa.array(x.astype(np.float32).ravel()))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(600)), lists_, pa.array([[3, 5]] * 600, pa.list_(pa.int64()))], ["id", "features", "liked"])
+    found = pa.Table.from_batches(topk._searched(type("", (), {"value": index}), 10, True, 0.0)(iter([rows])))
+    q, i = (found.column(c).to_numpy() for c in (0, 1))
+    own = np.array([r.as_py() for r in lists_], np.float64)
+    scores = own / np.linalg.norm(own, axis=1)[:, None] @ y.T
+    scores[:, [3, 5]] = -np.inf
+    for a in range(0, 600, 7):
+        assert set(i[q == a]) >= set(np.argsort(-scores[a], kind="stable")[:10].tolist()) and not {3, 5} & set(i[q == a])
