@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.interactions import USER
+from tastegrid.operators import sparse
 from tastegrid.operators.knn import BM25Recommender, TFIDFRecommender
 from tastegrid.sources import checkpoints
 from tests.helpers import ids, of_rows
@@ -54,3 +55,17 @@ def test_passes_change_no_result(spark, monkeypatch, kind):
     monkeypatch.setattr(checkpoints, "PASS_ROWS", 40)
     monkeypatch.setattr(checkpoints, "MOST_PASSES", 2)
     assert found() == want and all(want)
+
+
+def test_ranges_go_together_up_to_a_part_of_a_pass(spark, monkeypatch):
+    """Ranges of little are not all sent at once where a single one could send as much, and what is sent is the same."""
+    df = spark.createDataFrame([(m, [m, m + 200], [1.0, 0.5], [m % 7, 9], [1.0, 2.0]) for m in range(200)], "m long, a array<long>, v array<double>, b array<long>, w array<double>")
+    monkeypatch.setattr(sparse, "PASS_ENTRIES", 1200)
+    monkeypatch.setattr(sparse, "PASS_SHARE", 0)
+    written = []
+    monkeypatch.setattr(sparse, "stash", lambda df, label: written.append(label) or checkpoints.stash(df, label))
+    found = rows(sparse.ranked_product(df, 2, digits=6))
+    assert len(written) > 1
+    monkeypatch.setattr(sparse, "TOGETHER", 1 << 20)
+    written.clear()
+    assert rows(sparse.ranked_product(df, 2, digits=6)) == found and not written
