@@ -5,7 +5,9 @@ import os
 import numpy as np
 
 from tastegrid.operators import sparse
+from tastegrid.operators.evaluation import leave_k_out_split
 from tastegrid.operators.knn import BM25Recommender
+from tastegrid.plans import queries
 from tastegrid.sources import checkpoints
 from tests.helpers import of_rows
 
@@ -65,3 +67,15 @@ def test_order_is_stable_with_and_without_room_for_places():
         keys = rng.integers(0, most, 1000)
         assert (sparse._order(keys) == np.argsort(keys, kind="stable")).all()
     assert len(sparse._order(np.zeros(0, np.int64))) == 0
+
+
+def test_held_out_entries_are_marked_once(spark, monkeypatch):
+    labels, stash = [], queries.stash_in_passes
+    monkeypatch.setattr(queries, "stash_in_passes", lambda tables, key, f, label, n: labels.append(label) or stash(tables, key, f, label, n))
+    x = of_rows(spark, [(u, i, 1.0 + i) for u in range(40) for i in range(u % 9 + 1)])
+    monkeypatch.setattr(queries, "cp_stored", lambda spark, d: x.with_df(checkpoints.stash(x.df, "given")))
+    parts = []
+    monkeypatch.setattr(queries.evaluation, "ranking_metrics_at_k", lambda model, train, test, k: parts.extend((train, test)) or spark.range(1))
+    queries._metrics(spark, "")
+    assert labels == ["split"]
+    assert [rows(p.df) for p in parts] == [rows(p.df) for p in leave_k_out_split(x, 3, 0.0, 7)]
